@@ -112,7 +112,7 @@ def _store(uri: str):
 def write_records(docs: DataFrame, tokenizer: str, end_id: int = 1, drop_space: bool = True, width: int = 2) -> DataFrame:
     """Writes the files and their indexes; returns the manifest, a row for each file, in order of shard."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 2000)
     folder = new_path(spark, "records")
     end = end_id.to_bytes(width, "little")
 
@@ -127,7 +127,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 1, drop_space:
             if not b.num_rows:
                 continue
             out = out or fs.open_output_stream(path)
-            ids = [i + end for i in enc.encode_many(b.column(1).to_pylist())]
+            ids = [i + end for i in enc.encode_many(b.column(1))]
             framed = frame([d.to_bytes(8, "little", signed=True) + (len(i) // width).to_bytes(4, "little") + i for d, i in zip(b.column(0).to_pylist(), ids)])
             size = np.array([len(f) for f in framed], np.int64)
             offsets.append(at + np.cumsum(size) - size)
