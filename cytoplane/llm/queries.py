@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, media, packing, quality, token_records
+from . import language, media, packing, quality, shingle_join, token_records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": language.query,
     "op3_quality": quality.query,
     "op6_media": media.query,
     "op7_best_fit_packing": packing.query,
+    "op8_shingle_join": shingle_join.query,
     "op10_token_records": token_records.query,
 }
 ORACLE_SQL: dict[str, str] = {}
