@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, media, packing, quality, shingle_join, token_records
+from . import language, media, packing, quality, shingle_join, suffix_dedup, token_records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": language.query,
+    "op2_suffix_dedup": suffix_dedup.query,
     "op3_quality": quality.query,
     "op6_media": media.query,
     "op7_best_fit_packing": packing.query,
