@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -182,6 +183,22 @@ def predict(docs: DataFrame, model: dict | None, text: str = "text") -> DataFram
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col(text).rlike(r"\p{L}").alias("letters"), F.col(text).alias(text)).mapInArrow(work, RESULT)
 
 
+def keep_known(docs: DataFrame, model: dict | None, text: str = "text", least: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns, whose language is not `und` and whose score is least or more."""
+    small_batches(docs.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = b.column(b.schema.get_field_index(text))
+            known = np.asarray(pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False)) & (model is not None)
+            if known.any():
+                raw, off = texts_of(b, text)
+                known[known] = (probabilities(model, raw, off)[known].max(1) / np.diff(off)[known]) >= least
+            yield b.filter(pa.array(known))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("held_out", held)

@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, media, packing, quality, shingle_join, suffix_dedup, token_records
+from . import decontaminate, language, licences, media, packing, quality, shingle_join, suffix_dedup, token_counts, token_records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": language.query,
     "op2_suffix_dedup": suffix_dedup.query,
     "op3_quality": quality.query,
+    "op4_licences": licences.query,
+    "op5_token_counts": token_counts.query,
     "op6_media": media.query,
     "op7_best_fit_packing": packing.query,
     "op8_shingle_join": shingle_join.query,
+    "op9_decontamination": decontaminate.query,
     "op10_token_records": token_records.query,
 }
 ORACLE_SQL: dict[str, str] = {}

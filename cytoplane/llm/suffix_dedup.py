@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._shared import PACKED, KeyBlock, drop_staged, mix64, packed_batches, partitions, shared_rows, small_batches, staged, texts_of
 from .shingle_join import chunks
@@ -264,11 +265,15 @@ def _crowded_marks(segments: DataFrame) -> DataFrame:
     return each.join(least.hint("merge"), "string").where("first < high").select("key", "h", F.col("skip").cast("int").alias("skip"), F.lit(1).alias("many"), "first")
 
 
-def deduplicate(docs: DataFrame, keep: bool = True) -> DataFrame:
-    """RESULT of every document; kept is null unless keep."""
+def deduplicate(docs: DataFrame, keep: str | None = "bytes", carry: tuple[str, ...] = ()) -> DataFrame:
+    """RESULT of every document; kept has the bytes that stay, or with keep = "text" the whole characters
+    among them, or null without keep. Columns to carry along stand in the struct `row`."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    row = F.struct(F.lit(True).alias("_row"), *carry).alias("row")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), row)
+    rows = docs
+    docs = docs.select("doc_id", "text")
     named = staged(docs.select("doc_id", F.octet_length("text").alias("n"), F.sha2(F.col("text").cast("binary"), 256).alias("digest")), "digests")
     first = named.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     copies = staged(named.where(f"n >= {LENGTH}").join(first.hint("merge"), "digest").where("rep < doc_id").select("doc_id").distinct(), "copies")
@@ -285,7 +290,7 @@ def deduplicate(docs: DataFrame, keep: bool = True) -> DataFrame:
     cover = found.select("key", "h", "doc_id", "at").join(marks.hint("merge"), ["key", "h"]).where("first < doc_id").select("doc_id", F.struct((F.col("at") + F.col("skip")).alias("at"), F.col("many")).alias("s"))
     cover = staged(cover.groupBy("doc_id").agg(F.collect_list("s.at").alias("at"), F.collect_list("s.many").alias("many")), "cover")
     drop_staged(found)
-    joined = docs.join(cover.hint("merge"), "doc_id", "left").join(copies.withColumn("copy", F.lit(True)).hint("merge"), "doc_id", "left").select("doc_id", "text", "at", "many", F.coalesce("copy", F.lit(False)).alias("copy"))
+    joined = rows.join(cover.hint("merge"), "doc_id", "left").join(copies.withColumn("copy", F.lit(True)).hint("merge"), "doc_id", "left").select("doc_id", "text", "at", "many", F.coalesce("copy", F.lit(False)).alias("copy"), "row")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -304,12 +309,13 @@ def deduplicate(docs: DataFrame, keep: bool = True) -> DataFrame:
                         np.add.at(step, a + np.asarray(many[k].values) + LENGTH - 1, -1)
                         gone = np.cumsum(step[:-1]) > 0
                     kept = body[~gone].tobytes()
-                    rows.append((len(body), int(gone.sum()), int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest(), kept if keep else None))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                    rows.append((len(body), int(gone.sum()), int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep == "text" else kept if keep else None))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if keep == "text" else pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], *(pa.array(c, t) for c, t in zip(zip(*rows), kinds)), b.column(5)[lo:hi]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "row"])
 
-    return joined.mapInArrow(work, RESULT)
+    kinds = T.StructType([*T._parse_datatype_string(RESULT.replace("kept binary", "kept string") if keep == "text" else RESULT).fields, *joined.select("row").schema.fields])
+    return joined.mapInArrow(work, kinds)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=False).drop("kept")
+    return deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=None).drop("kept", "row")

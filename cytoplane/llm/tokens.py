@@ -93,6 +93,20 @@ class MemoEncoder:
             return pc.split_pattern_regex(pc.replace_substring_regex(texts, MARKS, r"\1 \2\3"), BLANKS)
         return pc.split_pattern(pc.replace_substring_regex(pc.replace_substring_regex(texts, EDGES, "\\1\x00\\2"), ENDS, "\\1\x00\\2\\3"), "\x00")
 
+    def unit_ids(self, texts: pa.Array) -> tuple[pa.ListArray, np.ndarray, np.ndarray]:
+        """The units of each text (white space may be missing where it yields no ids); of each distinct unit the number
+        of ids; and of each unit its number among these."""
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        texts = texts.cast(pa.large_string())
+        # the separator itself can't be in a text that is split at it; \x01 is encoded like it, as one symbol of its kind
+        units = self.split(pc.replace_substring(texts, "\x00", "\x01") if pc.any(pc.match_substring(texts, "\x00")).as_py() else texts)
+        coded = units.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        self.learn([u for u in names if u not in self.memo])
+        size = np.fromiter((len(self.memo[u]) for u in names), np.int64, len(names)) // self.dtype.itemsize
+        return units, size, np.asarray(coded.indices)
+
     def encode_many(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text of an Arrow string column; null counts as empty."""
         if len(self.memo) > MEMO:
