@@ -38,7 +38,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path, before = new_path(spark, label), spark.conf.get(_FREE, "false")
     spark.conf.set(_FREE, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_FREE, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -39,7 +39,7 @@ WINDOWS = LENGTH - ANCHOR + 1
 #: More segments of one anchor than this are counted string by string.
 CROWD = 2000
 #: Suffixes sorted at a time.
-BLOCK = 500_000
+BLOCK = 40_000
 PERIOD, COVER = 7, (0, 1, 3)
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
@@ -207,24 +207,24 @@ def sorted_suffixes(raw: np.ndarray, starts: np.ndarray, depth: int = LENGTH) ->
     return out, same
 
 
-def first_documents(segments: list[bytes], low: np.ndarray) -> list[np.ndarray]:
-    """For each start of each segment, the least document that has its 50-byte string in one of these segments."""
-    length = np.array([len(s) for s in segments])
-    ends = np.cumsum(length)
-    raw = np.frombuffer(b"".join(segments), np.uint8)
-    size = length - LENGTH + 1
+def first_documents(segments: pa.Array, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each start of each segment, end to end, the least document that has its 50-byte string in one of these
+    segments; and the number of the start's segment."""
+    off = np.asarray(segments.offsets).astype(np.int64) if hasattr(segments, "offsets") else np.frombuffer(segments.buffers()[1], np.int32)[segments.offset : segments.offset + len(segments) + 1].astype(np.int64)
+    raw = np.frombuffer(segments.buffers()[2], np.uint8)[off[0] : off[-1]]
+    off = off - off[0]
+    size = np.diff(off) - LENGTH + 1
     of = np.repeat(np.arange(len(segments)), size)
     total = np.cumsum(size)
-    starts = np.arange(total[-1]) - np.repeat(total - size, size) + np.repeat(ends - length, size)
+    starts = np.arange(total[-1]) + np.repeat(off[:-1] - (total - size), size)
     order, same = sorted_suffixes(raw, starts)
     slot = np.empty(len(raw), np.int64)
     slot[starts] = np.arange(len(starts))
     i = slot[order]
     edge = np.flatnonzero(~same)
-    least = np.minimum.reduceat(low[of[i]], edge)
     out = np.empty(len(starts), np.int64)
-    out[i] = np.repeat(least, np.diff(np.append(edge, len(i))))
-    return np.split(out, total[:-1])
+    out[i] = np.repeat(np.minimum.reduceat(low[of[i]], edge), np.diff(np.append(edge, len(i))))
+    return out, of
 
 
 MARKS = "key long, h long, skip int, many int, first long"
@@ -235,24 +235,27 @@ def _marks(segments: DataFrame) -> DataFrame:
     last document."""
 
     def work(table: pa.Table) -> pa.Table:
-        table = table.sort_by("key")
+        table = table.sort_by("key").combine_chunks()
         key, h, low, high = (np.asarray(table.column(c)) for c in ("key", "h", "low", "high"))
-        texts = table.column("segment").to_pylist()
-        out: list[list] = [[], [], [], [], []]
+        texts = table.column("segment").combine_chunks() if len(key) else pa.array([], pa.binary())
+        texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
+        out: list[list[np.ndarray]] = [[], [], [], [], []]
         begins = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key)) if len(key) else np.zeros(1, np.int64)
         lo = 0
         while lo < len(key):
             # whole anchors up to the block's size
             hi = int(begins[min(max(np.searchsorted(begins, lo + BLOCK // WINDOWS, side="right") - 1, np.searchsorted(begins, lo, side="right")), len(begins) - 1)])
-            for k, first in enumerate(first_documents(texts[lo:hi], low[lo:hi]), lo):
-                edge = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
-                for a, b in zip(edge.tolist(), np.append(edge[1:], len(first)).tolist()):
-                    if first[a] < high[k]:
-                        for x, y in zip(out, (key[k], h[k], a, b - a, first[a])):
-                            x.append(y)
+            first, of = first_documents(texts[lo:hi], low[lo:hi])
+            edge = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (of[1:] != of[:-1])]))
+            many = np.diff(np.append(edge, len(first)))
+            begin = np.searchsorted(of, np.arange(hi - lo))
+            skip = edge - begin[of[edge]]
+            wanted = first[edge] < high[lo + of[edge]]
+            for x, y in zip(out, (key[lo + of[edge]], h[lo + of[edge]], skip, many, first[edge])):
+                x.append(y[wanted])
             lo = hi
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-        return pa.table([pa.array(x, t) for x, t in zip(out, kinds)], names=["key", "h", "skip", "many", "first"])
+        return pa.table([pa.array(np.concatenate(x) if x else [], t) for x, t in zip(out, kinds)], names=["key", "h", "skip", "many", "first"])
 
     buckets = 4 * partitions(segments.sparkSession)
     return segments.withColumn("bucket", F.pmod(F.shiftright("key", 5), F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(work, MARKS)
@@ -284,9 +287,12 @@ def deduplicate(docs: DataFrame, keep: str | None = "bytes", carry: tuple[str, .
     distinct = staged(found.groupBy("key", "h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("segment").alias("segment")), "distinct")
     drop_staged(wanted)
     crowded = staged(distinct.groupBy("key").count().where(F.col("count") > CROWD).select("key"), "crowded")
-    plain = _marks(distinct.join(crowded.hint("merge"), "key", "left_anti"))
-    marks = staged(plain.unionByName(_crowded_marks(distinct.join(crowded.hint("merge"), "key", "left_semi"))), "marks")
+    # numbers only, one for each CROWD segments at most: broadcast where they are few, joined by sorting beyond that
+    how = "broadcast" if crowded.count() <= 100_000 else "merge"
+    plain = staged(_marks(distinct.join(crowded.hint(how), "key", "left_anti")), "plain-marks")
+    crowd = staged(_crowded_marks(distinct.join(crowded.hint(how), "key", "left_semi")), "crowd-marks")
     drop_staged(distinct)
+    marks = plain.unionByName(crowd)
     cover = found.select("key", "h", "doc_id", "at").join(marks.hint("merge"), ["key", "h"]).where("first < doc_id").select("doc_id", F.struct((F.col("at") + F.col("skip")).alias("at"), F.col("many")).alias("s"))
     cover = staged(cover.groupBy("doc_id").agg(F.collect_list("s.at").alias("at"), F.collect_list("s.many").alias("many")), "cover")
     drop_staged(found)
