@@ -60,7 +60,8 @@ def bulk(spark: SparkSession, d: str) -> Pseudobulk:
     return coarse(spark, d).pseudobulk("sample", "cell_type")
 
 
-MITO = F.col("type") == "PROMO"
+def promo():
+    return F.col("type") == "PROMO"
 
 # The views that the SQL starts from.
 _V = """
@@ -86,7 +87,7 @@ def w(sql: str, views: str = _V) -> str:
 
 @query(w("SELECT row_id, num_counts, num_genes, CASE WHEN num_counts > 0 THEN round(mt * 1.0::DOUBLE / num_counts, 9) END mito_fraction FROM M", _M))
 def q_qc_metrics(spark, d):
-    return fine(spark, d).qc_metrics(mito=MITO).obs.select("row_id", "num_counts", "num_genes", F.round("mito_fraction", 9).alias("mito_fraction"))
+    return fine(spark, d).qc_metrics(mito=promo()).obs.select("row_id", "num_counts", "num_genes", F.round("mito_fraction", 9).alias("mito_fraction"))
 
 
 _PASS = "num_counts > 0 AND mt * 1.0::DOUBLE / num_counts <= 0.4 AND num_genes >= 2"
@@ -94,12 +95,12 @@ _PASS = "num_counts > 0 AND mt * 1.0::DOUBLE / num_counts <= 0.4 AND num_genes >
 
 @query(w(f"SELECT row_id FROM M WHERE {_PASS}", _M))
 def q_qc_filter(spark, d):
-    return fine(spark, d).qc(mito=MITO, max_mito_fraction=0.4, min_genes=2, nonzero_MALAT1=False, subset=True).obs.select("row_id")
+    return fine(spark, d).qc(mito=promo(), max_mito_fraction=0.4, min_genes=2, nonzero_MALAT1=False, subset=True).obs.select("row_id")
 
 
 @query(w(f"SELECT row_id, ({_PASS} AND row_id IN (SELECT row_id FROM X JOIN var USING (col_id) WHERE brand = 'Brand#4')) \"passed_QC\" FROM M", _M))
 def q_qc_flag(spark, d):
-    return fine(spark, d).qc(mito=MITO, malat1=F.col("brand") == "Brand#4", max_mito_fraction=0.4, min_genes=2).obs.select("row_id", "passed_QC")
+    return fine(spark, d).qc(mito=promo(), malat1=F.col("brand") == "Brand#4", max_mito_fraction=0.4, min_genes=2).obs.select("row_id", "passed_QC")
 
 
 @query(w('SELECT cell_type, "sample", gene, "value" FROM PX', _C))

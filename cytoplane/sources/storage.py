@@ -114,7 +114,7 @@ def read_mtx(spark: SparkSession, path: str, genes: str | None = None, barcodes:
 
     def table(file: str, key: str, names: list[str]) -> DataFrame:
         # short lists: their order in the file is their number
-        t = spark.read.text(file, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\r?\n")).alias("k", "line"))
+        t = spark.read.text(file, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "(\\r?\\n)+$", ""), "\r?\n")).alias("k", "line"))
         return t.select(F.col("k").cast("long").alias(key), *(F.split("line", "\t")[i].alias(n) for i, n in enumerate(names)))
 
     var = table(name(genes, ["features.tsv.gz", "features.tsv", "genes.tsv.gz", "genes.tsv"]), "col_id", ["id", "gene"]).select("col_id", F.coalesce("gene", "id").alias("gene"), "id")
