@@ -7,11 +7,13 @@ hashes; equal sets are one node from the start, however many copies there are.
    documents) come last, so that boilerplate is rarely looked at. A set of n shingles can only link with one that has
    one of its first n - ceil(3n/4) + 1 shingles among its own such (the first n - ceil(6n/7) + 1 for the smaller of
    the two). The packed search of _shared finds the shingles that two documents have there.
-2. Tiles. A tile holds the documents of one such shingle that are in the same band of sizes. Its smallest and largest
-   set are tried against all others; then, for tiles whose members are not yet one component, the remaining members
-   across components. A pair of equal component needs no test, so large groups of near copies cost a test a member.
-3. Each set has a bitmap of 512 parities. Two sets differ in at least as many shingles as their bitmaps in bits, which
-   bounds the overlap from above; pairs that pass are decided by exact intersection of the sorted arrays.
+2. Tiles. A tile holds the documents of one such shingle, and two can link only if their sizes are within 4/3 of each
+   other. In a few rounds every set is tried against one leader of its tiles; then, in tiles whose members are not one
+   component yet, every pair across components. Two members of one component need no test, so a large group of near
+   copies costs a few tests a member.
+3. Each set has a bitmap of 512 parities, and where that is not enough one of 8192. Two sets differ in at least as many
+   shingles as their bitmaps in bits, which bounds the overlap from above; pairs that pass are decided by exact
+   intersection of the sorted arrays.
 
 No pair within the bound is lost: no cap on tiles, candidates or partners. Null text, empty text and text without words
 has an empty set (n_shingles 0) and links with nothing; with one to four words the whole sequence is the one shingle.
@@ -24,14 +26,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import PACKED, KeyBlock, components, drop_staged, mix64, packed_batches, partitions, shared_rows, small_batches, staged, texts_of
 
 WORDS = 5
+#: Rounds in which a set is tried against one other, before all pairs that are left.
+STARS = 2
 HOT = 1 << 16
-BITS = 512
+BITS, BIG = 512, 8192
+#: Up to so many ids, 8 bytes each, are broadcast.
+FEW = 100_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -138,9 +144,9 @@ def prefix(s: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray
     return s, (np.arange(len(s)) < n - (6 * n + 6) // 7 + 1).astype(np.uint8)
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """The parities of the numbers of shingles that fall on each bit, as 8 long values."""
-    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1
+def bitmap(s: np.ndarray, size: int = BITS) -> np.ndarray:
+    """The parities of the numbers of shingles that fall on each bit, as long values."""
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % size, minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -153,13 +159,14 @@ def _packed(docs: DataFrame, hot: np.ndarray, rank: np.ndarray) -> DataFrame:
         for b in batches:
             raw, off = texts_of(b)
             ids = np.asarray(b.column(0))
-            sig = np.zeros((4, b.num_rows), np.int64)
+            sig = np.zeros((4 + BITS // 64, b.num_rows), np.int64)
             sig[0] = ids
             for lo, hi in chunks(off):
                 for k, s in enumerate(shingle_sets(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]), lo):
                     digest = xxhash.xxh3_128_digest(s.tobytes())
                     sig[1, k] = len(s)
-                    sig[2:, k] = np.frombuffer(digest, np.int64)
+                    sig[2:4, k] = np.frombuffer(digest, np.int64)
+                    sig[4:, k] = bitmap(s)
                     if len(s) and digest not in seen:
                         seen.add(digest)
                         keys, index = prefix(s, hot, rank)
@@ -173,50 +180,73 @@ def _packed(docs: DataFrame, hot: np.ndarray, rank: np.ndarray) -> DataFrame:
     return docs.mapInArrow(lambda it: packed_batches(rows(it)), PACKED)
 
 
+_B = [f"b{k}" for k in range(BITS // 64)]
+
+
 def _signatures(packed: DataFrame) -> DataFrame:
+    """doc_id, n, h1, h2 (the set's hash) and b0 to b7 (its bitmap) of every document."""
+    names = ["doc_id", "n", "h1", "h2", *_B]
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, np.frombuffer(x, np.int64).reshape(4, -1))), names=["doc_id", "n", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, np.frombuffer(x, np.int64).reshape(len(names), -1))), names=names)
 
-    return packed.where("kind = 3").select("docs").mapInArrow(work, "doc_id long, n long, h1 long, h2 long")
-
-
-_B = [f"b{k}" for k in range(BITS // 64)]
+    return packed.where("kind = 3").select("docs").mapInArrow(work, ", ".join(f"{c} long" for c in names))
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(id, n, b0 to b7, items) of documents."""
+    """(id, n, big, items) of documents: the sorted shingles and a bitmap of BIG parities."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, off = texts_of(b)
             for lo, hi in chunks(off):
                 got = shingle_sets(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                bits = np.stack([bitmap(s) for s in got], 1)
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array([len(s) for s in got], pa.int64()), *map(pa.array, bits), pa.array([s.tobytes() for s in got], pa.binary())], names=["id", "n", *_B, "items"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array([len(s) for s in got], pa.int64()), pa.array([bitmap(s, BIG).tobytes() for s in got], pa.binary()), pa.array([s.tobytes() for s in got], pa.binary())], names=["id", "n", "big", "items"])
 
-    return docs.mapInArrow(work, "id long, n long, " + ", ".join(f"{b} long" for b in _B) + ", items binary")
+    return docs.mapInArrow(work, "id long, n long, big binary, items binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
-    """The pairs (a, b) that link: bitmaps first, then the arrays."""
-    side = lambda x, cols: sets.select(F.col("id").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in cols))
-    small = pairs.join(side("a", ["n", *_B]), "a").join(side("b", ["n", *_B]), "b")
-    differ = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in _B[1:]), F.bit_count(F.col("a_b0").bitwiseXOR(F.col("b_b0"))))
-    near = staged(small.where((4 * F.least("a_n", "b_n") >= 3 * F.greatest("a_n", "b_n")) & (F.col("a_n") + F.col("b_n") >= 7 * differ)).select("a", "b"), f"{label}-near")
+def _bits_differ(x: str, y: str, bits: list[str]) -> Column:
+    each = [F.bit_count(F.col(x + c).bitwiseXOR(F.col(y + c))) for c in bits]
+    return sum(each[1:], each[0])
+
+
+def _verified(pairs: DataFrame, bits: DataFrame, docs: DataFrame, label: str) -> DataFrame:
+    """The pairs (a, b) that link: by bitmaps first; then by the arrays of the sets that are left, made anew."""
+    side = lambda x: bits.select(F.col("id").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", *_B)))
+    small = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
+    near = staged(small.where((4 * F.least("a_n", "b_n") >= 3 * F.greatest("a_n", "b_n")) & (F.col("a_n") + F.col("b_n") >= 7 * _bits_differ("a_", "b_", _B))).select("a", "b"), f"{label}-near")
+    ids = staged(near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct(), f"{label}-ids")
+    how = "broadcast" if ids.count() <= FEW else "merge"
+    sets = staged(_sets(docs.join(ids.hint(how), "doc_id", "left_semi").select("doc_id", "text")), f"{label}-sets")
+
+    def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            x, y = (np.stack([np.frombuffer(v.as_buffer(), np.uint64) for v in t.column(c)]) if t.num_rows else np.zeros((0, BIG // 64), np.uint64) for c in ("x", "y"))
+            keep = pa.array(np.asarray(t.column("m")) >= 7 * np.bitwise_count(x ^ y).sum(1, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([t.column("a").filter(keep), t.column("b").filter(keep)], names=["a", "b"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             keep = []
-            for x, y in zip(t.column("a_items"), t.column("b_items")):
+            for x, y in zip(t.column("x"), t.column("y")):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
                 keep.append(100 * both >= 75 * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([t.column("a").filter(pa.array(keep, pa.bool_())), t.column("b").filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
-    exact = near.join(side("a", ["items"]).hint("merge"), "a").join(side("b", ["items"]).hint("merge"), "b")
-    return staged(exact.mapInArrow(work, "a long, b long"), f"{label}-edges")
+    def meet(pairs: DataFrame, what: str, *more: str) -> DataFrame:
+        one = pairs.join(sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col(what).alias("y")).hint("merge"), "b")
+        return one.join(sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col(what).alias("x")).hint("merge"), "a").select("a", "b", (F.col("na") + F.col("nb")).alias("m"), "x", "y")
+
+    likely = staged(meet(near, "big").mapInArrow(passes, "a long, b long"), f"{label}-likely")
+    both = meet(likely, "items")
+    edges = staged(both.mapInArrow(work, "a long, b long"), f"{label}-edges")
+    drop_staged(sets)
+    drop_staged(near)
+    return edges
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -225,41 +255,45 @@ def groups(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), "text")
     packed = staged(_packed(docs, *heavy_shingles(docs)), "prefixes")
-    sig = _signatures(packed)
+    sig = staged(_signatures(packed), "signatures")
     first = sig.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    named = staged(sig.join(first.hint("merge"), ["h1", "h2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "named")
+    named = staged(sig.select("doc_id", "n", "h1", "h2").join(first.hint("merge"), ["h1", "h2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "named")
+    bits = sig.withColumnRenamed("doc_id", "id")
     found = shared_rows(packed.where("kind < 3"))
     rows = staged(found.join(named.select("doc_id", "rep").distinct().hint("merge"), "doc_id").select("key", "rep", F.col("aux").alias("n"), F.col("more").alias("small")).distinct(), "rows")
     drop_staged(packed)
-    ids = rows.select(F.col("rep").alias("doc_id")).distinct()
-    sets = staged(_sets(docs.join(ids.hint("merge"), "doc_id", "left_semi").select("doc_id", "text")), "sets")
-
-    # tiles by shingle and band of sizes: bands are a ratio of 4/3 apart
-    rows = rows.withColumn("band", F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int"))
-    who = F.struct("n", "rep")
-    tile = rows.groupBy("key", "band").agg(F.min(F.when(F.col("small") == 1, who)).alias("lo"), F.max(who).alias("hi"), F.count("*").alias("k")).where("k > 1")
-    tried = rows.join(tile.hint("merge"), ["key", "band"]).select("rep", F.explode(F.array(F.when(F.col("lo.n") <= F.col("n"), F.col("lo.rep")), F.when(F.col("small") == 1, F.col("hi.rep")))).alias("other")).where("other <> rep")
-    pairs = staged(tried.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct(), "pairs")
-    edges = _verified(pairs, sets, "first")
-
-    part = components(edges, "first-cc")
-    placed = staged(rows.join(part.select(F.col("id").alias("rep"), "component").hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("small").alias("s")).where("x < y and s = 1").select("key")
-    left = placed.join(mixed.hint("merge"), "key", "left_semi").join(sets.select(F.col("id").alias("rep"), *_B[:4]).hint("merge"), "rep")
-    left = staged(left, "left")
-    x, y = left.where("small = 1").alias("x"), left.alias("y")
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.n") <= F.col("y.n")) & (4 * F.col("x.n") >= 3 * F.col("y.n"))
-    differ = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in _B[1:4]), F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0"))))
-    across = x.join(y.hint("merge"), near & (F.col("x.n") + F.col("y.n") >= 7 * differ)).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    more = _verified(across.join(pairs.hint("merge"), ["a", "b"], "left_anti"), sets, "second")
-
-    # links of the second kind join components of the first
-    part = staged(part, "part")
-    comp = lambda c: part.select(F.col("id").alias(c), F.col("component").alias(f"{c}_c"))
-    bridges = more.join(comp("a").hint("merge"), "a", "left").join(comp("b").hint("merge"), "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
-    top = staged(components(bridges, "second-cc"), "top")
-    merged = named.join(part.select(F.col("id").alias("rep"), F.col("component").alias("c1")).hint("merge"), "rep", "left").withColumn("c1", F.coalesce("c1", "rep"))
-    return merged.join(top.select(F.col("id").alias("c1"), F.col("component").alias("c2")).hint("merge"), "c1", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c2", "c1").alias("component_id"))
+
+    left = rows.withColumn("component", F.col("rep"))
+    named = named.withColumnRenamed("rep", "component")
+    # stars: every set is tried against one leader, the one that it meets at most shingles; a tile's leader is the least
+    # by a hash of its own for each round, so that all tiles of a group of near copies have the same. Then all pairs.
+    for step in range(STARS + 1):
+        last = step == STARS
+        lead = F.struct(F.xxhash64("rep", F.lit(step)).alias("h"), "rep", "n", "component")
+        tile = left.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("small").alias("s"), F.min(lead).alias("lead")).where("x < y and s = 1").select("key", "lead")
+        left = left.join(tile.hint("merge"), "key")
+        if last:
+            left = staged(left.drop("lead").join(bits.select(F.col("id").alias("rep"), *_B[:4]).hint("merge"), "rep"), "mixed")
+            x, y = left.where("small = 1").alias("x"), left.alias("y")
+            may = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.n") <= F.col("y.n")) & (4 * F.col("x.n") >= 3 * F.col("y.n"))
+            pairs = x.join(y.hint("merge"), may & (F.col("x.n") + F.col("y.n") >= 7 * _bits_differ("x.", "y.", _B[:4]))).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+        else:
+            left = staged(left, f"mixed-{step}")
+            met = left.where("lead.component <> component and 4 * least(n, lead.n) >= 3 * greatest(n, lead.n)").groupBy("rep", F.col("lead.rep").alias("leader")).agg(F.count("*").alias("k"))
+            one = met.groupBy("rep").agg(F.max(F.struct("k", "leader")).alias("m"))
+            pairs = one.select(F.least("rep", "m.leader").alias("a"), F.greatest("rep", "m.leader").alias("b")).distinct()
+            left = left.drop("lead")
+        edges = _verified(staged(pairs, f"pairs-{step}"), bits, docs, f"round-{step}")
+        # a link joins the components of its ends
+        of = left.select("rep", "component").distinct()
+        bridges = edges.join(of.select(F.col("rep").alias("a"), F.col("component").alias("x")).hint("merge"), "a").join(of.select(F.col("rep").alias("b"), F.col("component").alias("y")).hint("merge"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        top = staged(components(bridges, f"cc-{step}"), f"top-{step}").select(F.col("id").alias("component"), F.col("component").alias("_top"))
+        lift = lambda t, top=top: t.join(top.hint("merge"), "component", "left").withColumn("component", F.coalesce("_top", "component")).drop("_top")
+        named = staged(lift(named), f"named-{step}")
+        if not last:
+            before, left = left, staged(lift(left), f"left-{step}")
+            drop_staged(before)
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
