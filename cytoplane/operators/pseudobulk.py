@@ -404,7 +404,7 @@ _DE_COLUMNS = ["cell_type", "coefficient", "gene", "logFC", "SE", "LCI", "UCI",
 
 def _matrix(table: pd.DataFrame, names: list[str]) -> tuple[pd.DataFrame, pd.DataFrame]:
     y = table.pivot(index="sample", columns="gene", values="value").sort_index()
-    return y, table.drop_duplicates("sample").set_index("sample").loc[y.index, [n for n in names if n in table.columns]]
+    return y, table.drop_duplicates("sample").set_index("sample").loc[y.index, [n for n in dict.fromkeys(names) if n in table.columns]]
 
 
 def _weighted(table, formula, names, coefficient, contrasts, group, cat, ordn, size_column):
