@@ -32,12 +32,13 @@ from pyspark.sql import functions as F
 from ._shared import PACKED, KeyBlock, components, drop_staged, mix64, packed_batches, partitions, shared_rows, small_batches, staged, texts_of
 
 WORDS = 5
-#: Rounds in which a set is tried against one other, before all pairs that are left.
-STARS = 2
+#: Leaders that a set is tried against in each round, before all pairs that are left.
+STARS = (1, 6)
 HOT = 1 << 16
 BITS, BIG = 512, 8192
 #: Up to so many ids, 8 bytes each, are broadcast.
 FEW = 100_000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -215,6 +216,7 @@ def _bits_differ(x: str, y: str, bits: list[str]) -> Column:
 
 def _verified(pairs: DataFrame, bits: DataFrame, docs: DataFrame, label: str) -> DataFrame:
     """The pairs (a, b) that link: by bitmaps first; then by the arrays of the sets that are left, made anew."""
+    spark = docs.sparkSession
     side = lambda x: bits.select(F.col("id").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", *_B)))
     small = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
     near = staged(small.where((4 * F.least("a_n", "b_n") >= 3 * F.greatest("a_n", "b_n")) & (F.col("a_n") + F.col("b_n") >= 7 * _bits_differ("a_", "b_", _B))).select("a", "b"), f"{label}-near")
@@ -243,7 +245,13 @@ def _verified(pairs: DataFrame, bits: DataFrame, docs: DataFrame, label: str) ->
 
     likely = staged(meet(near, "big").mapInArrow(passes, "a long, b long"), f"{label}-likely")
     both = meet(likely, "items")
-    edges = staged(both.mapInArrow(work, "a long, b long"), f"{label}-edges")
+    # a row has two whole sets: few at a time
+    rows = spark.conf.get(_ROWS)
+    spark.conf.set(_ROWS, "32")
+    try:
+        edges = staged(both.mapInArrow(work, "a long, b long"), f"{label}-edges")
+    finally:
+        spark.conf.set(_ROWS, rows)
     drop_staged(sets)
     drop_staged(near)
     return edges
@@ -265,22 +273,24 @@ def groups(docs: DataFrame) -> DataFrame:
 
     left = rows.withColumn("component", F.col("rep"))
     named = named.withColumnRenamed("rep", "component")
-    # stars: every set is tried against one leader, the one that it meets at most shingles; a tile's leader is the least
-    # by a hash of its own for each round, so that all tiles of a group of near copies have the same. Then all pairs.
-    for step in range(STARS + 1):
-        last = step == STARS
-        lead = F.struct(F.xxhash64("rep", F.lit(step)).alias("h"), "rep", "n", "component")
-        tile = left.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("small").alias("s"), F.min(lead).alias("lead")).where("x < y and s = 1").select("key", "lead")
+    # stars: every set is tried against a few leaders, each the one that it meets at most shingles; a tile's leaders are
+    # the least by some hashes, so that all tiles of a group of near copies have the same. Then all pairs.
+    for step in range(len(STARS) + 1):
+        last = step == len(STARS)
+        lead = [F.struct(F.xxhash64("rep", F.lit(10 * step + k)).alias("h"), "rep", "n", "component") for k in range(1 if last else STARS[step])]
+        tile = left.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("small").alias("s"), F.array(*map(F.min, lead)).alias("lead")).where("x < y and s = 1").select("key", "lead")
         left = left.join(tile.hint("merge"), "key")
         if last:
-            left = staged(left.drop("lead").join(bits.select(F.col("id").alias("rep"), *_B[:4]).hint("merge"), "rep"), "mixed")
+            left = staged(left.drop("lead").join(bits.select(F.col("id").alias("rep"), *_B).hint("merge"), "rep"), "mixed")
             x, y = left.where("small = 1").alias("x"), left.alias("y")
             may = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.n") <= F.col("y.n")) & (4 * F.col("x.n") >= 3 * F.col("y.n"))
-            pairs = x.join(y.hint("merge"), may & (F.col("x.n") + F.col("y.n") >= 7 * _bits_differ("x.", "y.", _B[:4]))).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+            may &= F.col("x.n") + F.col("y.n") >= 7 * _bits_differ("x.", "y.", _B)
+            pairs = x.join(y.hint("merge"), may).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
         else:
             left = staged(left, f"mixed-{step}")
-            met = left.where("lead.component <> component and 4 * least(n, lead.n) >= 3 * greatest(n, lead.n)").groupBy("rep", F.col("lead.rep").alias("leader")).agg(F.count("*").alias("k"))
-            one = met.groupBy("rep").agg(F.max(F.struct("k", "leader")).alias("m"))
+            each = left.select("rep", "n", "component", F.posexplode("lead").alias("way", "lead"))
+            met = each.where("lead.component <> component and 4 * least(n, lead.n) >= 3 * greatest(n, lead.n)").groupBy("rep", "way", F.col("lead.rep").alias("leader")).agg(F.count("*").alias("k"))
+            one = met.groupBy("rep", "way").agg(F.max(F.struct("k", "leader")).alias("m"))
             pairs = one.select(F.least("rep", "m.leader").alias("a"), F.greatest("rep", "m.leader").alias("b")).distinct()
             left = left.drop("lead")
         edges = _verified(staged(pairs, f"pairs-{step}"), bits, docs, f"round-{step}")
