@@ -263,6 +263,35 @@ def test_licences(spark, none):
     assert licences.licences(files).count() == 10 and licences.licences(files.limit(0)).count() == 0
 
 
+def test_licences_of_real_texts(spark):
+    """Licence files and wrapped headers as they are found: none reached a template as a single line."""
+    from pathlib import Path
+
+    texts = Path(licences.__file__).parent / "licence_texts"
+    full = lambda name: (texts / f"{name}.txt").read_text()
+    mit = full("MIT").replace("[year] [holder]", "2026 Michael Wainberg and Keon Arbabi")
+    wrapped = lambda text, a, mark, z: a + "\n".join(f"{mark} {x}".rstrip() for x in text.splitlines()) + z
+    gpl = "mytool - does things\nCopyright (C) 2021  A. Body\n\nThis program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    want = {f"{n}/LICENSE": (n, full(n)) for n in ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0")}
+    want |= {"m/LICENSE.txt": ("MIT", mit), "m/x.c": ("MIT", wrapped(mit, "/*\n", " *", "\n */\nint x;")), "b.py": ("BSD-3-Clause", "#!/usr/bin/env python\n" + wrapped("Copyright (c) 2001, Me\nAll rights reserved.\n\n" + full("BSD-3-Clause"), "", "#", "\nimport os"))}
+    want |= {"b.c": ("BSD-2-Clause", "/*\n" + full("BSD-2-Clause") + "*/\nint y;"), "g.py": ("GPL-3.0", wrapped(gpl, "", "#", "\n\nimport os")), "g1.txt": ("GPL-3.0", " ".join(gpl.split("\n")[3:])), "t.txt": ("MIT", "x\nMIT License\ny"), "s.c": ("MIT", "// SPDX-License-Identifier: MIT\nint z;")}
+    want |= {"d.txt": (None, "er kommt mit\nmit\ndem Hund"), "e.c": (None, "/* the program\n * may be used under\n * a license */")}
+    rows = [(k, t) for k, (_, t) in want.items()] + [("m/sub/y.c", "int y;"), ("GPL-3.0/src/y.c", "int y;")]
+    got = {r["path"]: (r["licence"], r["origin"]) for r in licences.licences(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert {k: got[k][0] for k in want} == {k: n for k, (n, _) in want.items()}
+    assert got["m/sub/y.c"] == ("MIT", "inherited") and got["GPL-3.0/src/y.c"] == ("GPL-3.0", "inherited")
+
+
+def test_licence_bound_of_texts():
+    """Any block over the threshold has a telling stem, or a common word beside another term."""
+    vectors = licences.template_weights(licences.full_texts())[2]
+    stems, beside = licences.telling_stems(vectors, licences.THRESHOLD)
+    for _, w in vectors:
+        rest = {t: x * x for t, x in w.items() if not any(t.startswith(s) for s in stems)}
+        assert sum(x for t, x in rest.items() if t not in beside) < licences.THRESHOLD**2
+        assert all(rest[t] < licences.THRESHOLD**2 and (sum(rest.values()) < licences.THRESHOLD**2 or {*w} - {t} <= {*beside[t]}) for t in rest if t in beside)
+
+
 def test_licence_bound():
     """Any line over the threshold has a telling term."""
     vectors = licences.template_weights(licences.TEMPLATES)[2]
