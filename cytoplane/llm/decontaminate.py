@@ -11,12 +11,17 @@ along its length; each stands for the item-sized window that begins where the it
 last sampled place. With q the chance that a window's first half-hundred bytes are free of edits and m windows an item,
 an item is missed with chance (1 - q)^m at most: under 1% for items of 8 windows with one word in ten changed.
 
+Items without a window that every copy has (short ones, and unspaced script or code), and all under `LEAST` bytes, are
+looked for at every byte instead: by words of 8 bytes (shorter items: of their size), of which items of `LEAST` bytes and
+more have one each 8 bytes, so that edited copies are met as long as one such word is whole; smaller items are found by
+their first word and as exact copies.
+
 A hit is decided by the edit distance of the whole item to the text around (bit-parallel, free ends): a document has an
 item when at most `rate` of the item's bytes are edited, case and kind of white space aside.
 
 Items ride to the executors in blocks of at most `BLOCK` items, so their size is bounded whatever the benchmark's;
-documents are scanned once a block, without a shuffle. Items under `LEAST` bytes occur in clean text by chance and are
-not looked for. Null and empty texts have no items; repeated rows give repeated rows; empty tables give no rows; other
+documents are scanned once a block, without a shuffle. Items of white space alone are none. Null and empty texts have
+no items; repeated rows give repeated rows; empty tables give no rows; other
 columns are ignored."""
 
 from __future__ import annotations
@@ -118,14 +123,30 @@ class Index:
     def __init__(self, items: list[tuple[int, bytes]]):
         self.items = items
         at: list[list[np.ndarray]] = [[] for _ in range(REPEATS)]
+        words: dict[int, list[tuple[int, int, int]]] = {}
         for n, (_, text) in enumerate(items):
             raw = np.frombuffer(text, np.uint8)
             found = anchors(raw, reach=8)
             padded = np.concatenate([raw, np.zeros(STEPS, np.uint8)])
+            # a copy may follow a letter or another text, so that its first word is another one there
+            first = int(np.argmax(np.append(raw == 32, True)))
+            everywhere, windows = np.isin(found, first + anchors(raw[first:], reach=8)), 0
             for r in range(REPEATS):
                 key, end = keys(padded, found, r)
                 ok = end <= len(raw)
+                windows += int(((end < len(raw)) & everywhere).sum())
                 at[r].append(np.stack([key[ok], np.full(int(ok.sum()), n, np.uint64), found[ok].astype(np.uint64)]))
+            if not windows or len(raw) < LEAST:
+                size = min(8, len(raw))
+                for k in range(0, len(raw) - size + 1, 8) if len(raw) >= LEAST else [0]:
+                    words.setdefault(size, []).append((int.from_bytes(text[k : k + size], "little"), n, k))
+        #: by size: the sorted words, their items and places there, and a sieve of the words' hashes
+        self.words = {}
+        for size, rows in words.items():
+            w, who, where = (np.array(c, np.uint64) for c in zip(*sorted(rows)))
+            sieve = np.zeros(1 << 20, bool)
+            sieve[(mix64(w) & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+            self.words[size] = w, who.astype(np.int64), where.astype(np.int64), sieve
         self.table = []
         for r in range(REPEATS):
             x = np.concatenate(at[r], 1) if at[r] else np.zeros((3, 0), np.uint64)
@@ -146,7 +167,26 @@ class Index:
             for k in np.flatnonzero(hi > lo):
                 for j in range(lo[k], hi[k]):
                     out.add((int(self.table[r][1, j]), int(starts[maybe[k]]) - int(self.table[r][2, j])))
-        return sorted(out)
+        return sorted(out | self.plain(raw))
+
+    def plain(self, raw: np.ndarray) -> set[tuple[int, int]]:
+        """The same by words at every byte; of items under LEAST bytes only exact copies."""
+        out: set[tuple[int, int]] = set()
+        if not self.words or not len(raw):
+            return out
+        padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+        every = np.ndarray((len(raw),), "<u8", padded.data, strides=(1,)).astype(np.uint64)
+        for size, (w, who, where, sieve) in self.words.items():
+            here = every & np.uint64((1 << 8 * size) - 1)
+            maybe = np.flatnonzero(sieve[(mix64(here) & np.uint64((1 << 20) - 1)).astype(np.int64)])
+            lo, hi = (np.searchsorted(w, here[maybe], side=s) for s in ("left", "right"))
+            for k in np.flatnonzero(hi > lo):
+                for j in range(lo[k], hi[k]):
+                    n, begin = int(who[j]), int(maybe[k] - where[j])
+                    text = self.items[n][1]
+                    if len(text) >= LEAST or raw[begin : begin + len(text)].tobytes() == text:
+                        out.add((n, begin))
+        return out
 
 
 def hits(index: Index, b: pa.RecordBatch, rate: float) -> list[tuple[int, int, int, int]]:
@@ -163,7 +203,7 @@ def hits(index: Index, b: pa.RecordBatch, rate: float) -> list[tuple[int, int, i
             # an edited item may begin or end a little beyond the text that it stands in
             near = np.searchsorted(at, np.clip([begin, begin + len(text) // 2, begin + len(text) - 1], 0, len(part) - 1), side="right") - 1
             for d in set(near.tolist()):
-                if any(abs(x - begin) <= 4 for x in tried.get((d, n), ())):
+                if best.get((d, n), (1, 0))[0] == 0 or any(abs(x - begin) <= 4 for x in tried.get((d, n), ())):
                     continue
                 tried.setdefault((d, n), []).append(begin)
                 a, z = max(begin - slack, int(at[d])), min(begin + len(text) + slack, int(at[d + 1]))
@@ -190,11 +230,12 @@ def find(docs: DataFrame, items: list[tuple[int, bytes]], rate: float) -> DataFr
 
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
     """The items (item_id, folded text), at most about BLOCK at a time; a null item_id is -1."""
-    items = benchmark.where(F.octet_length("text") >= LEAST).select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), "text")
+    items = benchmark.where(F.octet_length("text") > 0).select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), "text")
     blocks = max(1, -(-items.count() // BLOCK))
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        yield sorted((r["item_id"], fold(np.frombuffer(r["text"].encode(), np.uint8)).tobytes()) for r in part.collect())
+        folded = ((r["item_id"], fold(np.frombuffer(r["text"].encode(), np.uint8)).tobytes()) for r in part.collect())
+        yield sorted(x for x in folded if x[1].strip(b" "))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2) -> DataFrame:

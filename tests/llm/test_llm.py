@@ -404,6 +404,25 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.without_matches(odd, bench).columns == odd.columns
 
 
+def test_short_and_unspaced_items(spark):
+    """Exact copies of items of every kind are found: words of any number, unspaced script, code, a few bytes."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(2, 12)))
+    texts = [" ".join(word() for _ in range(rnd.randrange(1, 12))) for _ in range(300)]
+    texts += ["".join(chr(rnd.randrange(0x4E00, 0x9FA0)) for _ in range(rnd.randrange(1, 60))) for _ in range(60)]
+    texts += ["".join(rnd.choice("xyz(){};=+") for _ in range(rnd.randrange(3, 150))) for _ in range(60)]
+    items = [(k, decontaminate.fold(np.frombuffer(t.encode(), np.uint8)).tobytes()) for k, t in enumerate(texts)]
+    docs = [a + t + z for t in texts for a, z in (("", ""), ("lead (", ") tail"), ("von", "bis"))]
+    got = defaultdict(set)
+    for d, n, *_ in decontaminate.hits(decontaminate.Index(items), pa.RecordBatch.from_arrays([pa.array(docs)], names=["text"]), 0.2):
+        got[d].add(n)
+    assert [d for d in range(len(docs)) if d // 3 not in got[d]] == []
+    bench = spark.createDataFrame([(1, "短い文です"), (2, " \n "), (3, "x=f(y);"), (4, "好" * 30 + "天气很" * 9)], "item_id long, text string")
+    table = spark.createDataFrame([(1, "これは短い文です。"), (2, "if x=f(y); then"), (3, "clean text"), (4, "今" + "好" * 30 + "天氣很" + "天气很" * 8)], "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(table, bench).collect()} == {(1, 1), (2, 3), (4, 4)}
+    assert [r["doc_id"] for r in decontaminate.without_matches(table, bench).collect()] == [3]
+
+
 def test_edit_distance():
     def slow(p, t):
         row = list(range(len(p) + 1))
