@@ -227,10 +227,15 @@ def dot_plot(sc: SingleCell, genes: list[str], cell_type: str, QC_column: str |
 # -- doublets ---------------------------------------------------------------------------------------------------------
 
 
+def pairs_together(present: DataFrame) -> DataFrame:
+    """(a, b, n): pairs of genes that occur together, and in how many cells; counts are combined before they are shuffled."""
+    return present.alias("x").join(present.alias("y"), (F.col("x.row_id") == F.col("y.row_id")) & (F.col("x.col_id") < F.col("y.col_id"))).groupBy(F.col("x.col_id").alias("a"), F.col("y.col_id").alias("b")).agg(F.count("*").alias("n"))
+
+
 def pair_counts(present: DataFrame, n: int, p: DataFrame) -> DataFrame:
     """Pairs of chosen genes (a, b, o): cells with exactly one of the two. The genes are a bounded choice, so that there
     are at most k (k - 1) / 2 pairs; counts are combined before they are shuffled."""
-    both = present.alias("x").join(present.alias("y"), (F.col("x.row_id") == F.col("y.row_id")) & (F.col("x.col_id") < F.col("y.col_id"))).groupBy(F.col("x.col_id").alias("a"), F.col("y.col_id").alias("b")).agg(F.count("*").alias("nab"))
+    both = pairs_together(present).withColumnRenamed("n", "nab")
     ga, gb = p.select(F.col("col_id").alias("a"), F.col("k").alias("na")), p.select(F.col("col_id").alias("b"), F.col("k").alias("nb"))
     pairs = ga.join(gb, F.col("a") < F.col("b"))  # of the chosen genes only
     return pairs.join(both, ["a", "b"], "left").select("a", "b", (F.col("na") + F.col("nb") - 2 * F.coalesce("nab", F.lit(0))).alias("o"), (F.col("na") / n).alias("pa"), (F.col("nb") / n).alias("pb"))

@@ -176,3 +176,14 @@ def test_de_storage(spark, tmp_path):
     de = DE(spark.createDataFrame([("T", "c", "g", 0.1, 0.2)], "cell_type string, coefficient string, gene string, p double, FDR double"))
     de.save(f"file://{tmp_path}/de")
     assert load_de(spark, f"file://{tmp_path}/de") == de and de.groups is None
+
+
+def test_doublet_pairs_of_all_genes(spark):
+    import duckdb
+
+    from cytoplane.plans import catalog
+
+    d = "/root/testdata/sf0.01"
+    want = duckdb.sql(f"WITH x AS (SELECT DISTINCT l_orderkey r, l_partkey c FROM '{d}/lineitem.parquet') SELECT a.c, b.c, count(*) FROM x a JOIN x b ON a.r = b.r AND a.c < b.c GROUP BY 1, 2").fetchall()
+    got = [tuple(r) for r in catalog.QUERIES["doublet_pair_counts"](spark, d).select("a", "b", "n").collect()]
+    assert sorted(got) == sorted(want) and max(r[1] for r in got) > 200
