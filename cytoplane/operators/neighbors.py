@@ -59,7 +59,7 @@ def _nearest(k: int, same: bool):
 
 def nearest(queries: DataFrame, base: DataFrame, k: int, centroids: np.ndarray | None = None, probes: int = 10, same: bool = False) -> DataFrame:
     """(i, j, d, rank): the k nearest of base for each query, squared distances, ties by id. same: a vector is not its
-    own neighbour. Queries that find fewer than k raise where the result is used with require_k."""
+    own neighbour. Queries whose cells hold fewer than k vectors are searched again in all cells, without centroids."""
     q, b = queries.select(F.col("row_id").alias("id"), F.col("value").alias("v")), base.select(F.col("row_id").alias("id"), F.col("value").alias("v"))
     if centroids is None:
         nb, nq = max(1, math.ceil(b.count() / TILE)), max(1, math.ceil(q.count() / TILE))
@@ -72,7 +72,16 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, centroids: np.ndarray |
         q = q.join(sizes, "cell").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).drop("tiles")
     found = q.groupBy("cell", "tile").cogroup(b.groupBy("cell", "tile")).applyInPandas(_nearest(k, same), FOUND)
     w = Window.partitionBy("i").orderBy("d", "j")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    if centroids is None:
+        return ranked
+    ranked = ranked.persist()
+    full = ranked.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("i").alias("row_id"))
+    short = queries.join(full, "row_id", "left_anti").persist()
+    if short.isEmpty():
+        return ranked
+    again = nearest(short, base, k, same=same)
+    return ranked.join(short.select(F.col("row_id").alias("i")), "i", "left_anti").select(*again.columns).unionByName(again)
 
 
 def assign(vectors: DataFrame, centroids: np.ndarray, n: int) -> DataFrame:

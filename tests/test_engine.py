@@ -187,3 +187,14 @@ def test_doublet_pairs_of_all_genes(spark):
     want = duckdb.sql(f"WITH x AS (SELECT DISTINCT l_orderkey r, l_partkey c FROM '{d}/lineitem.parquet') SELECT a.c, b.c, count(*) FROM x a JOIN x b ON a.r = b.r AND a.c < b.c GROUP BY 1, 2").fetchall()
     got = [tuple(r) for r in catalog.QUERIES["doublet_pair_counts"](spark, d).select("a", "b", "n").collect()]
     assert sorted(got) == sorted(want) and max(r[1] for r in got) > 200
+
+
+def test_neighbors_of_skewed_vectors(spark):
+    """A hot cell and many tiny ones far away: every query has its k, and nearly all of them are the right ones."""
+    rng = np.random.default_rng(4)
+    v = np.vstack([rng.normal(size=(300, 4)), *(rng.normal(size=(2, 4)) * 0.1 + 100 * rng.normal(size=4) for _ in range(30))])
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "row_id long, value array<double>")
+    c = np.vstack([v[:1], v[300::2]])
+    got, want = ({(r["i"], r["j"]) for r in nn.nearest(table, table, 10, x, probes=2, same=True).collect()} for x in (c, None))
+    assert len(got) == len(want) == 10 * len(v)
+    assert len(got & want) >= 0.9 * len(want)
