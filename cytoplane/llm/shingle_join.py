@@ -7,20 +7,24 @@ hashes; equal sets are one node from the start, however many copies there are.
    documents) come last, so that boilerplate is rarely looked at. A set of n shingles can only link with one that has
    one of its first n - ceil(3n/4) + 1 shingles among its own such (the first n - ceil(6n/7) + 1 for the smaller of
    the two). The packed search of _shared finds the shingles that two documents have there.
-2. Tiles. A tile holds the documents of one such shingle, and two can link only if their sizes are within 4/3 of each
-   other. In a few rounds every set is tried against one leader of its tiles; then, in tiles whose members are not one
-   component yet, every pair across components. Two members of one component need no test, so a large group of near
-   copies costs a few tests a member.
+2. Tiles. A tile is one such shingle and one band of sizes; bands are a little wider than 4/3, the widest ratio of sizes
+   that can link. A set is in the tile of its own band and, where it may be the smaller one, in that of the next band, so
+   each pair of near sizes has one band to meet in. In a few rounds every set is tried against one leader of its tiles;
+   then, in tiles whose members are not one component yet, pairs across components are tried. Two members of one
+   component need no test, so a large group of near copies costs a few tests a member. Sets that share many tiles meet
+   in the first of them only (as far as the lists of first tiles that they carry can tell).
 3. Each set has a bitmap of 512 parities, and where that is not enough one of 8192. Two sets differ in at least as many
    shingles as their bitmaps in bits, which bounds the overlap from above; pairs that pass are decided by exact
    intersection of the sorted arrays.
 
 No pair within the bound is lost: no cap on tiles, candidates or partners. Null text, empty text and text without words
 has an empty set (n_shingles 0) and links with nothing; with one to four words the whole sequence is the one shingle.
-Rows that share a doc_id count as one document; an empty table gives no rows; other columns are ignored."""
+A row with a null doc_id links with nothing, and its component_id is null. Rows that share a doc_id, with whatever
+texts, are in one component; each returns its own n_shingles. An empty table gives no rows; other columns are ignored."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +40,12 @@ WORDS = 5
 STARS = (1, 6)
 HOT = 1 << 16
 BITS, BIG = 512, 8192
+#: Ratio of the sizes of a band; a little over 4/3, so that rounding cannot part two sizes within 4/3 by two bands.
+BAND = 1.34
+#: First tiles that a set carries: as the smaller one of a pair, as the larger one.
+FIRSTS = (4, 8)
+#: Prefix shingles of a bucket of the packed search.
+BUCKET = 4_000_000
 #: Up to so many ids, 8 bytes each, are broadcast.
 FEW = 100_000
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -100,12 +110,12 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def heavy_shingles(docs: DataFrame, block: int = 3_000_000, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles, sorted, and their place among them by frequency. The list only sets an order: which
-    shingles it has changes what the join costs and not what it finds."""
+def heavy_shingles(docs: DataFrame, block: int = 3_000_000, least: int = 8) -> tuple[np.ndarray, np.ndarray, int]:
+    """The most frequent shingles, sorted, their place among them by frequency, and the sum of the sizes of all sets.
+    The list only sets an order: which shingles it has changes what the join costs and not what it finds."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, total = [], 0, 0
 
         def counted() -> Iterator[pa.RecordBatch]:
             x = np.sort(np.concatenate(held))
@@ -119,18 +129,21 @@ def heavy_shingles(docs: DataFrame, block: int = 3_000_000, least: int = 8) -> t
             for lo, hi in chunks(off):
                 got = shingle_sets(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 held += got
-                size += sum(map(len, got))
+                size += (more := sum(map(len, got)))
+                total += more
                 if size >= block:
                     yield from counted()
                     held, size = [], 0
         if size:
             yield from counted()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], names=["h", "n"])
 
-    got = docs.select("text").mapInArrow(work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HOT).collect()
-    h = np.array([r["h"] for r in got], np.int64).view(np.uint64)
+    # the sum of all sizes stands first: none is greater, and its h is null
+    got = docs.select("text").mapInArrow(work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HOT + 1).collect()
+    h = np.array([r["h"] for r in got[1:]], np.int64).view(np.uint64)
     rank = np.arange(len(h), 0, -1)
     order = np.argsort(h)
-    return h[order], rank[order]
+    return h[order], rank[order], got[0]["n"] if got else 0
 
 
 def prefix(s: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,9 +164,9 @@ def bitmap(s: np.ndarray, size: int = BITS) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _packed(docs: DataFrame, hot: np.ndarray, rank: np.ndarray) -> DataFrame:
+def _packed(docs: DataFrame, hot: np.ndarray, rank: np.ndarray, total: int) -> DataFrame:
     """PACKED rows of the prefixes (kinds 0 to 2) and of every document's size and set hash (kind 3)."""
-    buckets = 4 * partitions(docs.sparkSession)
+    buckets = max(4 * partitions(docs.sparkSession), total // (4 * BUCKET))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         block, seen = KeyBlock(buckets), set()
@@ -257,11 +270,53 @@ def _verified(pairs: DataFrame, bits: DataFrame, docs: DataFrame, label: str) ->
     return edges
 
 
+def _sizes(docs: DataFrame) -> DataFrame:
+    """n_shingles of each row."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw, off = texts_of(b)
+            for lo, hi in chunks(off):
+                yield pa.RecordBatch.from_arrays([pa.array(list(map(len, shingle_sets(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]))), pa.int64())], names=["n_shingles"])
+
+    return docs.select("text").mapInArrow(work, "n_shingles long")
+
+
+def _tiles(rows: DataFrame) -> DataFrame:
+    """Each set's rows (key, rep, n, small) by tile: (key, tile) with below for those of the band before."""
+    band = F.floor(F.log("n") / math.log(BAND)).cast("int")
+    return rows.withColumn("band", band).withColumn("tile", F.explode(F.when(F.col("small") == 1, F.array("band", F.col("band") + 1)).otherwise(F.array("band")))).withColumn("below", F.col("tile") > F.col("band")).drop("band")
+
+
+def _mixed(left: DataFrame, leaders: list[Column]) -> DataFrame:
+    """(key, tile, lead) of the tiles where sets of two components could be a pair."""
+    lead = [F.min(F.when(~F.col("below"), x)) for x in leaders]
+    found = left.groupBy("key", "tile").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("small").alias("s"), F.array(*lead).alias("lead"))
+    return found.where("x < y and s = 1 and lead[0] is not null").select("key", "tile", "lead")
+
+
+def _across(left: DataFrame, bits: DataFrame, label: str) -> DataFrame:
+    """Pairs (a, b) of sets of two components that a tile of left holds and that sizes and bitmaps let link. A pair is made
+    in its first tile, and in later ones only if the first tiles that the two carry do not show one they have in common."""
+    some = lambda which, k: F.slice(F.sort_array(F.collect_list(F.when(which, F.col("key")))), 1, k)
+    firsts = left.groupBy("rep", "tile").agg(some(F.col("small") == 1, FIRSTS[0]).alias("as_x"), some(~F.col("below"), FIRSTS[1]).alias("as_y"))
+    told = firsts.join(bits.select(F.col("id").alias("rep"), *_B).hint("merge"), "rep")
+    rows = staged(left.join(told.hint("merge"), ["rep", "tile"]), f"{label}-rows")
+    x, y = rows.where("small = 1").drop("as_y").alias("x"), rows.where("not below").drop("as_x").alias("y")
+    may = (F.col("x.key") == F.col("y.key")) & (F.col("x.tile") == F.col("y.tile")) & (F.col("x.component") != F.col("y.component"))
+    may &= (F.struct("x.n", "x.rep") < F.struct("y.n", "y.rep")) & (4 * F.col("x.n") >= 3 * F.col("y.n"))
+    may &= F.col("x.n") + F.col("y.n") >= 7 * _bits_differ("x.", "y.", _B)
+    may &= F.coalesce(F.array_min(F.array_intersect("as_x", "as_y")), F.col("x.key")) >= F.col("x.key")
+    return x.join(y.hint("merge"), may).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    unnamed = _sizes(docs.where("doc_id is null")).select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    docs = docs.where("doc_id is not null")
     packed = staged(_packed(docs, *heavy_shingles(docs)), "prefixes")
     sig = staged(_signatures(packed), "signatures")
     first = sig.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
@@ -271,39 +326,37 @@ def groups(docs: DataFrame) -> DataFrame:
     rows = staged(found.join(named.select("doc_id", "rep").distinct().hint("merge"), "doc_id").select("key", "rep", F.col("aux").alias("n"), F.col("more").alias("small")).distinct(), "rows")
     drop_staged(packed)
 
-    left = rows.withColumn("component", F.col("rep"))
+    left = _tiles(rows).withColumn("component", F.col("rep"))
+    # rows that share a doc_id stay together: their sets' names are linked from the start
+    one = named.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("doc_id", F.col("x").alias("a"))
+    bridges = named.join(one.hint("merge"), "doc_id").where("a < rep").select("a", F.col("rep").alias("b")).distinct()
     named = named.withColumnRenamed("rep", "component")
     # stars: every set is tried against a few leaders, each the one that it meets at most shingles; a tile's leaders are
-    # the least by some hashes, so that all tiles of a group of near copies have the same. Then all pairs.
+    # the least by some hashes, so that all tiles of a group of near copies have the same. Then pairs across components.
     for step in range(len(STARS) + 1):
         last = step == len(STARS)
         lead = [F.struct(F.xxhash64("rep", F.lit(10 * step + k)).alias("h"), "rep", "n", "component") for k in range(1 if last else STARS[step])]
-        tile = left.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("small").alias("s"), F.array(*map(F.min, lead)).alias("lead")).where("x < y and s = 1").select("key", "lead")
-        left = left.join(tile.hint("merge"), "key")
+        mixed = left.join(_mixed(left, lead).hint("merge"), ["key", "tile"])
         if last:
-            left = staged(left.drop("lead").join(bits.select(F.col("id").alias("rep"), *_B).hint("merge"), "rep"), "mixed")
-            x, y = left.where("small = 1").alias("x"), left.alias("y")
-            may = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.n") <= F.col("y.n")) & (4 * F.col("x.n") >= 3 * F.col("y.n"))
-            may &= F.col("x.n") + F.col("y.n") >= 7 * _bits_differ("x.", "y.", _B)
-            pairs = x.join(y.hint("merge"), may).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+            pairs = _across(staged(mixed.drop("lead"), "mixed"), bits, "across")
         else:
-            left = staged(left, f"mixed-{step}")
+            left = staged(mixed, f"mixed-{step}")
             each = left.select("rep", "n", "component", F.posexplode("lead").alias("way", "lead"))
             met = each.where("lead.component <> component and 4 * least(n, lead.n) >= 3 * greatest(n, lead.n)").groupBy("rep", "way", F.col("lead.rep").alias("leader")).agg(F.count("*").alias("k"))
-            one = met.groupBy("rep", "way").agg(F.max(F.struct("k", "leader")).alias("m"))
-            pairs = one.select(F.least("rep", "m.leader").alias("a"), F.greatest("rep", "m.leader").alias("b")).distinct()
+            top = met.groupBy("rep", "way").agg(F.max(F.struct("k", "leader")).alias("m"))
+            pairs = top.select(F.least("rep", "m.leader").alias("a"), F.greatest("rep", "m.leader").alias("b")).distinct()
             left = left.drop("lead")
         edges = _verified(staged(pairs, f"pairs-{step}"), bits, docs, f"round-{step}")
         # a link joins the components of its ends
         of = left.select("rep", "component").distinct()
-        bridges = edges.join(of.select(F.col("rep").alias("a"), F.col("component").alias("x")).hint("merge"), "a").join(of.select(F.col("rep").alias("b"), F.col("component").alias("y")).hint("merge"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        top = staged(components(bridges, f"cc-{step}"), f"top-{step}").select(F.col("id").alias("component"), F.col("component").alias("_top"))
-        lift = lambda t, top=top: t.join(top.hint("merge"), "component", "left").withColumn("component", F.coalesce("_top", "component")).drop("_top")
+        linked = edges.join(of.select(F.col("rep").alias("a"), F.col("component").alias("x")).hint("merge"), "a").join(of.select(F.col("rep").alias("b"), F.col("component").alias("y")).hint("merge"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        joined = staged(components(linked.union(bridges) if step == 0 else linked, f"cc-{step}"), f"top-{step}").select(F.col("id").alias("component"), F.col("component").alias("_top"))
+        lift = lambda t, top=joined: t.join(top.hint("merge"), "component", "left").withColumn("component", F.coalesce("_top", "component")).drop("_top")
         named = staged(lift(named), f"named-{step}")
         if not last:
             before, left = left, staged(lift(left), f"left-{step}")
             drop_staged(before)
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).unionByName(unnamed)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

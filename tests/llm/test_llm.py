@@ -304,43 +304,56 @@ def test_licence_bound():
 
 
 def shingle_truth(rows):
-    sets = {}
-    for i, t in rows:
+    """Sorted (id, number of shingles, component) of rows, which may share ids and texts and have none."""
+    sets = []
+    for _, t in rows:
         w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) if x]
-        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
-    group = {i: i for i in sets}
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    group = {i: i for i, _ in rows if i is not None}
 
     def find(i):
         while group[i] != i:
             i = group[i]
         return i
 
-    ids = sorted(sets)
-    for a in ids:
-        for b in ids:
-            if a < b and sets[a] and sets[b]:
-                both = len(sets[a] & sets[b])
-                if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
-                    x, y = find(a), find(b)
-                    group[max(x, y)] = min(x, y)
-    return {i: (len(s), find(i)) for i, s in sets.items()}
+    named = [(i, s) for (i, _), s in zip(rows, sets) if i is not None]
+    for k, (a, x) in enumerate(named):
+        for b, y in named[:k]:
+            if x and y and find(a) != find(b):
+                both = len(x & y)
+                if 100 * both >= 75 * (len(x) + len(y) - both):
+                    m, n = find(a), find(b)
+                    group[max(m, n)] = min(m, n)
+    return sorted(((i, len(s), None if i is None else find(i)) for (i, _), s in zip(rows, sets)), key=str)
+
+
+def grouped(df):
+    return sorted((tuple(r) for r in shingle_join.groups(df).collect()), key=str)
 
 
 def test_shingle_groups(spark, odd, none):
+    """Null ids, repeated rows, ids with two texts, chains of near copies, copies on both sides of the threshold."""
     rnd = random.Random(5)
     base = [f"w{rnd.randrange(400)}" for _ in range(120)]
-    rows = [(i, t) for i, t in pairs(odd.dropna(subset=["doc_id"]).dropDuplicates(["doc_id"]))]
-    for k in range(40):  # a chain of near copies
+    rows = pairs(odd)
+    for k in range(40):
         base = list(base)
         base[rnd.randrange(120)] = f"v{k}"
         rows.append((100 + k, " ".join(base)))
     rows += [(200 + k, " ".join(f"c{rnd.randrange(9)}" for _ in range(rnd.randrange(1, 12)))) for k in range(60)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in shingle_join.groups(docs).collect()}
-    assert got == shingle_truth(rows)
+    edited = [f"e{rnd.randrange(400)}" for _ in range(200)]
+    for k in range(80):
+        rows.append((300 + k, " ".join(f"n{k}" if rnd.random() < (0.02, 0.04, 0.08)[k % 3] else w for w in edited[rnd.randrange(9) : 200 - rnd.randrange(30)])))
+    rows += [(400, rows[40][1]), (400, rows[-1][1]), (401, rows[-1][1]), (-1, "a b c d e f g"), (None, "a b c d e f g"), (None, "s t u v w x y"), (-1, "a b c d e f g"), (402, "s t u v w x y")]
+    assert grouped(spark.createDataFrame(rows, "doc_id long, text string")) == shingle_truth(rows)
     assert shingle_join.groups(none).count() == 0
 
 
+def test_shingle_groups_of_the_test_table(spark):
+    rows = duckdb.sql(f"SELECT doc_id, coalesce(text, '') FROM '{D}/documents.parquet'").fetchall()
+    assert grouped(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == shingle_truth(rows)
+
+
 def dedup_truth(rows):
     first, out = {}, {}
     for i, t in sorted(rows):
@@ -449,4 +462,4 @@ def test_pipeline(spark):
     items = [r["text"] for r in spark.read.parquet(f"{D}/benchmark.parquet").collect()]
     assert docs < set(everything) and not any(t in everything[i] for i in docs for t in items)
     truth = shingle_truth([(i, t) for i, t in everything.items() if t and re.search("[^\\W\\d_]", t)])
-    assert all(c == i for i, (n, c) in truth.items() if i in docs)
+    assert all(c == i for i, _, c in truth if i in docs)
