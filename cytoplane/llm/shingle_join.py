@@ -37,7 +37,7 @@ from ._shared import PACKED, KeyBlock, components, drop_staged, mix64, packed_ba
 
 WORDS = 5
 #: Leaders that a set is tried against in each round, before all pairs that are left.
-STARS = (1, 6)
+STARS = (1, 3)
 HOT = 1 << 16
 BITS, BIG = 512, 8192
 #: Ratio of the sizes of a band; a little over 4/3, so that rounding cannot part two sizes within 4/3 by two bands.
@@ -169,7 +169,7 @@ def _packed(docs: DataFrame, hot: np.ndarray, rank: np.ndarray, total: int) -> D
     buckets = max(4 * partitions(docs.sparkSession), total // (4 * BUCKET))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        block, seen = KeyBlock(buckets), set()
+        block, seen = KeyBlock(buckets), {}
         for b in batches:
             raw, off = texts_of(b)
             ids = np.asarray(b.column(0))
@@ -181,8 +181,10 @@ def _packed(docs: DataFrame, hot: np.ndarray, rank: np.ndarray, total: int) -> D
                     sig[1, k] = len(s)
                     sig[2:4, k] = np.frombuffer(digest, np.int64)
                     sig[4:, k] = bitmap(s)
-                    if len(s) and digest not in seen:
-                        seen.add(digest)
+                    if digest in seen:  # one row for a set, under its least doc_id
+                        block.docs[seen[digest]] = min(block.docs[seen[digest]], int(ids[k]))
+                    elif len(s):
+                        seen[digest] = len(block.docs)
                         keys, index = prefix(s, hot, rank)
                         block.add(int(ids[k]), keys, len(s), index)
                 if block.full():
@@ -323,7 +325,9 @@ def groups(docs: DataFrame) -> DataFrame:
     named = staged(sig.select("doc_id", "n", "h1", "h2").join(first.hint("merge"), ["h1", "h2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "named")
     bits = sig.withColumnRenamed("doc_id", "id")
     found = shared_rows(packed.where("kind < 3"))
-    rows = staged(found.join(named.select("doc_id", "rep").distinct().hint("merge"), "doc_id").select("key", "rep", F.col("aux").alias("n"), F.col("more").alias("small")).distinct(), "rows")
+    # every set stands in some block under its least doc_id; its rows in other blocks add nothing
+    rows = found.join(named.where("doc_id = rep").select("doc_id").hint("merge"), "doc_id", "left_semi")
+    rows = staged(rows.select("key", F.col("doc_id").alias("rep"), F.col("aux").alias("n"), F.col("more").alias("small")), "rows")
     drop_staged(packed)
 
     left = _tiles(rows).withColumn("component", F.col("rep"))
