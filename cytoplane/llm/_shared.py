@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import tempfile
 import uuid
@@ -173,9 +174,9 @@ def _packed(rows: list[tuple]) -> pa.RecordBatch:
 SHARED = "key long, doc_id long, aux long, more int"
 
 
-def shared_rows(packed: DataFrame) -> DataFrame:
-    """From PACKED rows: (key, doc_id, aux, more) of every key that is in two documents or more. Rows of another kind
-    (3 and up) are passed on with key null: doc_id and aux from docs, keys as bytes are dropped."""
+def shared_rows(packed: DataFrame, within: tuple[int, int] | None = None) -> DataFrame:
+    """From PACKED rows of kinds 0 to 2: (key, doc_id, aux, more) of every key that is in two documents or more; with
+    within = (p, q), only rows whose aux is at most p / q times, and at least q / p times, that of another row of the key."""
 
     def work(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_numpy()
@@ -201,6 +202,12 @@ def shared_rows(packed: DataFrame) -> DataFrame:
             for x, y in zip(out, (keys.view(np.int64), docs[0][at], docs[1][at], more.astype(np.int32))):
                 x.append(y)
         cols = [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, np.int64, np.int32))]
+        if within and len(cols[0]):
+            order = np.lexsort((cols[2], cols[0]))
+            key, aux = cols[0][order], cols[2][order]
+            near = (key[1:] == key[:-1]) & (within[1] * aux[1:] <= within[0] * aux[:-1])
+            keep = np.sort(order[np.append(near, False) | np.insert(near, 0, False)])
+            cols = [c[keep] for c in cols]
         return pa.table(dict(zip(("key", "doc_id", "aux", "more"), cols)))
 
     return packed.groupBy("bucket").applyInArrow(work, SHARED)
@@ -214,7 +221,7 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     two sums that tell when it stands still."""
     cur = staged(edges.where("a <> b").select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct(), f"{label}-0")
     before = None
-    for k in range(1, 64):
+    for k in itertools.count(1):
         both = cur.select("a", "b").union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()

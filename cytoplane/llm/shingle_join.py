@@ -6,7 +6,7 @@ hashes; equal sets are one node from the start, however many copies there are.
 1. Candidates. Shingles have one global order, in which the most frequent (a list of bounded size, counted over all
    documents) come last, so that boilerplate is rarely looked at. A set of n shingles can only link with one that has
    one of its first n - ceil(3n/4) + 1 shingles among its own such (the first n - ceil(6n/7) + 1 for the smaller of
-   the two). The packed search of _shared finds the shingles that two documents have there.
+   the two). The packed search of _shared finds the shingles that two documents of near sizes have there.
 2. Tiles. A tile is one such shingle and one band of sizes; bands are a little wider than 4/3, the widest ratio of sizes
    that can link. A set is in the tile of its own band and, where it may be the smaller one, in that of the next band, so
    each pair of near sizes has one band to meet in. In a few rounds every set is tried against one leader of its tiles;
@@ -254,12 +254,14 @@ def _verified(pairs: DataFrame, bits: DataFrame, docs: DataFrame, label: str) ->
                 keep.append(100 * both >= 75 * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([t.column("a").filter(pa.array(keep, pa.bool_())), t.column("b").filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
-    def meet(pairs: DataFrame, what: str, *more: str) -> DataFrame:
+    def meet(pairs: DataFrame, sets: DataFrame, what: str) -> DataFrame:
         one = pairs.join(sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col(what).alias("y")).hint("merge"), "b")
         return one.join(sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col(what).alias("x")).hint("merge"), "a").select("a", "b", (F.col("na") + F.col("nb")).alias("m"), "x", "y")
 
-    likely = staged(meet(near, "big").mapInArrow(passes, "a long, b long"), f"{label}-likely")
-    both = meet(likely, "items")
+    likely = staged(meet(near, sets, "big").mapInArrow(passes, "a long, b long"), f"{label}-likely")
+    # whole sets go on only where a pair is left for them
+    left = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct()
+    both = meet(likely, sets.join(left.hint(how), "id", "left_semi"), "items")
     # a row has two whole sets: few at a time
     rows = spark.conf.get(_ROWS)
     spark.conf.set(_ROWS, "32")
@@ -324,7 +326,7 @@ def groups(docs: DataFrame) -> DataFrame:
     first = sig.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
     named = staged(sig.select("doc_id", "n", "h1", "h2").join(first.hint("merge"), ["h1", "h2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "named")
     bits = sig.withColumnRenamed("doc_id", "id")
-    found = shared_rows(packed.where("kind < 3"))
+    found = shared_rows(packed.where("kind < 3"), within=(4, 3))
     # every set stands in some block under its least doc_id; its rows in other blocks add nothing
     rows = found.join(named.where("doc_id = rep").select("doc_id").hint("merge"), "doc_id", "left_semi")
     rows = staged(rows.select("key", F.col("doc_id").alias("rep"), F.col("aux").alias("n"), F.col("more").alias("small")), "rows")
