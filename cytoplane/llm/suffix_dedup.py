@@ -7,18 +7,21 @@ judged on the input, and never cross documents.
    packed search of _shared finds the anchors that two documents have: only strings around these can repeat.
 2. The stretches of strings with such an anchor are cut out as segments. Equal segments are one row with the smallest
    and the largest of their documents, combined before they are shuffled.
-3. Segments meet in the bucket of their anchor. A bucket's text is sorted block by block: a difference-cover sample of
-   its suffixes (three residues of seven) is ranked first, by prefix doubling over the cover; then the suffixes of the
-   block fall into groups by their first 8 bytes, and ties, however long, are decided by the ranks of the next two
-   sample suffixes that stand at one distance. Neighbours in this order with 50 equal bytes are one string, and the
-   least document of its suffixes is its first. Memory is bounded by the block.
-4. An anchor with more distinct segments than a block takes (the ragged edges of a passage that a third of all
-   documents share) is not put into one task: its strings are counted one by one, combined before the shuffle.
+3. Segments meet in the bucket of their anchor; the number of buckets follows the number of segments. A bucket's text is
+   sorted block by block: a difference-cover sample of its suffixes (three residues of seven) is ranked first, by prefix
+   doubling over the cover; then the suffixes of the block fall into groups by their first 8 bytes, and ties, however
+   long, are decided by the ranks of the next two sample suffixes that stand at one distance. Neighbours in this order
+   with 50 equal bytes are one string, and the least document of its suffixes is its first. A task holds one bucket.
+4. An anchor with very many distinct segments (the ragged edges of a passage that a third of all documents share) is
+   dealt to many buckets: each string has 16 more bytes in common with its equals, either before or behind the anchor,
+   and is sorted in their bucket. If even there more segments meet than a task should take, they are dealt by their
+   strings, combined before the shuffle.
 
 Whole copies of a document are found by their digest and need no search: they lose all, if they have 50 bytes.
 
-Null text counts as empty; texts under 50 bytes stay; rows that share a doc_id do not remove from one another; an empty
-table gives no rows; columns other than doc_id and text are ignored."""
+Null text counts as empty; texts under 50 bytes stay; a row with a null doc_id neither loses nor removes anything, and the
+id stays null; rows that share a doc_id, with equal or other texts, do not remove from one another; an empty table gives
+no rows; columns other than doc_id and text are ignored."""
 
 from __future__ import annotations
 
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,11 +39,17 @@ from .shingle_join import chunks
 
 LENGTH, ANCHOR = 50, 16
 WINDOWS = LENGTH - ANCHOR + 1
-#: More segments of one anchor than this are counted string by string.
-CROWD = 2000
+#: An anchor with more segments than CROWD is dealt to buckets of 16 more bytes; of those with more than LARGE, each
+#: string is a bucket.
+CROWD, LARGE = 2000, 20_000
+MORE = 16
+#: Bytes of a bucket, at most a few times this.
+BUCKET_BYTES = 32 << 20
 #: Suffixes sorted at a time.
 BLOCK = 40_000
 PERIOD, COVER = 7, (0, 1, 3)
+#: Places in a text take so many bits.
+NTH = 40
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -50,13 +59,14 @@ def words_at(raw: np.ndarray, order: str, extra: int) -> np.ndarray:
     return np.ndarray((len(raw) + extra,), f"{order}u8", padded.data, strides=(1,)).astype(np.uint64)
 
 
-def stretches(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of 50-byte strings with one anchor: document, first start, number of starts, anchor's hash (even)."""
+def stretches(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of 50-byte strings with one anchor: document, first start, number of starts, anchor's hash (even), and how far
+    behind the first start the anchor stands."""
     none = np.zeros(0, np.int64)
     n = len(raw)
     fits = np.diff(off) >= LENGTH
     if n < LENGTH or not fits.any():
-        return none, none, none, np.zeros(0, np.uint64)
+        return none, none, none, np.zeros(0, np.uint64), none
     u = words_at(raw, "<", 16)
     h = mix64(u[:n] * np.uint64(0x9E3779B97F4A7C15) + mix64(u[8 : n + 8]))
     bits = np.uint64(max(20, int(n).bit_length()))
@@ -74,7 +84,7 @@ def stretches(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (np.diff(at) > 1)]))
     size = np.diff(np.append(first, len(at)))
     doc = np.searchsorted(off, at[first], side="right") - 1
-    return doc, at[first], size, h[anchor[first]] & ~np.uint64(1)
+    return doc, at[first], size, h[anchor[first]] & ~np.uint64(1), anchor[first] - at[first]
 
 
 def _blocks(batch: pa.RecordBatch, name: str = "text"):
@@ -83,26 +93,31 @@ def _blocks(batch: pa.RecordBatch, name: str = "text"):
         yield lo, hi, raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
 
 
-def _anchors(docs: DataFrame) -> DataFrame:
-    """PACKED rows of the distinct anchors of each document; copies in a block are one, under the least doc_id."""
-    buckets = 4 * partitions(docs.sparkSession)
+def _buckets(spark: SparkSession, size: int) -> int:
+    return max(4 * partitions(spark), size // BUCKET_BYTES)
+
+
+def _anchors(docs: DataFrame, size: int) -> DataFrame:
+    """PACKED rows of the distinct anchors of each document, with nth; copies in a block are one, under the least doc_id."""
+    buckets = _buckets(docs.sparkSession, size // 2)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         block, seen = KeyBlock(buckets), {}
         for b in batches:
-            ids = np.asarray(b.column(0))
+            ids, nth = np.asarray(b.column(0)), np.asarray(b.column(2))
             for lo, hi, raw, off in _blocks(b):
-                doc, _, _, key = stretches(raw, off)
+                doc, _, _, key, _ = stretches(raw, off)
                 cut = np.searchsorted(doc, np.arange(hi - lo + 1))
                 for k in range(hi - lo):
                     if cut[k] == cut[k + 1]:
                         continue
                     digest = hashlib.blake2b(raw[off[k] : off[k + 1]].data, digest_size=16).digest()
                     if digest in seen:
-                        block.docs[seen[digest]] = min(block.docs[seen[digest]], int(ids[lo + k]))
+                        at = seen[digest]
+                        block.docs[at], block.aux[at] = min((block.docs[at], block.aux[at]), (int(ids[lo + k]), int(nth[lo + k])))
                         continue
                     seen[digest] = len(block.docs)
-                    block.add(int(ids[lo + k]), np.unique(key[cut[k] : cut[k + 1]]))
+                    block.add(int(ids[lo + k]), np.unique(key[cut[k] : cut[k + 1]]), int(nth[lo + k]))
                 if block.full():
                     yield from block.flush()
                     seen.clear()
@@ -112,14 +127,15 @@ def _anchors(docs: DataFrame) -> DataFrame:
 
 
 def _segments(docs: DataFrame) -> DataFrame:
-    """Of documents with the sorted list of their shared anchors: key, h (of the segment), doc_id, at, segment."""
+    """Of documents with the list of their shared anchors: key, h (of the segment), doc_id, at, rel (how far into the
+    segment its anchor stands), segment. at has nth in its upper bits."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, lists = np.asarray(b.column(0)), b.column(2)
+            ids, nth, lists = np.asarray(b.column(0)), np.asarray(b.column(3)), b.column(2)
             flat, cuts = np.asarray(lists.flatten()).view(np.uint64), np.asarray(lists.offsets) - lists.offsets[0].as_py()
             for lo, hi, raw, off in _blocks(b):
-                doc, first, size, key = stretches(raw, off)
+                doc, first, size, key, rel = stretches(raw, off)
                 keep = np.zeros(len(doc), bool)
                 edges = np.searchsorted(doc, np.arange(hi - lo + 1))
                 for k in range(hi - lo):
@@ -127,7 +143,7 @@ def _segments(docs: DataFrame) -> DataFrame:
                     if len(have) and edges[k] < edges[k + 1]:
                         have = np.sort(have)
                         keep[part] = have[np.minimum(np.searchsorted(have, key[part]), len(have) - 1)] == key[part]
-                doc, first, size, key = doc[keep], first[keep], size[keep], key[keep]
+                doc, first, size, key, rel = doc[keep], first[keep], size[keep], key[keep], rel[keep]
                 if not len(doc):
                     continue
                 length = size + LENGTH - 1
@@ -140,9 +156,9 @@ def _segments(docs: DataFrame) -> DataFrame:
                 power = np.cumprod(power, dtype=np.uint64)
                 h = mix64(np.add.reduceat(mix64(body.astype(np.uint64) + np.uint64(1)) * power[inside], ends - length) + size.astype(np.uint64))
                 text = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(np.append(0, ends).astype(np.int32).tobytes()), pa.py_buffer(body.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(h.view(np.int64)), pa.array(ids[lo + doc]), pa.array(first - off[doc]), text], names=["key", "h", "doc_id", "at", "segment"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(h.view(np.int64)), pa.array(ids[lo + doc]), pa.array((first - off[doc]) | nth[lo + doc] << NTH), pa.array(rel.astype(np.int32)), text], names=["key", "h", "doc_id", "at", "rel", "segment"])
 
-    return docs.mapInArrow(work, "key long, h long, doc_id long, at long, segment binary")
+    return docs.mapInArrow(work, "key long, h long, doc_id long, at long, rel int, segment binary")
 
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -230,7 +246,7 @@ def first_documents(segments: pa.Array, low: np.ndarray) -> tuple[np.ndarray, np
 MARKS = "key long, h long, skip int, many int, first long"
 
 
-def _marks(segments: DataFrame) -> DataFrame:
+def _marks(segments: DataFrame, buckets: int) -> DataFrame:
     """Stretches of starts of each segment and the first document of their strings, where that is before the segment's
     last document."""
 
@@ -257,46 +273,89 @@ def _marks(segments: DataFrame) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
         return pa.table([pa.array(np.concatenate(x) if x else [], t) for x, t in zip(out, kinds)], names=["key", "h", "skip", "many", "first"])
 
-    buckets = 4 * partitions(segments.sparkSession)
+    segments = segments.select("key", "h", "low", "high", "segment")
     return segments.withColumn("bucket", F.pmod(F.shiftright("key", 5), F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(work, MARKS)
 
 
-def _crowded_marks(segments: DataFrame) -> DataFrame:
-    """MARKS of segments of crowded anchors: each string by itself."""
+def _string_marks(segments: DataFrame) -> DataFrame:
+    """MARKS of segments, each string by itself."""
     each = segments.select("key", "h", "low", "high", F.explode(F.sequence(F.lit(0), F.length("segment") - LENGTH)).alias("skip"), "segment").withColumn("string", F.expr(f"substring(segment, skip + 1, {LENGTH})")).drop("segment")
     least = each.groupBy("string").agg(F.min("low").alias("first"))
     return each.join(least.hint("merge"), "string").where("first < high").select("key", "h", F.col("skip").cast("int").alias("skip"), F.lit(1).alias("many"), "first")
 
 
+def _parted(segments: DataFrame) -> DataFrame:
+    """Segments of crowded anchors in two parts: the strings with MORE bytes or a little over before the anchor, and the
+    others, which have as many behind it. key2 names the anchor with those bytes; skip0 is where the part begins."""
+    half = MORE + 2
+    size, rel = F.length("segment") - LENGTH + 1, F.col("rel")
+    begin = F.greatest(rel - half + 1, F.lit(0))
+    before = F.struct(F.lit(0).alias("side"), F.lit(0).alias("skip0"), F.least(size, begin).alias("many"), (rel - MORE).alias("near"))
+    behind = F.struct(F.lit(1).alias("side"), begin.alias("skip0"), (size - begin).alias("many"), (rel + ANCHOR).alias("near"))
+    each = segments.withColumn("part", F.explode(F.array(before, behind))).where("part.many > 0").select("key", "h", "low", "high", "part.skip0", F.expr(f"substring(segment, part.near + 1, {MORE})").alias("near"), "part.side", F.expr(f"substring(segment, part.skip0 + 1, part.many + {LENGTH - 1})").alias("segment"))
+    return each.withColumn("key2", F.xxhash64("key", "side", "near")).withColumn("h2", F.xxhash64(F.lit(5), "segment")).drop("near", "side")
+
+
+def _crowded_marks(segments: DataFrame, buckets: int) -> DataFrame:
+    """MARKS of segments of crowded anchors, sorted in the buckets of their parts."""
+    parts = staged(_parted(segments), "parts")
+    distinct = parts.groupBy(F.col("key2").alias("key"), F.col("h2").alias("h")).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.first("segment").alias("segment"))
+    distinct = staged(distinct, "distinct-parts")
+    plain, large = _by_number(distinct, LARGE, "large")
+    marks = staged(_marks(plain, buckets).unionByName(_string_marks(large)), "part-marks")
+    marks = marks.select(F.col("key").alias("key2"), F.col("h").alias("h2"), "skip", "many", "first")
+    return parts.select("key", "h", "key2", "h2", "skip0").join(marks.hint("merge"), ["key2", "h2"]).select("key", "h", (F.col("skip") + F.col("skip0")).cast("int").alias("skip"), "many", "first")
+
+
+def _by_number(segments: DataFrame, most: int, label: str) -> tuple[DataFrame, DataFrame]:
+    """Segments of the anchors with at most so many, and of the others."""
+    crowded = staged(segments.groupBy("key").count().where(F.col("count") > most).select("key"), label)
+    # numbers only, one for each `most` segments at most: broadcast where they are few, joined by sorting beyond that
+    how = "broadcast" if crowded.count() <= 100_000 else "merge"
+    return segments.join(crowded.hint(how), "key", "left_anti"), segments.join(crowded.hint(how), "key", "left_semi")
+
+
 def deduplicate(docs: DataFrame, keep: str | None = "bytes", carry: tuple[str, ...] = ()) -> DataFrame:
     """RESULT of every document; kept has the bytes that stay, or with keep = "text" the whole characters
     among them, or null without keep. Columns to carry along stand in the struct `row`."""
     spark = docs.sparkSession
     small_batches(spark)
     row = F.struct(F.lit(True).alias("_row"), *carry).alias("row")
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), row)
-    rows = docs
-    docs = docs.select("doc_id", "text")
-    named = staged(docs.select("doc_id", F.octet_length("text").alias("n"), F.sha2(F.col("text").cast("binary"), 256).alias("digest")), "digests")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), row)
+    docs = rows.where("doc_id is not null").select("doc_id", "text")
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    named = staged(docs.select("doc_id", F.octet_length("text").cast("long").alias("n"), digest.alias("digest")), "digests")
+    size = named.agg(F.sum("n")).first()[0] or 0
+    # where a doc_id has several texts, nth numbers them; elsewhere it is 0
+    several = named.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x < y").select("doc_id")
+    rank = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("digest"))
+    several = staged(named.join(several.hint("merge"), "doc_id", "left_semi").select("doc_id", "digest").distinct().withColumn("nth", rank.cast("long")), "several")
+    few = several.count()
+
+    def numbered(t: DataFrame, digest=digest) -> DataFrame:
+        if not few:
+            return t.withColumn("nth", F.lit(0).cast("long"))
+        with_digest = t.withColumn("_digest", digest)
+        return with_digest.join(several.withColumnRenamed("digest", "_digest").hint("broadcast" if few <= 100_000 else "merge"), ["doc_id", "_digest"], "left").drop("_digest").withColumn("nth", F.coalesce("nth", F.lit(0)))
+
+    docs = numbered(docs)
     first = named.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    copies = staged(named.where(f"n >= {LENGTH}").join(first.hint("merge"), "digest").where("rep < doc_id").select("doc_id").distinct(), "copies")
+    copies = numbered(named.where(f"n >= {LENGTH}").join(first.hint("merge"), "digest").where("rep < doc_id"), F.col("digest")).select("doc_id", "nth").distinct()
+    copies = staged(copies, "copies")
 
-    shared = shared_rows(_anchors(docs)).groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
-    wanted = staged(shared.join(copies.hint("merge"), "doc_id", "left_anti"), "wanted")
-    found = staged(_segments(docs.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "keys")), "segments")
-    distinct = staged(found.groupBy("key", "h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("segment").alias("segment")), "distinct")
+    shared = shared_rows(_anchors(docs.select("doc_id", "text", "nth"), size)).groupBy("doc_id", F.col("aux").alias("nth")).agg(F.collect_list("key").alias("keys"))
+    wanted = staged(shared.join(copies.hint("merge"), ["doc_id", "nth"], "left_anti"), "wanted")
+    found = staged(_segments(docs.join(wanted.hint("merge"), ["doc_id", "nth"]).select("doc_id", "text", "keys", "nth")), "segments")
+    distinct = staged(found.groupBy("key", "h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("rel").alias("rel"), F.first("segment").alias("segment")), "distinct")
     drop_staged(wanted)
-    crowded = staged(distinct.groupBy("key").count().where(F.col("count") > CROWD).select("key"), "crowded")
-    # numbers only, one for each CROWD segments at most: broadcast where they are few, joined by sorting beyond that
-    how = "broadcast" if crowded.count() <= 100_000 else "merge"
-    plain = staged(_marks(distinct.join(crowded.hint(how), "key", "left_anti")), "plain-marks")
-    crowd = staged(_crowded_marks(distinct.join(crowded.hint(how), "key", "left_semi")), "crowd-marks")
-    drop_staged(distinct)
-    marks = plain.unionByName(crowd)
-    cover = found.select("key", "h", "doc_id", "at").join(marks.hint("merge"), ["key", "h"]).where("first < doc_id").select("doc_id", F.struct((F.col("at") + F.col("skip")).alias("at"), F.col("many")).alias("s"))
-    cover = staged(cover.groupBy("doc_id").agg(F.collect_list("s.at").alias("at"), F.collect_list("s.many").alias("many")), "cover")
+    buckets = _buckets(spark, 2 * LENGTH * distinct.count())
+    few_segments, crowd = _by_number(distinct, CROWD, "crowded")
+    marks = staged(_marks(few_segments, buckets), "plain-marks").unionByName(_crowded_marks(crowd, buckets))
+    cover = found.select("key", "h", "doc_id", "at").join(marks.hint("merge"), ["key", "h"]).where("first < doc_id").select("doc_id", F.shiftright("at", NTH).alias("nth"), F.struct((F.col("at").bitwiseAND((1 << NTH) - 1) + F.col("skip")).alias("at"), F.col("many")).alias("s"))
+    cover = staged(cover.groupBy("doc_id", "nth").agg(F.collect_list("s.at").alias("at"), F.collect_list("s.many").alias("many")), "cover")
     drop_staged(found)
-    joined = rows.join(cover.hint("merge"), "doc_id", "left").join(copies.withColumn("copy", F.lit(True)).hint("merge"), "doc_id", "left").select("doc_id", "text", "at", "many", F.coalesce("copy", F.lit(False)).alias("copy"), "row")
+    drop_staged(distinct)
+    joined = numbered(rows).join(cover.hint("merge"), ["doc_id", "nth"], "left").join(copies.withColumn("copy", F.lit(True)).hint("merge"), ["doc_id", "nth"], "left").select("doc_id", "text", "at", "many", F.coalesce("copy", F.lit(False)).alias("copy"), "row")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -1,15 +1,16 @@
 """Operator 10: token ids as length-delimited binary records with masked checksums and an offset index.
 
 A record is: length (8 bytes), masked CRC-32C of these 8 bytes (4), the data, masked CRC-32C of the data (4), all
-little-endian. The data of a sequence is its doc_id (8 bytes), the number of ids (4) and the ids, 2 bytes each where
-the vocabulary allows it, else 4. Beside each file lies an index: the offset of every record as 8 bytes, so that a
+little-endian. The data of a sequence is its doc_id (8 bytes), the number of ids (4; its top bit marks a null doc_id) and
+the ids, 2 bytes each where the vocabulary allows it, else 4. Beside each file lies an index: the offset of every record as 8 bytes, so that a
 reader can fetch records in any order.
 
-Documents are dealt out by ranges of doc_id, and each task writes one file under a name of its own attempt to the
+Documents are dealt out by ranges of doc_id, as many as there are shuffle partitions or, on large input, as make about
+`SHARD_BYTES` of text each, and each task writes one file under a name of its own attempt to the
 shared folder; only files of tasks that ended well enter the manifest, so lost or repeated tasks leave no trace in it.
 
-Null text counts as empty (only the end id); repeated doc_ids are each written, in order of their text; a null doc_id is written as -1; an empty
-table gives no rows; columns other than doc_id and text are ignored."""
+Null text counts as empty (only the end id); repeated doc_ids are each written, in order of their text; rows with a
+null doc_id come first, and the id is read back as null; an empty table gives no rows; columns other than doc_id and text are ignored."""
 
 from __future__ import annotations
 
@@ -28,7 +29,9 @@ from .tokens import encoder
 
 MANIFEST = "shard int, path string, n_docs long, n_ids long, n_bytes long"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
+SHARD_BYTES = 512 << 20
 _CHUNK = 64
+_NULL = 1 << 31
 
 
 def _crc_tables() -> np.ndarray:
@@ -128,7 +131,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 1, drop_space:
                 continue
             out = out or fs.open_output_stream(path)
             ids = [i + end for i in enc.encode_many(b.column(1))]
-            framed = frame([d.to_bytes(8, "little", signed=True) + (len(i) // width).to_bytes(4, "little") + i for d, i in zip(b.column(0).to_pylist(), ids)])
+            framed = frame([(d or 0).to_bytes(8, "little", signed=True) + (len(i) // width | (_NULL if d is None else 0)).to_bytes(4, "little") + i for d, i in zip(b.column(0).to_pylist(), ids)])
             size = np.array([len(f) for f in framed], np.int64)
             offsets.append(at + np.cumsum(size) - size)
             out.write(b"".join(framed))
@@ -139,7 +142,9 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 1, drop_space:
                 f.write(np.concatenate(offsets).astype("<i8").tobytes())
             yield pa.RecordBatch.from_pylist([{"shard": shard, "path": path, "n_docs": n_docs, "n_ids": n_ids, "n_bytes": at}], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]))
 
-    dealt = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), "text").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(partitions(spark), -(-size // SHARD_BYTES))
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     return staged(dealt.mapInArrow(work, MANIFEST), "manifest").withColumn("uri", F.lit(folder))
 
 
@@ -164,15 +169,19 @@ def read_records(manifest: DataFrame, width: int = 2, block: int = 8_000_000) ->
                         data = unframe(f.read(int(offsets[n] - offsets[k])), offsets[k:n] - offsets[k])
                         ids = [np.frombuffer(d, f"<u{width}", offset=12) for d in data]
                         size = np.array([len(i) for i in ids], np.int64)
-                        if any(int.from_bytes(d[8:12], "little") != len(i) for d, i in zip(data, ids)):
+                        if any(int.from_bytes(d[8:12], "little") & ~_NULL != len(i) for d, i in zip(data, ids)):
                             raise ValueError("a sequence is damaged")
-                        yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(d[:8], "little", signed=True) for d in data], pa.int64()), pa.array(start + np.cumsum(size) - size), pa.array(size), pa.array([zlib.crc32(i.astype("<u4")) for i in ids], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                        yield pa.RecordBatch.from_arrays([pa.array(list(map(_doc_id, data)), pa.int64()), pa.array(start + np.cumsum(size) - size), pa.array(size), pa.array([zlib.crc32(i.astype("<u4")) for i in ids], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
                         start, k = start + int(size.sum()), n
 
     return placed.repartition(partitions(spark)).mapInArrow(work, RESULT)
 
 
-def fetch(path: str, numbers: list[int], width: int = 2) -> list[tuple[int, np.ndarray]]:
+def _doc_id(data: bytes) -> int | None:
+    return None if int.from_bytes(data[8:12], "little") & _NULL else int.from_bytes(data[:8], "little", signed=True)
+
+
+def fetch(path: str, numbers: list[int], width: int = 2) -> list[tuple[int | None, np.ndarray]]:
     """(doc_id, ids) of the records of one file by their numbers, in any order, by the offset index."""
     fs, root = _store(path)
     with fs.open_input_stream(f"{root}.index") as f:
@@ -182,7 +191,7 @@ def fetch(path: str, numbers: list[int], width: int = 2) -> list[tuple[int, np.n
         for k in numbers:
             f.seek(int(offsets[k]))
             d = unframe(f.read(int(offsets[k + 1] - offsets[k])), np.zeros(1, np.int64))[0]
-            out.append((int.from_bytes(d[:8], "little", signed=True), np.frombuffer(d, f"<u{width}", offset=12)))
+            out.append((_doc_id(d), np.frombuffer(d, f"<u{width}", offset=12)))
     return out
 
 
