@@ -1,16 +1,60 @@
-"""Model formulas: `~ a + b + a:b`, `0 +` or `- 1` without an intercept, back-quoted names, `a*b`."""
+"""Model formulas: `~ a + b + a:b`, `0 +` or `- 1` without an intercept, back-quoted names, `a*b`, and functions of
+columns such as `log2(a)` or `I(a^2)`."""
 
 from __future__ import annotations
 
+import ast
 import re
 
 import numpy as np
 import pandas as pd
 
 
+FUNCTIONS = {"log": np.log, "log2": np.log2, "log10": np.log10, "log1p": np.log1p, "exp": np.exp, "sqrt": np.sqrt, "abs": np.abs, "I": lambda x: x}
+_CALL = re.compile(rf"\b(?:{'|'.join(FUNCTIONS)})\s*\(")
+
+
+def _calls(formula: str) -> list[str]:
+    """The calls of functions in a formula that stand in no other call."""
+    out, at = [], 0
+    while m := _CALL.search(formula, at):
+        depth, at = 1, m.end()
+        while depth:
+            if at >= len(formula):
+                raise ValueError(f"no closing parenthesis: {formula}")
+            depth += {"(": 1, ")": -1}.get(formula[at], 0)
+            at += 1
+        out.append(formula[m.start() : at])
+    return out
+
+
+def evaluate(call: str, table: pd.DataFrame) -> np.ndarray:
+    """A call of FUNCTIONS on numeric columns; within it + - * / ^ and parentheses have their usual meaning."""
+    ops = {ast.Add: np.add, ast.Sub: np.subtract, ast.Mult: np.multiply, ast.Div: np.divide, ast.Pow: np.power}
+
+    def value(node):
+        if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id in FUNCTIONS and len(node.args) == 1:
+            return FUNCTIONS[node.func.id](value(node.args[0]))
+        if isinstance(node, ast.BinOp) and type(node.op) in ops:
+            return ops[type(node.op)](value(node.left), value(node.right))
+        if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub):
+            return -value(node.operand)
+        if isinstance(node, ast.Constant) and isinstance(node.value, (int, float)):
+            return float(node.value)
+        if isinstance(node, ast.Name):
+            return table[node.id].to_numpy(float)
+        raise ValueError(f"can't read {call!r}")
+
+    with np.errstate(all="ignore"):
+        got = value(ast.parse(call.replace("^", "**"), mode="eval").body)
+    if not np.isfinite(got).all():
+        raise ValueError(f"{call} is not finite everywhere")
+    return got
+
+
 def variables(formula: str) -> list[str]:
-    """The names in a formula, each once, in order."""
-    found = re.findall(r"`([^`]+)`|([A-Za-z_.][A-Za-z0-9_.]*)", formula)
+    """The columns in a formula, each once, in order."""
+    found = re.findall(r"`([^`]+)`|([A-Za-z_.][A-Za-z0-9_.]*)\b(?!\s*\()", formula)
     return list(dict.fromkeys(a or b for a, b in found))
 
 
@@ -18,6 +62,8 @@ def terms(formula: str) -> tuple[bool, list[tuple[str, ...]]]:
     """Whether there is an intercept, and the terms as tuples of names, lower orders first."""
     right = formula.strip().removeprefix("~")
     quoted: list[str] = []
+    for call in dict.fromkeys(_calls(right)):
+        right = right.replace(call, f"`{call}`")
     right = re.sub(r"`([^`]+)`", lambda m: quoted.append(m[1]) or f"\x00{len(quoted) - 1}\x00", right)
     name = lambda s: re.sub("\x00(\\d+)\x00", lambda m: quoted[int(m[1])], s.strip())
     intercept, out = True, []
@@ -58,6 +104,8 @@ def design_matrix(formula: str, table: pd.DataFrame, categorical: tuple[str, ...
     coded_full = not intercept
 
     def coded(v: str, full: bool) -> dict[str, np.ndarray]:
+        if v not in table.columns:
+            return {v: evaluate(v, table)}
         x = table[v]
         factor = v in categorical or v in ordinal or x.dtype == bool or not pd.api.types.is_numeric_dtype(x)
         if not factor:
@@ -74,7 +122,7 @@ def design_matrix(formula: str, table: pd.DataFrame, categorical: tuple[str, ...
     for term in parts:
         columns: dict[str, np.ndarray] = {}
         for v in term:
-            full = coded_full and len(term) == 1 and (v in categorical or table[v].dtype == bool or not pd.api.types.is_numeric_dtype(table[v]))
+            full = coded_full and len(term) == 1 and v in table.columns and (v in categorical or table[v].dtype == bool or not pd.api.types.is_numeric_dtype(table[v]))
             one = coded(v, full)
             if full:
                 coded_full = False

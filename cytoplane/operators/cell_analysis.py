@@ -3,9 +3,11 @@ but for the trend of variances (one row a gene) and the pairs of genes of the do
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -232,13 +234,44 @@ def pairs_together(present: DataFrame) -> DataFrame:
     return present.alias("x").join(present.alias("y"), (F.col("x.row_id") == F.col("y.row_id")) & (F.col("x.col_id") < F.col("y.col_id"))).groupBy(F.col("x.col_id").alias("a"), F.col("y.col_id").alias("b")).agg(F.count("*").alias("n"))
 
 
-def pair_counts(present: DataFrame, n: int, p: DataFrame) -> DataFrame:
-    """Pairs of chosen genes (a, b, o): cells with exactly one of the two. The genes are a bounded choice, so that there
-    are at most k (k - 1) / 2 pairs; counts are combined before they are shuffled."""
-    both = pairs_together(present).withColumnRenamed("n", "nab")
-    ga, gb = p.select(F.col("col_id").alias("a"), F.col("k").alias("na")), p.select(F.col("col_id").alias("b"), F.col("k").alias("nb"))
-    pairs = ga.join(gb, F.col("a") < F.col("b"))  # of the chosen genes only
-    return pairs.join(both, ["a", "b"], "left").select("a", "b", (F.col("na") + F.col("nb") - 2 * F.coalesce("nab", F.lit(0))).alias("o"), (F.col("na") / n).alias("pa"), (F.col("nb") / n).alias("pb"))
+def _presence(t: pa.RecordBatch, genes: np.ndarray) -> np.ndarray:
+    """Cells by genes (sorted ids): 1 where the list of a cell's genes has it."""
+    lists = t.column(1)
+    size = np.diff(np.asarray(lists.offsets))
+    m = np.zeros((t.num_rows, len(genes)), np.float32)
+    m[np.repeat(np.arange(t.num_rows), size), np.searchsorted(genes, np.asarray(lists.flatten()))] = 1
+    return m
+
+
+def cells_with_both(lists: DataFrame, genes: np.ndarray) -> np.ndarray:
+    """For each two of a bounded number of genes, in how many cells (row_id, c: their genes) they are together. Tasks sum
+    products of matrices, a row for each gene; rows of a gene meet in one task."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(genes), len(genes)))
+        for t in batches:
+            m = _presence(t, genes)
+            total += m.T @ m
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(genes))), pa.array([r.tobytes() for r in total], pa.binary())], names=["k", "s"])
+
+    def add(table: pa.Table) -> pa.Table:
+        return pa.table({"k": [table.column("k")[0].as_py()], "s": pa.array([sum(np.frombuffer(x) for x in table.column("s").to_pylist()).tobytes()], pa.binary())})
+
+    out = np.zeros((len(genes), len(genes)))
+    for r in lists.mapInArrow(work, "k long, s binary").groupBy("k").applyInArrow(add, "k long, s binary").collect():
+        out[r["k"]] = np.frombuffer(r["s"])
+    return out
+
+
+def pair_scores(both: np.ndarray, n: int) -> np.ndarray:
+    """How unlikely it is, as minus the logarithm of the chance, that so many of n cells have just one of two genes."""
+    p = np.diag(both) / n
+    one = np.diag(both)[:, None] + np.diag(both) - 2 * both
+    a, b = np.triu_indices(len(both), 1)
+    q = p[a] * (1 - p[b]) + (1 - p[a]) * p[b]
+    out = np.zeros_like(both)
+    out[a, b] = np.where(one[a, b] > 0, -binomial_log_sf(one[a, b] - 1, n, q), 0.0)
+    return out + out.T
 
 
 def find_doublets(sc: SingleCell, batch_column=None, num_genes: int = 500, doublet_fraction: float | None = None, QC_column: str | None = "passed_QC", doublet_column: str = "doublet", doublet_score_column: str = "doublet_score", seed: int = 0, allow_float: bool = False) -> SingleCell:
@@ -254,16 +287,19 @@ def find_doublets(sc: SingleCell, batch_column=None, num_genes: int = 500, doubl
     n = cells.obs.count()
     x = _counts(cells, allow_float).where("value > 0")
     k = x.groupBy("col_id").agg(F.count("*").alias("k"))
-    chosen = k.orderBy(F.abs(F.col("k") / n - 0.5), "col_id").limit(num_genes).cache()
-    present = x.join(F.broadcast(chosen.select("col_id")), "col_id", "left_semi")  # at most num_genes numbers
-    pairs = pair_counts(present.select("row_id", "col_id"), n, chosen).toPandas()  # at most num_genes squared over two
-    q = pairs.pa * (1 - pairs.pb) + (1 - pairs.pa) * pairs.pb
-    pairs["s"] = np.where(pairs.o > 0, -binomial_log_sf(pairs.o.to_numpy() - 1, n, q.to_numpy()), 0.0)
-    weights = spark.createDataFrame([(int(a), int(b), float(s)) for a, b, s in zip(pairs.a, pairs.b, pairs.s)], "a long, b long, s double")
+    genes = np.sort(np.array([r["col_id"] for r in k.orderBy(F.abs(F.col("k") / n - 0.5), "col_id").limit(num_genes).collect()], np.int64))
+    chosen = spark.createDataFrame([(int(c),) for c in genes], "col_id long")
+    present = x.join(F.broadcast(chosen), "col_id", "left_semi")  # at most num_genes numbers
+    by_cell = lambda t: t.groupBy("row_id").agg(F.collect_list("col_id").alias("c"))  # noqa: E731  at most num_genes each
+    weights = pair_scores(cells_with_both(by_cell(present), genes), n) if len(genes) else np.zeros((0, 0))
 
     def scores(table: DataFrame) -> DataFrame:
-        both = table.alias("x").join(table.alias("y"), (F.col("x.row_id") == F.col("y.row_id")) & (F.col("x.col_id") < F.col("y.col_id"))).select(F.col("x.row_id").alias("row_id"), F.col("x.col_id").alias("a"), F.col("y.col_id").alias("b"))
-        return both.join(weights, ["a", "b"]).groupBy("row_id").agg(F.sum("s").alias("score"))
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in batches:
+                m = _presence(t, genes)
+                yield pa.RecordBatch.from_arrays([t.column(0), pa.array(((m @ weights) * m).sum(1) / 2)], names=["row_id", "score"])
+
+        return by_cell(table).mapInArrow(work, "row_id long, score double")
 
     own = cells.obs.select("row_id").join(scores(present.select("row_id", "col_id")), "row_id", "left").fillna(0.0, "score")
     if doublet_fraction is not None:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,42 @@ def _table(like: DataFrame, ids: np.ndarray, values: np.ndarray) -> DataFrame:
     return like.sparkSession.createDataFrame([(int(i), [float(x) for x in v]) for i, v in zip(ids, values)], "row_id long, value array<float>")
 
 
-def pca(sc: SingleCell, num_PCs: int = 50, hvg_column: str | None = "highly_variable", QC_column: str | None = "passed_QC", PC_key: str = "pca", overwrite: bool = False) -> SingleCell:
+def _stacked(row_id, k: int, sets: int):
+    """Ids of the k-th of several datasets, distinct from those of the others."""
+    return F.col(row_id) * sets + k
+
+
+def _joint(sets: tuple[SingleCell, ...], QC_column: str | None, hvg_column: str | None) -> SingleCell:
+    """Several datasets as one with the genes, matched by name, that all have (and that all flag, where flags are)."""
+    flagged = lambda s: s.var.where(F.col(hvg_column)) if hvg_column and hvg_column in s.var.columns else s.var
+    named = [flagged(s).select(F.col("col_id").alias(f"c{k}"), F.col(s.name_column("var")).alias("gene")) for k, s in enumerate(sets)]
+    genes = named[0]
+    for other in named[1:]:
+        genes = genes.join(other, "gene")
+    x, obs = [], []
+    for k, s in enumerate(sets):
+        cells, ids = s.passing(QC_column), genes.select(F.col("c0").alias("_to"), F.col(f"c{k}").alias("col_id"))
+        x.append(cells.X.join(ids, "col_id").select(_stacked("row_id", k, len(sets)).alias("row_id"), F.col("_to").alias("col_id"), F.col("value").cast("double").alias("value")))
+        obs.append(cells.obs.select(_stacked("row_id", k, len(sets)).alias("row_id"), F.lit(k).alias("_set")))
+    return SingleCell(reduce(DataFrame.unionByName, x), reduce(DataFrame.unionByName, obs), genes.select(F.col("c0").alias("col_id"), "gene"))
+
+
+def _parted(sets: tuple[SingleCell, ...], joint: SingleCell, key: str, **more) -> tuple[SingleCell, ...]:
+    """The vectors of joint datasets, given back to each."""
+    got = joint.obsm[key]
+    own = lambda k: got.where(F.pmod("row_id", F.lit(len(sets))) == k).select(((F.col("row_id") - k) / len(sets)).cast("long").alias("row_id"), "value")
+    return tuple(replace(s, obsm=s.obsm | {key: own(k)}, uns=s.uns | more) for k, s in enumerate(sets))
+
+
+def pca(sc: SingleCell, *others: SingleCell, num_PCs: int = 50, hvg_column: str | None = "highly_variable", QC_column: str | None = "passed_QC", PC_key: str = "pca", overwrite: bool = False):
     """Components of the genes scaled to unit variance and centred, from their Gram matrix: tasks sum it over their
-    cells (sparse), the driver takes its eigenvectors, and a pass projects. A component's largest loading is positive."""
+    cells (sparse), the driver takes its eigenvectors, and a pass projects. A component's largest loading is positive.
+    Several datasets get components of all their cells together, and are returned as a tuple."""
+    if others:
+        sets = (sc, *others)
+        if any(PC_key in s.obsm for s in sets) and not overwrite:
+            raise ValueError(f"{PC_key!r} is there already")
+        return _parted(sets, pca(_joint(sets, QC_column, hvg_column), num_PCs=num_PCs, hvg_column=None, QC_column=None, PC_key=PC_key), PC_key)
     if PC_key in sc.obsm and not overwrite:
         raise ValueError(f"{PC_key!r} is there already")
     cells = sc.passing(QC_column)
@@ -89,10 +123,26 @@ def pca(sc: SingleCell, num_PCs: int = 50, hvg_column: str | None = "highly_vari
     return replace(sc, obsm=sc.obsm | {PC_key: cells.obs.select("row_id").join(known, "row_id", "left").withColumn("value", F.coalesce("value", empty))})
 
 
-def harmonize(sc: SingleCell, batch_column: str, PC_key: str = "pca", Harmony_key: str = "harmony", num_clusters: int | None = None, theta: float = 2.0, tau: float = 0.0, sigma: float = 0.1, alpha: float = 0.2, max_iter: int = 10, max_cluster_iter: int = 20, tolerance: float = 1e-4, QC_column: str | None = "passed_QC", seed: int = 0, overwrite: bool = False) -> SingleCell:
+def harmonize(sc: SingleCell, *others, batch_column: str | None = None, PC_key: str = "pca", Harmony_key: str = "harmony", num_clusters: int | None = None, theta: float = 2.0, tau: float = 0.0, sigma: float = 0.1, alpha: float = 0.2, max_iter: int = 10, max_cluster_iter: int = 20, tolerance: float = 1e-4, QC_column: str | None = "passed_QC", seed: int = 0, overwrite: bool = False):
     """Soft clusters of normalised components that are penalised for uneven batches, and a linear correction of each
     batch within each cluster (Korsunsky et al. 2019). All cells move at once in a round. What a round needs of the
-    cells are sums by cluster and batch; centroids and these sums ride to the tasks."""
+    cells are sums by cluster and batch; centroids and these sums ride to the tasks. With several datasets (whose
+    components must come from one call of pca) each is a batch, or each of its batches is, and a tuple is returned."""
+    if others and isinstance(others[0], str):
+        batch_column, others = others[0], others[1:]
+    if others:
+        sets = (sc, *others)
+        if any(Harmony_key in s.obsm for s in sets) and not overwrite:
+            raise ValueError(f"{Harmony_key!r} is there already")
+        ids = lambda t, k, *more: t.select(_stacked("row_id", k, len(sets)).alias("row_id"), *more)
+        batch = lambda k: F.concat_ws("/", F.lit(str(k)), *([F.col(batch_column).cast("string")] if batch_column else []))
+        obs = reduce(DataFrame.unionByName, (ids(s.passing(QC_column).obs, k, batch(k).alias("batch")) for k, s in enumerate(sets)))
+        vectors = reduce(DataFrame.unionByName, (ids(s.obsm[PC_key], k, "value") for k, s in enumerate(sets)))
+        joint = SingleCell(None, obs, sc.var, obsm={PC_key: vectors})
+        done = harmonize(joint, batch_column="batch", PC_key=PC_key, Harmony_key=Harmony_key, num_clusters=num_clusters, theta=theta, tau=tau, sigma=sigma, alpha=alpha, max_iter=max_iter, max_cluster_iter=max_cluster_iter, tolerance=tolerance, QC_column=None, seed=seed)
+        return _parted(sets, done, Harmony_key, harmony_objective=done.uns["harmony_objective"])
+    if batch_column is None:
+        raise ValueError("one dataset needs a batch_column")
     if Harmony_key in sc.obsm and not overwrite:
         raise ValueError(f"{Harmony_key!r} is there already")
     cells = sc.passing(QC_column)
@@ -120,19 +170,29 @@ def harmonize(sc: SingleCell, batch_column: str, PC_key: str = "pca", Harmony_ke
         d = y.shape[1]
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            o, w, fit = np.zeros((len(y), len(names))), np.zeros((len(names), len(y), d)), 0.0
+            o, w, fit = np.zeros((len(names), len(y))), np.zeros((len(names), len(y), d)), 0.0
             for t in batches:
                 if t.num_rows:
                     z, b = np.stack(t.column(1).to_pylist()), np.asarray(t.column(0))
                     r = soft(z, b, y, penalty)
                     fit += float((2 * r * (1 - unit(z) @ y.T)).sum() + sigma * (r * np.log(np.maximum(r, 1e-12))).sum())
                     for j in range(len(names)):
-                        o[:, j] += r[b == j].sum(0)
+                        o[j] += r[b == j].sum(0)
                         w[j] += r[b == j].T @ (z if raw else unit(z))[b == j]
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (o, w)] + [pa.array([fit])], names=["o", "w", "fit"])
+            # a row for each batch, so that the sums of a batch meet in one task
+            arrays = [pa.array(np.arange(len(names))), *(pa.array([v.tobytes() for v in x], pa.binary()) for x in (o, w)), pa.array([fit] + [0.0] * (len(names) - 1))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["j", "o", "w", "fit"])
+
+        def add(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            o, w, fit = 0.0, 0.0, 0.0
+            for t in parts:
+                o, w = (x + sum(np.frombuffer(v) for v in t.column(c).to_pylist()) for x, c in ((o, "o"), (w, "w")))
+                fit += sum(t.column("fit").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([o.tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary()), pa.array([fit])], names=["j", "o", "w", "fit"])
 
-        got = table.select("b", "value").mapInArrow(work, "o binary, w binary, fit double").collect()  # a row a task
-        return sum(np.frombuffer(g["o"]).reshape(len(y), -1) for g in got), sum(np.frombuffer(g["w"]).reshape(len(names), len(y), -1) for g in got), sum(g["fit"] for g in got)
+        kinds = "j long, o binary, w binary, fit double"
+        got = sorted(table.select("b", "value").mapInArrow(work, kinds).groupBy("j").applyInArrow(add, kinds).collect())  # a row a batch
+        return np.stack([np.frombuffer(g["o"]) for g in got], 1), np.stack([np.frombuffer(g["w"]).reshape(len(y), -1) for g in got]), sum(g["fit"] for g in got)
 
     penalty, past = np.ones((len(y), len(names))), []
     for _ in range(max_iter):
@@ -166,6 +226,7 @@ def harmonize(sc: SingleCell, batch_column: str, PC_key: str = "pca", Harmony_ke
 
         nxt = cur.mapInArrow(correct, "row_id long, b int, value array<double>").persist()
         nxt.count()
+        cur.unpersist()
         cur = nxt
         past.append(trail[-1])
         if len(past) > 1 and abs(past[-2] - past[-1]) < tolerance * abs(past[-2]):

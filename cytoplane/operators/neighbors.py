@@ -117,7 +117,7 @@ def kmeans(vectors: DataFrame, num_clusters: int, max_iter: int = 20, tolerance:
             c = drawn
             chance = F.pmod(F.xxhash64("id", F.lit(seed + 1 + step)), F.lit(1 << 30)) / float(1 << 30)
             d = assign_distance(v, c)
-            more = d.where(chance < F.least(F.lit(1.0), F.col("d") * (2 * num_clusters / max(cost, 1e-300)))).select("v").limit(20 * num_clusters).collect()
+            more = d.where(chance < F.least(F.lit(1.0), F.col("d") * (2 * num_clusters / max(cost, 1e-300)))).select("v").collect()  # 2 * num_clusters are expected
             drawn = np.vstack([drawn, _matrix([r["v"] for r in more])]) if more else drawn
         rng = np.random.default_rng(seed)
         start = drawn[:1]

@@ -362,42 +362,72 @@ class Pseudobulk:
         flat = self.dense().join(self.obs.select("cell_type", "sample", *have), ["cell_type", "sample"])
         return flat.groupBy("cell_type").applyInPandas(work, schema)
 
-    def regress_out(self, formula: str, categorical_columns=(), ordinal_columns=(), error_if_int: bool = True) -> Pseudobulk:
+    def regress_out(self, formula: str | dict[str, str], categorical_columns=(), ordinal_columns=(), error_if_int: bool = True) -> Pseudobulk:
+        """What a linear model leaves of each gene; a dict has a formula for each type."""
         if error_if_int and self.X.schema["value"].dataType.typeName() not in ("float", "double"):
             raise TypeError("X has whole counts; error_if_int=False takes them")
-        names = variables(formula)
+        names = _all_variables(formula)
 
         def work(table: pd.DataFrame) -> pd.DataFrame:
-            y, obs = _matrix(table, names)
-            left = lm.residuals(y.to_numpy(float), design_matrix(formula, obs, tuple(categorical_columns), tuple(ordinal_columns)).to_numpy())
+            mine = _of_type(formula, table.cell_type.iloc[0])
+            y, obs = _matrix(table, variables(mine))
+            left = lm.residuals(y.to_numpy(float), design_matrix(mine, obs, tuple(categorical_columns), tuple(ordinal_columns)).to_numpy())
             out = pd.DataFrame(left, y.index, y.columns).stack().rename("value").reset_index()
             return out.assign(cell_type=table.cell_type.iloc[0])[["cell_type", "sample", "gene", "value"]]
 
         return replace(self, X=self._per_type(work, "cell_type string, sample string, gene string, value double", names))
 
-    def DE(self, formula: str, coefficient: str | list[str] | None = None, contrasts: dict[str, str] | None = None, group: str | None | bool = None, categorical_columns=(), ordinal_columns=(), library_size_column: str = "library_size", strict: bool = False, robust: bool = False, return_voom_info: bool = True) -> DE:
+    def de(self, formula: str | dict[str, str], coefficient=None, contrasts: dict | None = None, group=None, categorical_columns=(), ordinal_columns=(), library_size_column: str = "library_size", strict: bool = False, robust: bool = False, return_voom_info: bool = True) -> DE:
         """Linear models with precision weights for each type: logFC, SE, limits, mean, p, and p corrected within a type
         and coefficient. Samples of the groups behind the tested coefficients (by default the combinations of its
-        categorical columns; group=False for none) have a mean-variance trend each. A type that can't be fitted is left
-        out, or raises with strict."""
-        names = variables(formula)
+        categorical columns; group=False for none) have a mean-variance trend each. Formula, coefficient, contrasts and
+        group may be dicts by cell type. A type that can't be fitted, or has no entry, is left out, or raises with
+        strict."""
         cat, ordn = tuple(categorical_columns), tuple(ordinal_columns)
 
+        def asked(table: pd.DataFrame) -> tuple:
+            t = table.cell_type.iloc[0]
+            mine = _of_type(formula, t)
+            own = contrasts if contrasts is None or not any(isinstance(x, dict) for x in contrasts.values()) else contrasts.get(t)
+            return mine, variables(mine), _of_type(coefficient, t), own, _of_type(group, t), cat, ordn, library_size_column
+
         def work(table: pd.DataFrame) -> pd.DataFrame:
             try:
-                got = test(table, formula, names, coefficient, contrasts, group, cat, ordn, library_size_column, robust)
+                got = test(table, *asked(table), robust)
             except (ValueError, np.linalg.LinAlgError):
                 if strict:
                     raise
                 return pd.DataFrame({c: pd.Series([], dtype=object if c in _DE_COLUMNS[:3] else float) for c in _DE_COLUMNS})
             return got.assign(cell_type=table.cell_type.iloc[0])[_DE_COLUMNS]
 
-        cols = [*names, library_size_column, *([group] if isinstance(group, str) else [])]
+        def points(table: pd.DataFrame) -> pd.DataFrame:
+            try:
+                return voom_points(table, *asked(table))
+            except ValueError:
+                return voom_points(table.iloc[:0], "~ 1", [], None, None, None, cat, ordn, library_size_column)
+
+        groups = group.values() if isinstance(group, dict) else [group]
+        cols = [*_all_variables(formula), library_size_column, *(g for g in groups if isinstance(g, str))]
         table = self._per_type(work, "cell_type string, coefficient string, gene string, logFC double, SE double, LCI double, UCI double, AveExpr double, p double", cols)
-        info = self._per_type(lambda t: voom_points(t, formula, names, coefficient, contrasts, group, cat, ordn, library_size_column), "cell_type string, panel string, xy_x double, xy_y double, line_x double, line_y double", cols) if return_voom_info else None
+        info = self._per_type(points, "cell_type string, panel string, xy_x double, xy_y double, line_x double, line_y double", cols) if return_voom_info else None
         table = table.withColumn("Bonferroni", bonferroni(F.col("p"), "cell_type", "coefficient"))
         return DE(with_fdr(table, "p", "FDR", "cell_type", "coefficient", tie="gene"), info)
 
+    DE = de
+
+
+def _of_type(given, cell_type: str):
+    """An argument that may be a dict by cell type."""
+    if not isinstance(given, dict):
+        return given
+    if cell_type not in given:
+        raise ValueError(f"nothing is given for {cell_type!r}")
+    return given[cell_type]
+
+
+def _all_variables(formula: str | dict[str, str]) -> list[str]:
+    return list(dict.fromkeys(v for f in (formula.values() if isinstance(formula, dict) else [formula]) for v in variables(f)))
+
 
 _DE_COLUMNS = ["cell_type", "coefficient", "gene", "logFC", "SE", "LCI", "UCI", "AveExpr", "p"]
 
@@ -422,7 +452,7 @@ def _weighted(table, formula, names, coefficient, contrasts, group, cat, ordn, s
         groups = obs[group].astype(str).to_numpy()
     elif group is not False:
         asked = tested or list(contrasts.values())
-        behind = [v for _, t in [terms(formula)] for term in t for v in term if any(v in c for c in asked) and (v in cat or not pd.api.types.is_numeric_dtype(obs[v]))]
+        behind = [v for _, t in [terms(formula)] for term in t for v in term if v in obs.columns and any(v in c for c in asked) and (v in cat or not pd.api.types.is_numeric_dtype(obs[v]))]
         if behind:
             groups = obs[list(dict.fromkeys(behind))].astype(str).agg("_".join, axis=1).to_numpy()
     if groups is not None and (pd.Series(groups).value_counts() < 2).any():

@@ -142,6 +142,7 @@ def constant_columns(df: DataFrame, group: list[str], columns: list[str]) -> lis
     """Columns with at most one distinct value, null counted as one, in every group."""
     if not columns:
         return []
-    per = df.groupBy(*group).agg(*(F.count_distinct(F.coalesce(F.hash(c), F.lit(0))).alias(c) for c in columns))
-    top = per.agg(*(F.max(c).alias(c) for c in columns)).first()
-    return [c for c in columns if top[c] is None or top[c] <= 1]
+    one = lambda c: F.min(c).eqNullSafe(F.max(c)) & ((F.count(c) == 0) | (F.count(c) == F.count("*")))
+    per = df.groupBy(*group).agg(*(one(c).alias(c) for c in columns))
+    every = per.agg(*(F.bool_and(c).alias(c) for c in columns)).first()
+    return [c for c in columns if every[c] is None or every[c]]

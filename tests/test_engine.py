@@ -198,3 +198,94 @@ def test_neighbors_of_skewed_vectors(spark):
     got, want = ({(r["i"], r["j"]) for r in nn.nearest(table, table, 10, x, probes=2, same=True).collect()} for x in (c, None))
     assert len(got) == len(want) == 10 * len(v)
     assert len(got & want) >= 0.9 * len(want)
+
+
+def test_formulas_with_functions():
+    t = pd.DataFrame({"a": [1.0, 2, 4, 8, 16], "g": list("xyxyx"), "n": [3, 5, 7, 9, 12]})
+    assert variables("~ g + log2(a) + I(n^2 + a):g") == ["g", "a", "n"]
+    got = design_matrix("~ g + log2(a) + log10(n + 1)", t)
+    assert list(got.columns) == ["(Intercept)", "gy", "log2(a)", "log10(n + 1)"]
+    assert got["log2(a)"].tolist() == [0, 1, 2, 3, 4] and np.allclose(got["log10(n + 1)"], np.log10(t.n + 1))
+    with pytest.raises(ValueError):
+        design_matrix("~ log2(a)", t.assign(a=[0.0, 1, 2, 3, 4]))
+    with pytest.raises(ValueError):
+        design_matrix("~ log2(z)", t)
+
+
+def test_de_by_type_and_with_functions(spark):
+    from cytoplane.plans import catalog
+
+    pb = catalog.bulk(spark, "/root/testdata/sf0.01").filter_obs(F.col("treatment") != "P").library_size()
+    first, second = pb.keys()[:2]
+    pb = pb.select_cell_types(first, second)
+    whole = pb.de("~ treatment + log2(library_size) + log2(num_cells)", group=False, return_voom_info=False).table
+    assert {r["cell_type"] for r in whole.select("cell_type").distinct().collect()} == {first, second}
+    assert whole.where("p < 0 or p > 1 or p is null").count() == 0 and whole.select("coefficient").distinct().first()[0].startswith("treatment")
+    own = pb.de({first: "~ treatment", second: "~ treatment + log2(num_cells)"}, group=False, return_voom_info=False).table
+    one = pb.DE("~ treatment", group=False, return_voom_info=False).table
+    values = lambda t: sorted((r["gene"], round(r["logFC"], 9)) for r in t.where(F.col("cell_type") == first).collect())
+    assert values(own) == values(one)
+
+
+def _dense(sc):
+    x = sc.X.toPandas().pivot(index="row_id", columns="col_id", values="value").fillna(0.0)
+    return x.to_numpy(float), x.index.to_numpy()
+
+
+def test_components_are_those_of_a_decomposition(spark):
+    """PCA of one dataset and of two together against the singular values of the scaled matrix."""
+    from cytoplane.plans import catalog
+
+    parts = catalog.coarse(spark, "/root/testdata/sf0.001").normalize().split_by_obs("treatment")
+    first, second = (parts[t] for t in "FO")
+    both = first.concat_obs(second)
+    m, ids = _dense(both)
+    cells = both.obs.count()
+    m = np.vstack([m, np.zeros((cells - len(m), m.shape[1]))])  # cells without counts
+    z = (m - m.mean(0)) / m.std(0, ddof=1)
+    u, s, _ = np.linalg.svd(z, full_matrices=False)
+    one = both.pca(num_PCs=4, hvg_column=None).obsm["pca"].orderBy("row_id").toPandas()
+    got = np.stack(one.value)
+    assert np.allclose(np.sort((got**2).sum(0))[::-1], s[:4] ** 2, rtol=1e-4)
+    a, b = first.pca(second, num_PCs=4, hvg_column=None)
+    joint = np.vstack([np.stack(t.obsm["pca"].orderBy("row_id").toPandas().value) for t in (a, b)])
+    assert len(joint) == cells and np.allclose(np.sort((joint**2).sum(0))[::-1], s[:4] ** 2, rtol=1e-4)
+    assert a.obsm["pca"].join(first.obs.select("row_id"), "row_id", "left_anti").isEmpty()
+
+
+def test_integration_of_two_datasets(spark):
+    """Two shifted copies of the same groups lie together after the correction."""
+    rng = np.random.default_rng(2)
+    centre = np.array([[3.0, 0, 0, 1], [0, 3, 0, 1], [0, 0, 3, 1]])
+    sets = []
+    for k in range(2):
+        group = np.arange(150) % 3
+        v = centre[group] + 0.2 * rng.normal(size=(150, 4)) + k * np.array([0, 0, 0, 2.0])
+        obs = spark.createDataFrame([(i, f"{k}-{i}", int(g)) for i, g in enumerate(group)], "row_id long, cell string, kind int")
+        var = spark.createDataFrame([(0, "g")], "col_id long, gene string")
+        sets.append(SingleCell(None, obs, var, obsm={"pca": spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)], "row_id long, value array<float>")}))
+    a, b = sets[0].harmonize(sets[1], num_clusters=3, seed=1)
+    means = [np.stack(t.obsm["harmony"].orderBy("row_id").toPandas().value)[np.arange(150) % 3 == 1].mean(0) for t in (a, b)]
+    assert np.linalg.norm(means[0] - means[1]) < 0.8 and a.uns["harmony_objective"] == b.uns["harmony_objective"]
+    with pytest.raises(ValueError):
+        sets[0].harmonize()
+
+
+def test_doublet_scores(spark):
+    """Against the definition, gene pair by gene pair and cell by cell."""
+    from cytoplane.functions.special import binomial_log_sf
+
+    rng = np.random.default_rng(3)
+    m = rng.random((60, 7)) < rng.uniform(0.2, 0.8, 7)
+    x = spark.createDataFrame([(int(i), int(j), 1) for i, j in zip(*np.nonzero(m))], "row_id long, col_id long, value long")
+    obs = spark.createDataFrame([(i, f"c{i}") for i in range(60)], "row_id long, cell string")
+    var = spark.createDataFrame([(j, f"g{j}") for j in range(7)], "col_id long, gene string")
+    got = SingleCell(x, obs, var).find_doublets(num_genes=7, doublet_fraction=0.2).obs.orderBy("row_id").toPandas()
+    want, p = np.zeros(60), m.mean(0)
+    for a in range(7):
+        for b in range(a):
+            one = int((m[:, a] ^ m[:, b]).sum())
+            s = -binomial_log_sf(np.array([one - 1.0]), 60, np.array([p[a] * (1 - p[b]) + (1 - p[a]) * p[b]]))[0] if one else 0.0
+            want += s * (m[:, a] & m[:, b])
+    assert np.allclose(got.doublet_score, want, rtol=1e-5) and got.doublet.sum() == 12
+    assert set(np.flatnonzero(got.doublet)) <= set(np.argsort(-want)[:14])
