@@ -4,8 +4,8 @@ Two gated recurrent units read each window of bytes, one from either end; at eve
 probabilities of the languages. A document's probabilities are the means over all its positions. Whole texts are read,
 as windows of `WINDOW` bytes that each start from a zero state, thousands side by side.
 
-The network is trained here, in numpy, by backpropagation through time, on windows of at most `max_train` labelled
-rows. It is a few thousand numbers and rides to the executors in the task; a document needs no other, so prediction is
+The network is trained here, in numpy, by backpropagation through time, on windows, spread evenly over the whole text, of
+at most `max_train` labelled rows, of each language alike. It is a few thousand numbers and rides to the executors in the task; a document needs no other, so prediction is
 one pass without a shuffle.
 
 Null text and text without a letter give `und` with score 0; rows without a language are not learned; repeated rows
@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import bounded_sample, small_batches, texts_of
+from ._shared import small_batches, stratified_sample, texts_of
 
 WINDOW, SIDE = 128, 2048
 HIDDEN = 8
@@ -137,7 +137,7 @@ def probabilities(p: dict, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", max_train: int = 2500, windows_each: int = 4, length: int = 64) -> dict | None:
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", max_train: int = 2500, windows_each: int = 16, length: int = 64) -> dict | None:
     """A network and its languages from at most max_train labelled rows of docs, some windows of each."""
     small_batches(docs.sparkSession)
     seen = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select("doc_id", text, lang)
@@ -154,7 +154,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", max_train: in
                     out.append((name, body[at : at + length].ljust(length, b" ")))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.binary())], names=["lang", "window"])
 
-    got = bounded_sample(seen, max_train, "doc_id").select(text, lang).mapInArrow(work, "lang string, window binary").collect()
+    got = stratified_sample(seen, max_train, lang, "doc_id").select(text, lang).mapInArrow(work, "lang string, window binary").collect()
     if not got:
         return None
     got.sort(key=lambda r: (r["lang"], bytes(r["window"])))

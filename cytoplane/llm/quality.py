@@ -5,8 +5,8 @@ time linear in the features of a text. Words weigh 1 + log(count), each text's w
 structure statistics and the metadata (numeric columns, named by the caller) fall into hashed bands, so that they meet
 the words and one another in the interactions.
 
-The model is fitted on the driver on at most `max_train` labelled rows (picked by a hash of their doc_id; features, not
-texts, are collected, at most the `max_features` heaviest of a row), and rides to the executors as arrays of fixed
+The model is fitted on the driver on at most `max_train` labelled rows (picked by a hash of their doc_id; features of
+whole texts are collected, one for each distinct word), and rides to the executors as arrays of fixed
 size. Scoring is one pass without a shuffle over whole texts.
 
 Null and empty texts have only structure features and get a score; labels outside 0 and 1 and null labels are not
@@ -129,7 +129,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
     return {"w0": w0, "w": w, "v": v}
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", metadata: tuple[str, ...] = ("n_chars",), max_train: int = 6000, max_features: int = 2000) -> dict:
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", metadata: tuple[str, ...] = ("n_chars",), max_train: int = 6000) -> dict:
     """A model from the rows of docs that labels (doc_id, label) marks. The labelled ids are picked first, so that only
     a bounded table is joined to the documents; it is broadcast, at most max_train rows of two numbers."""
     small_batches(docs.sparkSession)
@@ -141,8 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
             rows = []
             for k in range(b.num_rows):
                 idx, val = features(got[0][k], {m: got[2 + i][k] for i, m in enumerate(metadata)})
-                top = np.sort(np.argsort(-val, kind="stable")[:max_features])
-                rows.append((int(got[1][k]), idx[top].tobytes(), val[top].tobytes()))
+                rows.append((int(got[1][k]), idx.tobytes(), val.tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["label", "idx", "val"])
 
