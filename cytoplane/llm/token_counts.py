@@ -8,6 +8,8 @@ touches their common end, since a unit may then begin or end elsewhere; the sums
 Trees are columns beside the text, made and used in one pass over the documents without a shuffle; only new words are
 encoded, once a worker.
 
+Edited trees and texts can be kept, so that later edits start from them.
+
 Null text counts as empty; a document without edits keeps its tree; null edits are none; edits name characters of the
 text before all edits (start, how many go, what comes instead), in any order, overlapping ones as one in order of
 start, and places beyond the end mean the end; an empty table gives no rows; repeated rows and null doc_ids are counted
@@ -142,8 +144,20 @@ def build_trees(docs: DataFrame, tokenizer: str, drop_space: bool = False) -> Da
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "edits").mapInArrow(work, TREES)
 
 
-def apply_edits(trees: DataFrame, tokenizer: str, drop_space: bool = False) -> DataFrame:
-    """RESULT: tokens before and after the edits, and how much was encoded again."""
+def _regrown(text: str, chars: list[int], tokens: list[int], made: list[tuple[int, int, str, list[int], list[int]]]) -> tuple[str, list[int], list[int]]:
+    """The text and the leaves after the regions (first and last leaf, new text, its leaves) took the place of old ones."""
+    begin = np.concatenate([[0], np.cumsum(chars, dtype=np.int64)]).tolist()
+    parts, c, t, at = [], [], [], 0
+    for first, last, new, new_chars, new_tokens in sorted(made, key=lambda r: r[0]):
+        parts += [text[begin[at] : begin[first]], new]
+        c, t, at = c + chars[at:first] + new_chars, t + tokens[at:first] + new_tokens, last + 1
+    return "".join(parts) + text[begin[min(at, len(chars))] :], (c + chars[at:]) or [0], (t + tokens[at:]) or [0]
+
+
+def apply_edits(trees: DataFrame, tokenizer: str, drop_space: bool = False, keep_trees: bool = False) -> DataFrame:
+    """RESULT: tokens before and after the edits, and how much was encoded again. With keep_trees also the columns of
+    TREES after the edits (edits: null), for further ones; regions that were encoded again get leaves of their own."""
+    schema = RESULT + ", " + TREES.removeprefix("doc_id long, ") if keep_trees else RESULT
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, drop_space)
@@ -154,6 +168,11 @@ def apply_edits(trees: DataFrame, tokenizer: str, drop_space: bool = False) -> D
             todo = [(k, r) for k, e in enumerate(edits) if e for r in regions(grown[k], texts[k], [(x["at"] or 0, x["gone"] or 0, x["new"] or "") for x in e if x])]
             before = [t.total(1) for t in grown]
             again, seen = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+            made: dict[int, list] = {}
+            if todo and keep_trees:
+                c, t, cuts = (x.tolist() for x in leaves(enc, pa.array([r[2] for _, r in todo], pa.string())))
+                for (k, (first, last, text, _)), a, z in zip(todo, cuts[:-1], cuts[1:]):
+                    made.setdefault(k, []).append((first, last, text, c[a:z], t[a:z]))
             if todo:
                 _, new, off = counted(enc, pa.array([r[2] for _, r in todo], pa.string()))
                 sums = np.concatenate([[0], np.cumsum(new)])
@@ -163,9 +182,16 @@ def apply_edits(trees: DataFrame, tokenizer: str, drop_space: bool = False) -> D
                     grown[k].put(first, len(text), int(sums[z] - sums[a]))
                     again[k] += last - first + 1
                     seen[k] += len(text)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(before, pa.int64()), pa.array([t.total(1) for t in grown], pa.int64()), pa.array([t.n for t in grown], pa.int32()), pa.array(again, pa.int32()), pa.array(seen, pa.int64())], names=["doc_id", "n_tokens", "n_tokens_edited", "n_leaves", "leaves_encoded", "chars_encoded"])
-
-    return trees.mapInArrow(work, RESULT)
+            arrays = [b.column(0), pa.array(before, pa.int64()), pa.array([t.total(1) for t in grown], pa.int64()), pa.array([t.n for t in grown], pa.int32()), pa.array(again, pa.int32()), pa.array(seen, pa.int64())]
+            names = ["doc_id", "n_tokens", "n_tokens_edited", "n_leaves", "leaves_encoded", "chars_encoded"]
+            if keep_trees:
+                new = [_regrown(texts[k], chars[k], tokens[k], made.get(k, [])) for k in range(len(texts))]
+                lists = [pa.array([x[i] for x in new], pa.list_(pa.int32())) for i in (1, 2)]
+                arrays += [pa.array([x[0] for x in new], pa.string()), pa.nulls(len(new), b.column(2).type), *lists]
+                names += ["text", "edits", "chars", "tokens"]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return trees.mapInArrow(work, schema)
 
 
 def sample_edits(text: Column) -> Column:

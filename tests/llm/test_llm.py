@@ -187,6 +187,45 @@ def test_token_counts_query(spark, odd):
     assert got[8]["leaves_encoded"] < got[8]["n_leaves"] / 5
 
 
+def edited(text, edits):
+    """The text after edits, which name places of the text before all of them."""
+    out, at, spans = "", 0, []
+    for a, gone, new in sorted(edits, key=lambda x: x[0]):
+        a, b = min(a, len(text)), min(a + gone, len(text))
+        if spans and a < spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(b, spans[-1][1]), spans[-1][2] + new)
+        else:
+            spans.append((a, b, new))
+    for a, b, new in spans:
+        out, at = out + text[at:a] + new, b
+    return out + text[at:]
+
+
+def test_token_trees_are_kept(spark, odd, none):
+    """Three rounds of edits, overlapping ones as well, each from the trees that the last one left; an empty table."""
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = tokens.MemoEncoder(path, False).tok
+    rnd = random.Random(11)
+    now = {k: t for k, (i, t) in enumerate(pairs(odd)) if "<|" not in t}
+    kind = "array<struct<at:long,gone:long,new:string>>"
+    draw = lambda t: [(rnd.randrange(0, len(t) + 5), rnd.randrange(0, 40), "".join(rnd.choice("aB é., \n1!") for _ in range(rnd.randrange(0, 9)))) for _ in range(rnd.randrange(0, 5))]
+    edits = {k: draw(t) for k, t in now.items()}
+    trees = token_counts.build_trees(spark.createDataFrame([(k, t, edits[k]) for k, t in now.items()], f"doc_id long, text string, edits {kind}"), path)
+    for _ in range(3):
+        rows = token_counts.apply_edits(trees, path, keep_trees=True).collect()
+        now = {k: edited(t, edits[k]) for k, t in now.items()}
+        assert {r["doc_id"]: r["text"] for r in rows} == now
+        for r in rows:
+            assert r["n_tokens_edited"] == sum(r["tokens"]) == len(tok.encode(r["text"], add_special_tokens=False).ids) and sum(r["chars"]) == len(r["text"])
+        edits = {k: draw(t) for k, t in now.items()}
+        trees = spark.createDataFrame([(r["doc_id"], r["text"], edits[r["doc_id"]], r["chars"], r["tokens"]) for r in rows], token_counts.TREES)
+    empty = none.select("doc_id", "text", F.lit(None).cast(kind).alias("edits"))
+    assert token_counts.apply_edits(token_counts.build_trees(empty, path), path).count() == 0
+
+
 # -- texts ------------------------------------------------------------------------------------------------------------
 
 
