@@ -128,6 +128,10 @@ def kmeans(vectors: DataFrame, num_clusters: int, max_iter: int = 20, tolerance:
     for k in range(max_iter):
         sums, sizes, cost = _round(v, c)
         c = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], c)
+        if (empty := np.flatnonzero(sizes == 0)).size:
+            # a cell without vectors moves to one of those that lie farthest from theirs
+            far = assign_distance(v, c).where("d > 0").orderBy(F.desc("d"), "id").limit(len(empty)).collect()
+            c[empty[: len(far)]] = _matrix([r["v"] for r in far]) if far else c[:0]
         if k and last is not None and last - cost < tolerance * last:
             break
         last = cost

@@ -95,7 +95,8 @@ class Pseudobulk:
         return "Pseudobulk with\n" + "\n".join(f"    {k}: {s:,} samples, {g:,} genes" for k, (s, g) in self.shape.items())
 
     def __getitem__(self, item) -> Pseudobulk:
-        """pb[types], pb[types, samples], pb[types, samples, genes]: names, lists of names or full slices."""
+        """pb[types], pb[types, samples], pb[types, samples, genes]: names, lists of names, conditions on obs or var (for
+        samples and genes), or full slices."""
         parts = item if isinstance(item, tuple) else (item,)
         out = self
         for part, col in zip(parts, ("cell_type", "sample", "gene")):
@@ -103,6 +104,9 @@ class Pseudobulk:
                 if part != slice(None):
                     raise ValueError("only full slices: tables have no order")
                 continue
+            if isinstance(part, Column):
+                out = out.filter_var(part) if col == "gene" else out.filter_obs(part)
+                continue
             wanted = [part] if isinstance(part, str) else list(part)
             table = out.var if col == "gene" else out.obs
             found = {r[0] for r in table.where(F.col(col).isin(wanted)).select(col).distinct().collect()}
@@ -333,10 +337,14 @@ class Pseudobulk:
         return replace(self, X=x.unionByName(self.X.where(~mine)), obs=obs.unionByName(self.obs.where(~mine)), var=var.unionByName(self.var.where(~mine)))
 
     def library_size(self, library_size_column: str = "library_size", logratio_trim: float = 0.3, sum_trim: float = 0.05, A_cutoff: float = -1e10, allow_float: bool = False, overwrite: bool = False) -> Pseudobulk:
-        """Trimmed means of M values: sizes that a sample's genes would have without the few that differ most."""
+        """Trimmed means of M values: sizes that a sample's genes would have without the few that differ most. Samples
+        without any count raise ValueError, since no size of theirs would mean anything."""
         self._whole(allow_float)
         if library_size_column in self.obs.columns and not overwrite:
             raise ValueError(f"{library_size_column!r} is there already")
+        counted = self.X.where("value > 0").select("cell_type", "sample").distinct()
+        if bare := self.obs.select("cell_type", "sample").join(counted, ["cell_type", "sample"], "left_anti").limit(3).collect():
+            raise ValueError(f"samples without counts, e.g. {[tuple(r) for r in bare]}; leave them out by qc()")
         sizes = tmm(self.dense(), logratio_trim, sum_trim, A_cutoff).withColumnRenamed("library_size", library_size_column)
         return replace(self, obs=self.obs.drop(library_size_column).join(sizes, ["cell_type", "sample"], "left"))
 

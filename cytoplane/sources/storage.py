@@ -156,8 +156,15 @@ def save_pseudobulk(pb: Pseudobulk, directory: str, overwrite: bool = False) ->
 
 
 def load_pseudobulk(spark: SparkSession, directory: str) -> Pseudobulk:
-    read = lambda s, first: (t := spark.read.option("inferSchema", "false").parquet(f"{directory}/{s}")).select(F.col("cell_type").cast("string").alias("cell_type"), *(c for c in t.columns if c != "cell_type"))
-    return Pseudobulk(read("X", 0), read("obs", 0), read("var", 0))
+    # names of folders are text, also where they look like numbers
+    key = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        tables = [spark.read.parquet(f"{directory}/{s}") for s in ("X", "obs", "var")]
+    finally:
+        spark.conf.set(key, before)
+    return Pseudobulk(*(t.select("cell_type", *(c for c in t.columns if c != "cell_type")) for t in tables))
 
 
 def save_de(de: DE, directory: str, overwrite: bool = False) -> None:
@@ -173,5 +180,7 @@ def load_de(spark: SparkSession, directory: str) -> DE:
 
 
 SingleCell.save = save
+for _slot in ("obs", "var"):
+    setattr(SingleCell, f"read_{_slot}", staticmethod(globals()[f"read_{_slot}"]))
 Pseudobulk.save = save_pseudobulk
 DE.save = save_de

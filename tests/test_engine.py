@@ -289,3 +289,24 @@ def test_doublet_scores(spark):
             want += s * (m[:, a] & m[:, b])
     assert np.allclose(got.doublet_score, want, rtol=1e-5) and got.doublet.sum() == 12
     assert set(np.flatnonzero(got.doublet)) <= set(np.argsort(-want)[:14])
+
+
+def test_kmeans_fills_empty_cells(spark):
+    """Two of three starts fall on one vector's copies; the third group still gets a centroid."""
+    rng = np.random.default_rng(5)
+    v = np.vstack([np.zeros((200, 2)), 5 + 0.1 * rng.normal(size=(3, 2)), np.array([[0.0, 9.0]] * 2)])
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "row_id long, value array<double>")
+    c, cells = nn.kmeans(table, 3)
+    assert cells.select("cell").distinct().count() == 3 and len(c) == 3
+
+
+def test_pseudobulk_guards(spark, tmp_path):
+    x = spark.createDataFrame([("01", "a", "g", 3), ("01", "b", "g", 4), ("2", "a", "g", 1)], "cell_type string, sample string, gene string, value long")
+    obs = spark.createDataFrame([("01", "a", 1), ("01", "b", 2), ("2", "a", 3)], "cell_type string, sample string, num_cells int")
+    var = spark.createDataFrame([("01", "g"), ("2", "g")], "cell_type string, gene string")
+    pb = Pseudobulk(x, obs, var)
+    pb.save(f"file://{tmp_path}/pb")
+    assert load_pseudobulk(spark, f"file://{tmp_path}/pb").keys() == ["01", "2"]
+    assert pb["01", F.col("num_cells") > 1].obs_names.collect()[0]["sample"] == "b"
+    with pytest.raises(ValueError):
+        Pseudobulk(x, obs.union(spark.createDataFrame([("2", "z", 1)], obs.schema)), var).library_size()
