@@ -20,6 +20,8 @@ from .neighbors import kmeans, squared_distances
 
 MAX_CELLS = 2_000_000
 MAX_GENES = 10_000
+#: Sums of a round of integration that go to the driver from each task; more are added up on the executors first.
+DIRECT_BYTES = 32 << 20
 
 
 def _vectors(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -191,9 +193,17 @@ def harmonize(sc: SingleCell, *others, batch_column: str | None = None, PC_key:
             yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([o.tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary()), pa.array([fit])], names=["j", "o", "w", "fit"])
 
         kinds = "j long, o binary, w binary, fit double"
-        got = sorted(table.select("b", "value").mapInArrow(work, kinds).groupBy("j").applyInArrow(add, kinds).collect())  # a row a batch
-        return np.stack([np.frombuffer(g["o"]) for g in got], 1), np.stack([np.frombuffer(g["w"]).reshape(len(y), -1) for g in got]), sum(g["fit"] for g in got)
-
+        parts = table.select("b", "value").mapInArrow(work, kinds)
+        if tasks * len(names) * len(y) * d * 8 > DIRECT_BYTES:  # then a row a batch, else a row a task and batch
+            parts = parts.groupBy("j").applyInArrow(add, kinds)
+        o, w, fit = np.zeros((len(y), len(names))), np.zeros((len(names), len(y), d)), 0.0
+        for g in parts.collect():
+            o[:, g["j"]] += np.frombuffer(g["o"])
+            w[g["j"]] += np.frombuffer(g["w"]).reshape(len(y), d)
+            fit += g["fit"]
+        return o, w, fit
+
+    tasks = cur.rdd.getNumPartitions()
     penalty, past = np.ones((len(y), len(names))), []
     for _ in range(max_iter):
         trail = []
