@@ -54,11 +54,16 @@ def drop_staged(df: DataFrame) -> None:
             path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+BATCH_BYTES = 32 << 20
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts go to Python a bounded number at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(rows))
+    """Whole texts go to Python so many rows and bytes at a time at most (a longer text alone). Plans read these settings
+    when they run, so they stay; lower ones of the session are kept."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def partitions(spark: SparkSession) -> int:
