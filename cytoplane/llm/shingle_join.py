@@ -299,19 +299,28 @@ def _mixed(left: DataFrame, leaders: list[Column]) -> DataFrame:
     return found.where("x < y and s = 1 and lead[0] is not null").select("key", "tile", "lead")
 
 
+def _parted(left: DataFrame) -> DataFrame:
+    """(key, tile, main) of the tiles where sets of two components could be a pair; main: the component of most sets."""
+    each = left.groupBy("key", "tile", "component").agg(F.count("*").alias("m"), F.max("small").alias("s"), F.max(~F.col("below")).alias("own"))
+    found = each.groupBy("key", "tile").agg(F.count("*").alias("c"), F.max("s").alias("s"), F.max("own").alias("own"), F.max(F.struct("m", "component")).alias("top"))
+    return found.where("c > 1 and s = 1 and own").select("key", "tile", F.col("top.component").alias("main"))
+
+
 def _across(left: DataFrame, bits: DataFrame, label: str) -> DataFrame:
-    """Pairs (a, b) of sets of two components that a tile of left holds and that sizes and bitmaps let link. A pair is made
-    in its first tile, and in later ones only if the first tiles that the two carry do not show one they have in common."""
-    some = lambda which, k: F.slice(F.sort_array(F.collect_list(F.when(which, F.col("key")))), 1, k)
+    """Pairs (a, b) of sets of two components that a tile of left holds and that sizes and bitmaps let link. One of the two
+    is not of the tile's main component, so that a large group of near copies never meets itself. A pair is made in its
+    first tile, and in later ones only if the first tiles that the two carry do not show one they have in common."""
+    some = lambda which, k: F.slice(F.sort_array(F.collect_set(F.when(which, F.col("key")))), 1, k)
     firsts = left.groupBy("rep", "tile").agg(some(F.col("small") == 1, FIRSTS[0]).alias("as_x"), some(~F.col("below"), FIRSTS[1]).alias("as_y"))
     told = firsts.join(bits.select(F.col("id").alias("rep"), *_B).hint("merge"), "rep")
     rows = staged(left.join(told.hint("merge"), ["rep", "tile"]), f"{label}-rows")
-    x, y = rows.where("small = 1").drop("as_y").alias("x"), rows.where("not below").drop("as_x").alias("y")
     may = (F.col("x.key") == F.col("y.key")) & (F.col("x.tile") == F.col("y.tile")) & (F.col("x.component") != F.col("y.component"))
     may &= (F.struct("x.n", "x.rep") < F.struct("y.n", "y.rep")) & (4 * F.col("x.n") >= 3 * F.col("y.n"))
     may &= F.col("x.n") + F.col("y.n") >= 7 * _bits_differ("x.", "y.", _B)
     may &= F.coalesce(F.array_min(F.array_intersect("as_x", "as_y")), F.col("x.key")) >= F.col("x.key")
-    return x.join(y.hint("merge"), may).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    x, y = rows.where("small = 1").drop("as_y"), rows.where("not below").drop("as_x")
+    met = [a.alias("x").join(b.alias("y").hint("merge"), may).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")) for a, b in ((x.where("component <> main"), y), (x.where("component = main"), y.where("component <> main")))]
+    return met[0].union(met[1]).distinct()
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -341,10 +350,10 @@ def groups(docs: DataFrame) -> DataFrame:
     # the least by some hashes, so that all tiles of a group of near copies have the same. Then pairs across components.
     for step in range(len(STARS) + 1):
         last = step == len(STARS)
-        lead = [F.struct(F.xxhash64("rep", F.lit(10 * step + k)).alias("h"), "rep", "n", "component") for k in range(1 if last else STARS[step])]
-        mixed = left.join(_mixed(left, lead).hint("merge"), ["key", "tile"])
+        lead = [F.struct(F.xxhash64("rep", F.lit(10 * step + k)).alias("h"), "rep", "n", "component") for k in range(0 if last else STARS[step])]
+        mixed = left.join((_parted(left) if last else _mixed(left, lead)).hint("merge"), ["key", "tile"])
         if last:
-            pairs = _across(staged(mixed.drop("lead"), "mixed"), bits, "across")
+            pairs = _across(staged(mixed, "mixed"), bits, "across")
         else:
             left = staged(mixed, f"mixed-{step}")
             each = left.select("rep", "n", "component", F.posexplode("lead").alias("way", "lead"))
