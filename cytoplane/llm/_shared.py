@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import os
 import tempfile
@@ -66,6 +67,24 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
             spark.conf.set(key, str(most))
 
 
+def release() -> None:
+    """Gives freed memory back to the system. Python workers stay between stages, and would hold it beside the JVM's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library that Linux executors have
+    if trim:
+        trim(0)
+
+
+def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work, after which freed memory goes back to the system."""
+
+    def then(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        release()
+
+    return then
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -103,7 +122,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 # test and go on at once; of these keys one mark, and of the others their row, go as packed arrays to the bucket of
 # the key. A bucket thus sees a key once a block, however frequent it is.
 
-BLOCK_KEYS = 2_000_000
+BLOCK_KEYS = 1_500_000
 PACKED = "bucket int, kind int, keys binary, at binary, docs binary, extra binary"
 
 

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import small_batches, stratified_sample, texts_of
+from ._shared import released, small_batches, stratified_sample, texts_of
 
 WINDOW, SIDE = 128, 2048
 HIDDEN = 8
@@ -180,7 +180,7 @@ def predict(docs: DataFrame, model: dict | None, text: str = "text") -> DataFram
                 score[known] = np.clip(p[np.arange(len(best)), best] / np.diff(off)[known], 0, 1)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col(text).rlike(r"\p{L}").alias("letters"), F.col(text).alias(text)).mapInArrow(work, RESULT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col(text).rlike(r"\p{L}").alias("letters"), F.col(text).alias(text)).mapInArrow(released(work), RESULT)
 
 
 def keep_known(docs: DataFrame, model: dict | None, text: str = "text", least: float = 0.3) -> DataFrame:
@@ -196,7 +196,7 @@ def keep_known(docs: DataFrame, model: dict | None, text: str = "text", least: f
                 known[known] = (probabilities(model, raw, off)[known].max(1) / np.diff(off)[known]) >= least
             yield b.filter(pa.array(known))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(released(work), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

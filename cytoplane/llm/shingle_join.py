@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import PACKED, KeyBlock, components, drop_staged, mix64, packed_batches, partitions, shared_rows, small_batches, staged, texts_of
+from ._shared import PACKED, KeyBlock, components, drop_staged, mix64, packed_batches, partitions, released, shared_rows, small_batches, staged, texts_of
 
 WORDS = 5
 #: Leaders that a set is tried against in each round, before all pairs that are left.
@@ -110,7 +110,7 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def heavy_shingles(docs: DataFrame, block: int = 3_000_000, least: int = 8) -> tuple[np.ndarray, np.ndarray, int]:
+def heavy_shingles(docs: DataFrame, block: int = 2_000_000, least: int = 6) -> tuple[np.ndarray, np.ndarray, int]:
     """The most frequent shingles, sorted, their place among them by frequency, and the sum of the sizes of all sets.
     The list only sets an order: which shingles it has changes what the join costs and not what it finds."""
 
@@ -139,7 +139,7 @@ def heavy_shingles(docs: DataFrame, block: int = 3_000_000, least: int = 8) -> t
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], names=["h", "n"])
 
     # the sum of all sizes stands first: none is greater, and its h is null
-    got = docs.select("text").mapInArrow(work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HOT + 1).collect()
+    got = docs.select("text").mapInArrow(released(work), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HOT + 1).collect()
     h = np.array([r["h"] for r in got[1:]], np.int64).view(np.uint64)
     rank = np.arange(len(h), 0, -1)
     order = np.argsort(h)
@@ -193,7 +193,7 @@ def _packed(docs: DataFrame, hot: np.ndarray, rank: np.ndarray, total: int) -> D
             yield 0, 3, b"", b"", sig.tobytes(), b""
         yield from block.flush()
 
-    return docs.mapInArrow(lambda it: packed_batches(rows(it)), PACKED)
+    return docs.mapInArrow(released(lambda it: packed_batches(rows(it))), PACKED)
 
 
 _B = [f"b{k}" for k in range(BITS // 64)]
@@ -221,7 +221,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                 got = shingle_sets(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array([len(s) for s in got], pa.int64()), pa.array([bitmap(s, BIG).tobytes() for s in got], pa.binary()), pa.array([s.tobytes() for s in got], pa.binary())], names=["id", "n", "big", "items"])
 
-    return docs.mapInArrow(work, "id long, n long, big binary, items binary")
+    return docs.mapInArrow(released(work), "id long, n long, big binary, items binary")
 
 
 def _bits_differ(x: str, y: str, bits: list[str]) -> Column:

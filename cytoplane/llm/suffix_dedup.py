@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import PACKED, KeyBlock, drop_staged, mix64, packed_batches, partitions, shared_rows, small_batches, staged, texts_of
+from ._shared import PACKED, KeyBlock, drop_staged, mix64, packed_batches, partitions, released, shared_rows, small_batches, staged, texts_of
 from .shingle_join import chunks
 
 LENGTH, ANCHOR = 50, 16
@@ -123,7 +123,7 @@ def _anchors(docs: DataFrame, size: int) -> DataFrame:
                     seen.clear()
         yield from block.flush()
 
-    return docs.mapInArrow(lambda it: packed_batches(rows(it)), PACKED)
+    return docs.mapInArrow(released(lambda it: packed_batches(rows(it))), PACKED)
 
 
 def _segments(docs: DataFrame) -> DataFrame:
@@ -158,7 +158,7 @@ def _segments(docs: DataFrame) -> DataFrame:
                 text = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(np.append(0, ends).astype(np.int32).tobytes()), pa.py_buffer(body.tobytes())])
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(h.view(np.int64)), pa.array(ids[lo + doc]), pa.array((first - off[doc]) | nth[lo + doc] << NTH), pa.array(rel.astype(np.int32)), text], names=["key", "h", "doc_id", "at", "rel", "segment"])
 
-    return docs.mapInArrow(work, "key long, h long, doc_id long, at long, rel int, segment binary")
+    return docs.mapInArrow(released(work), "key long, h long, doc_id long, at long, rel int, segment binary")
 
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -379,7 +379,7 @@ def deduplicate(docs: DataFrame, keep: str | None = "bytes", carry: tuple[str, .
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], *(pa.array(c, t) for c, t in zip(zip(*rows), kinds)), b.column(5)[lo:hi]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "row"])
 
     kinds = T.StructType([*T._parse_datatype_string(RESULT.replace("kept binary", "kept string") if keep == "text" else RESULT).fields, *joined.select("row").schema.fields])
-    return joined.mapInArrow(work, kinds)
+    return joined.mapInArrow(released(work), kinds)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
