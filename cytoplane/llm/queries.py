@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, licences, media, packing, quality, shingle_join, suffix_dedup, token_counts, token_records
+from . import decontaminate, divergence, language, licences, media, packing, quality, sharding, shingle_join, spelling, suffix_dedup, token_counts, token_records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": language.query,
@@ -19,5 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shingle_join": shingle_join.query,
     "op9_decontamination": decontaminate.query,
     "op10_token_records": token_records.query,
+    "op11_spelling_variants": spelling.query,
+    "op12_source_divergence": divergence.query,
+    "op13_sharding": sharding.query,
 }
-ORACLE_SQL: dict[str, str] = {"op4_licences": licences.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op4_licences": licences.oracle_sql(), "op12_source_divergence": divergence.oracle_sql()}
