@@ -93,7 +93,7 @@ def polynomial_contrasts(n: int) -> np.ndarray:
 def design_matrix(formula: str, table: pd.DataFrame, categorical: tuple[str, ...] = (), ordinal: tuple[str, ...] = (), levels: dict[str, list] | None = None) -> pd.DataFrame:
     """Columns as a linear model wants them: numbers as they are; text, booleans and `categorical` by treatment
     contrasts against the first level (all levels of the first such term without an intercept); `ordinal` by orthogonal
-    polynomials. Columns that are zero throughout go. Nulls raise ValueError, and so do as many columns as rows."""
+    polynomials. Levels are those given for a column, in their order, else its values, sorted. Columns that are zero throughout go. Nulls raise ValueError, and so do as many columns as rows."""
     intercept, parts = terms(formula)
     lacking = [v for v in variables(formula) if v not in table.columns]
     if lacking:
@@ -107,7 +107,7 @@ def design_matrix(formula: str, table: pd.DataFrame, categorical: tuple[str, ...
         if v not in table.columns:
             return {v: evaluate(v, table)}
         x = table[v]
-        factor = v in categorical or v in ordinal or x.dtype == bool or not pd.api.types.is_numeric_dtype(x)
+        factor = v in categorical or v in ordinal or v in (levels or {}) or x.dtype == bool or not pd.api.types.is_numeric_dtype(x)
         if not factor:
             return {v: x.to_numpy(float)}
         known = (levels or {}).get(v) or sorted(x.unique())
@@ -122,7 +122,7 @@ def design_matrix(formula: str, table: pd.DataFrame, categorical: tuple[str, ...
     for term in parts:
         columns: dict[str, np.ndarray] = {}
         for v in term:
-            full = coded_full and len(term) == 1 and v in table.columns and (v in categorical or table[v].dtype == bool or not pd.api.types.is_numeric_dtype(table[v]))
+            full = coded_full and len(term) == 1 and v in table.columns and (v in categorical or v in (levels or {}) or table[v].dtype == bool or not pd.api.types.is_numeric_dtype(table[v]))
             one = coded(v, full)
             if full:
                 coded_full = False

@@ -7,7 +7,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 
-from .special import betainc, digamma, inverse_trigamma, t_quantile, t_two_sided, trigamma
+from .special import digamma, f_density, f_quantile, f_tail, inverse_trigamma, t_quantile, t_two_sided, trigamma
 
 
 def lowess(x: np.ndarray, y: np.ndarray, span: float = 0.5, rounds: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -108,28 +108,94 @@ def contrast(model: dict[str, np.ndarray], c: np.ndarray) -> dict[str, np.ndarra
     return model | {"beta": model["beta"] @ c, "unscaled": np.sqrt(np.einsum("ik,gij,jk->gk", c, model["cov"], c))}
 
 
-def moderate(model: dict[str, np.ndarray], robust: bool = False) -> dict[str, np.ndarray]:
-    """Variances drawn towards a common prior, whose scale and degrees of freedom fit the spread of all genes. robust:
-    the moments are taken of log variances with 5 % at the low and 10 % at the high end drawn in, and the prior degrees
-    of genes far above the rest are lowered by the chance of so large a variance."""
-    s2, df = np.maximum(model["s2"], 1e-5 * np.median(model["s2"])), model["df"]
+def log_moments(s2: np.ndarray, df: np.ndarray) -> tuple[float, float]:
+    """Degrees of freedom and scale of a scaled F that has the mean and the variance of log s2 (Smyth 2004)."""
+    e = np.log(s2) - digamma(df / 2) + np.log(df / 2)
+    spread = e.var(ddof=1) - trigamma(df / 2).mean() if len(e) > 1 else 0.0
+    if spread <= 0:
+        return np.inf, float(np.exp(e.mean()))
+    prior = 2 * inverse_trigamma(float(spread))
+    return prior, float(np.exp(e.mean() + digamma(prior / 2) - np.log(prior / 2)))
+
+
+def winsorised_moments(df1: float, df2: float, tails: tuple[float, float], nodes: int = 128) -> tuple[float, float]:
+    """Mean and variance of log F with its low and high tail drawn in to their quantiles, by Gauss's quadrature over
+    F / (1 + F)."""
+    low, high = f_quantile(tails[0], df1, df2), f_quantile(1 - tails[1], df1, df2)
+    x, w = np.polynomial.legendre.leggauss(nodes)
+    a, b = low / (1 + low), high / (1 + high)
+    u, w = a + (b - a) * (x + 1) / 2, w * (b - a) / 2
+    f = u / (1 - u)
+    mass, z, ends, p = w * f_density(f, df1, df2) / (1 - u) ** 2, np.log(f), np.log([low, high]), np.array(tails)
+    mean = float((mass * z).sum() + (p * ends).sum())
+    return mean, float((mass * (z - mean) ** 2).sum() + (p * (ends - mean) ** 2).sum())
+
+
+def robust_prior(s2: np.ndarray, df: float, tails: tuple[float, float] = (0.05, 0.1)) -> tuple[np.ndarray, float]:
+    """Prior degrees of freedom of each gene and the scale, when some genes vary far more than the rest (Phipson et al.
+    2016). Log variances with their tails drawn in are compared with a scaled F treated alike: the variance gives the
+    prior degrees of freedom, the mean the scale. A gene further out than its rank among all lets expect is an outlier
+    with some probability, and its degrees of freedom lie between the prior's and those that would make the farthest gene
+    an ordinary one."""
+    n = len(s2)
+    plain, scale = log_moments(s2, np.full(n, df))
+    if n < 3 or all(t < 1 / n for t in tails):
+        return np.full(n, plain), scale
     z = np.log(s2)
-    e = z - digamma(df / 2) + np.log(df / 2)
-    used = np.clip(e, np.quantile(e, 0.05), np.quantile(e, 0.9)) if robust and len(e) > 2 else e
-    spread = used.var(ddof=1) - trigamma(df / 2).mean() if len(e) > 1 else 0.0
-    if spread > 0:
-        prior = 2 * inverse_trigamma(float(spread))
-        scale = float(np.exp(used.mean() + digamma(prior / 2) - np.log(prior / 2)))
+    cut = int(tails[1] * n)
+    centre = np.sort(z)[cut : n - cut].mean()
+    drawn = np.clip(z - centre, *np.quantile(z - centre, [tails[0], 1 - tails[1]]))
+    mean, var = drawn.mean(), drawn.var(ddof=1)
+    excess = lambda d2: np.log(var / winsorised_moments(df, d2, tails)[1])
+    prior = np.inf
+    if excess(np.inf) > 0:
+        if not np.isfinite(plain):
+            return np.full(n, plain), scale
+        # x = d2 / (1 + d2) from that of the plain fit, which outliers make too low, up to one
+        low, high = plain / (1 + plain), 1.0
+        if excess(plain) >= 0:
+            high = low
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if excess(mid / (1 - mid) if mid < 1 else np.inf) < 0 else (low, mid)
+        prior = plain if excess(plain) >= 0 else low / (1 - low)
+    scale = float(np.exp(centre + mean - winsorised_moments(df, prior, tails)[0]))
+    ratio = s2 / scale
+    tail = f_tail(ratio, df, prior)
+    rank = pd.Series(ratio).rank().to_numpy()
+    ordinary = np.minimum(tail / ((n - rank + 0.5) / n), 1)
+    each = np.full(n, prior)
+    if (ordinary < 1).any():
+        if np.isfinite(prior):
+            far = 0.0
+            if tail.min() > 0:
+                far = np.log(0.5) / np.log(tail.min()) * prior
+                far *= np.log(0.5) / np.log(float(f_tail(ratio.max(), df, far)))
+            each = ordinary * prior + (1 - ordinary) * far
+        else:
+            each = np.where(ordinary < 1, ordinary * n * df, np.inf)
+        order = np.argsort(tail, kind="stable")
+        ranked = each[order]
+        if np.isfinite(prior):
+            # the lowest mean of the first genes holds for all of these, and degrees never fall from there on
+            running = np.cumsum(ranked) / np.arange(1, n + 1)
+            least = int(running.argmin())
+            ranked[: least + 1] = running[least]
+        each[order] = np.maximum.accumulate(ranked)
+    return each, scale
+
+
+def moderate(model: dict[str, np.ndarray], robust: bool = False) -> dict[str, np.ndarray]:
+    """Variances drawn towards a common prior, whose scale and degrees of freedom fit the spread of all genes; robust:
+    with degrees of freedom of each gene's own, see robust_prior."""
+    s2, df = np.maximum(model["s2"], (1e-12 if robust else 1e-5) * np.median(model["s2"])), model["df"]
+    if robust:
+        each, scale = robust_prior(s2, float(df[0]))
     else:
-        prior, scale = np.inf, float(np.exp(used.mean()))
-    each = np.full(len(s2), prior)
-    if robust and np.isfinite(prior):
-        ratio = s2 / scale
-        tail = betainc(prior / 2, df / 2, prior / (prior + df * ratio))
-        rank = np.argsort(np.argsort(tail)) + 0.5
-        outlier = np.clip(tail / (rank / len(tail)), 0, 1)
-        each = np.maximum(outlier * prior, 1e-3)
-    post = np.where(np.isfinite(each), (np.where(np.isfinite(each), each, 0) * scale + df * s2) / (np.where(np.isfinite(each), each, 0) + df), scale)
+        prior, scale = log_moments(s2, df)
+        each = np.full(len(s2), prior)
+    finite = np.where(np.isfinite(each), each, 0)
+    post = np.where(np.isfinite(each), (finite * scale + df * model["s2"]) / (finite + df), scale)
     total = np.minimum(df + each, df.sum())
     t = model["beta"] / model["unscaled"] / np.sqrt(post)[:, None]
     se = np.sqrt(post)[:, None] * model["unscaled"]
@@ -144,4 +210,4 @@ def residuals(y: np.ndarray, design: np.ndarray) -> np.ndarray:
     return y - design @ np.linalg.lstsq(design, y, rcond=None)[0]
 
 
-__all__ = ["contrast", "fit", "lowess", "moderate", "residuals", "voom", "voom_by_group"]
+__all__ = ["contrast", "fit", "lowess", "moderate", "residuals", "robust_prior", "voom", "voom_by_group"]

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.special import binomial_log_sf, local_regression
 from . import verbs
 from .cells import SingleCell
+from .packed import flat_lists
+from .staging import staged
 
 
 def _counts(sc: SingleCell, allow_float: bool) -> DataFrame:
@@ -109,55 +111,83 @@ def gene_moments(sc: SingleCell, QC_column: str | None = "passed_QC", allow_floa
     return sc.var.select("col_id").join(x, "col_id", "left").select("col_id", F.lit(n).alias("n"), (s / n).alias("mean"), F.greatest(var, F.lit(0.0)).alias("variance"))
 
 
+def batch_moments(x: DataFrame, sizes: DataFrame) -> DataFrame:
+    """batch, col_id, n, mean, variance (n - 1) of the genes that a batch has counts of, zeros counted; x has (batch,
+    row_id, col_id, value), sizes (batch, n), the number of cells. One pass over x for any number of batches."""
+    sums = x.groupBy("batch", "col_id").agg(F.sum("value").cast("double").alias("s"), F.sum(F.col("value") * F.col("value")).cast("double").alias("q")).join(sizes, "batch")
+    var = (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / F.greatest(F.col("n") - 1, F.lit(1))
+    return sums.select("batch", "col_id", "n", (F.col("s") / F.col("n")).alias("mean"), F.greatest(var, F.lit(0.0)).alias("variance"))
+
+
+def batched(sc: SingleCell, batch_column, QC_column: str | None, allow_float: bool) -> tuple[DataFrame, DataFrame]:
+    """X as (batch, row_id, col_id, value) over the cells that passed and have a batch, and (batch, n) of the batches;
+    without a column all cells are one batch. Batches are text."""
+    cells = sc.passing(QC_column)
+    batch = F.lit("") if batch_column is None else verbs.resolve(cells.obs, batch_column).cast("string")
+    of = cells.obs.select("row_id", batch.alias("batch")).where("batch is not null")
+    return _counts(cells, allow_float).join(of, "row_id").select("batch", "row_id", "col_id", "value"), of.groupBy("batch").agg(F.count("*").alias("n"))
+
+
 def hvg(*datasets: SingleCell, num_genes: int = 2000, batch_column=None, QC_column: str | None = "passed_QC", span: float = 0.3, allow_float: bool = False, hvg_column: str = "highly_variable", rank_column: str = "highly_variable_rank"):
     """Genes by variance of their standardised counts: the variance that a local regression of log10 variance on log10
     mean expects, counts cut off at sqrt(n) standard deviations. With batches or several datasets each ranks by itself;
-    genes go by how often they are among the top, then by their median rank. Only a row a gene meets on the driver."""
-    sets = []
-    for sc in datasets:
-        if batch_column is None:
-            sets.append(sc)
-        else:
-            sets += sc.split_by_obs(batch_column).values()
-    names = [s.name_column("var") for s in sets]
-    ranked = []
-    for s, name in zip(sets, names):
-        cells = s.passing(QC_column)
-        got = gene_moments(s, QC_column, allow_float).join(s.var.select("col_id", F.col(name).alias("gene")), "col_id").orderBy("col_id").toPandas()
-        n = int(got.n.iloc[0]) if len(got) else 0
-        fits = (got.variance > 0).to_numpy()
-        expected = np.zeros(len(got))
+    genes go by how often they are among the top, then by their median rank, then by their rank over all.
+
+    X is read twice, however many batches there are: for sums by batch and gene, and for sums of the standardised counts.
+    Trends are fitted batch by batch in a grouped map, over a row a gene. Genes are told apart by col_id, so that names may
+    recur; several datasets are matched by name, which must be unique in each then, or ValueError is raised."""
+    named = len(datasets) > 1
+    xs, sizes, genes = [], [], []
+    for k, sc in enumerate(datasets):
+        name = sc.name_column("var")
+        if named and sc.var.groupBy(name).count().where("count > 1").limit(1).count():
+            raise ValueError("gene names are not unique: datasets can't be matched by them")
+        x, n = batched(sc, batch_column, QC_column, allow_float)
+        mark = F.concat_ws("/", F.lit(str(k)), "batch").alias("batch")
+        xs.append(x.select(mark, "row_id", "col_id", "value"))
+        sizes.append(n.select(mark, "n"))
+        # a batch ranks all genes of its dataset
+        sizes[-1] = staged(sizes[-1], "batches")
+        own = [r["batch"] for r in sizes[-1].collect()]
+        genes.append(sc.var.select(F.explode(F.array(*map(F.lit, own)).cast("array<string>")).alias("batch"), "col_id", (F.col(name).cast("string") if named else F.col("col_id").cast("long")).alias("gene")))
+    x, sizes, genes = (verbs.stacked(t, False, "batches") for t in (xs, sizes, genes))
+
+    def fit(table: pa.Table) -> pa.Table:
+        mean, variance = (table.column(c).to_numpy() for c in ("mean", "variance"))
+        fits = variance > 0
+        expected = np.zeros(len(mean))
         if fits.sum() > 3:
-            expected[fits] = 10 ** local_regression(np.log10(got["mean"][fits].to_numpy()), np.log10(got.variance[fits].to_numpy()), span)
-        spark = s.obs.sparkSession
-        trend = spark.createDataFrame([(int(c), float(m), float(np.sqrt(e))) for c, m, e in zip(got.col_id, got["mean"], expected)], "col_id long, m double, sd double")
-        z = F.least((F.col("value") - F.col("m")) / F.col("sd"), F.lit(float(np.sqrt(n))))
-        z0 = -F.col("m") / F.col("sd")
-        stored = _counts(cells, allow_float).join(trend.where("sd > 0"), "col_id").groupBy("col_id").agg(F.sum(z * z).alias("a"), F.count("*").alias("k"))
-        value = (F.coalesce("a", F.lit(0.0)) + (F.lit(n) - F.coalesce("k", F.lit(0))) * z0 * z0) / max(n - 1, 1)
-        scored = trend.join(stored, "col_id", "left").select("col_id", F.when(F.col("sd") > 0, value).otherwise(0.0).alias("v")).toPandas()
-        got = got.merge(scored, on="col_id").sort_values(["v", "col_id"], ascending=[False, True], kind="stable")
-        got["rank"] = np.arange(1, len(got) + 1)
-        ranked.append(got.set_index("gene")["rank"])
-    import pandas as pd
-
-    table = pd.concat(ranked, axis=1, join="inner")
-    order = pd.DataFrame({"in_top": (table <= num_genes).sum(axis=1), "median": table.where(table <= num_genes).median(axis=1), "all": table.median(axis=1)})
-    order = order.sort_values(["in_top", "median", "all"], ascending=[False, True, True], kind="stable")
-    top = order.index[:num_genes].tolist()
+            expected[fits] = 10 ** local_regression(np.log10(mean[fits]), np.log10(variance[fits]), span)
+        return pa.table({"batch": table.column("batch"), "col_id": table.column("col_id"), "n": table.column("n"), "m": mean, "sd": np.sqrt(expected)})
+
+    trend = staged(batch_moments(x, sizes).groupBy("batch").applyInArrow(lambda t: fit(t.sort_by("col_id")), "batch string, col_id long, n long, m double, sd double"), "trend")
+    z = F.least((F.col("value") - F.col("m")) / F.col("sd"), F.sqrt("n"))
+    z0 = -F.col("m") / F.col("sd")
+    scored = x.join(trend.where("sd > 0"), ["batch", "col_id"]).groupBy("batch", "col_id").agg(F.sum(z * z).alias("a"), F.count("*").alias("k"), F.first(z0 * z0).alias("zero"), F.first("n").alias("n"))
+    scored = scored.select("batch", "col_id", ((F.col("a") + (F.col("n") - F.col("k")) * F.col("zero")) / F.greatest(F.col("n") - 1, F.lit(1))).alias("v"))
+    w = Window.partitionBy("batch").orderBy(F.desc("v"), "col_id")
+    ranks = genes.join(scored, ["batch", "col_id"], "left").fillna(0.0, "v").withColumn("rank", F.row_number().over(w))
+    top = F.col("rank") <= num_genes
+    per = ranks.groupBy("gene").agg(F.count("*").alias("_in"), F.sum(top.cast("int")).alias("in_top"), F.median(F.when(top, F.col("rank"))).alias("median"), F.median("rank").alias("all"))
+    per = per.join(sizes.agg(F.count("*").alias("_of")), F.col("_in") == F.col("_of"))
+    best = per.orderBy(F.desc("in_top"), F.asc_nulls_last("median"), "all", "gene").limit(num_genes)
+    rank = F.row_number().over(Window.orderBy(F.desc("in_top"), F.asc_nulls_last("median"), "all", "gene"))  # of num_genes rows
+    marks = staged(best.select("gene", rank.cast("long").alias(rank_column)), "variable")
     out = []
     for sc in datasets:
-        name = sc.name_column("var")
-        marks = sc.obs.sparkSession.createDataFrame([(g, k + 1) for k, g in enumerate(top)], f"{name} string, {rank_column} long")
-        var = sc.var.drop(hvg_column, rank_column).join(marks, name, "left")
-        out.append(replace(sc, var=var.select(*sc.var.drop(hvg_column, rank_column).columns, F.col(rank_column).isNotNull().alias(hvg_column), rank_column)))
+        key = sc.name_column("var") if named else "col_id"
+        var = sc.var.drop(hvg_column, rank_column)
+        joined = var.join(marks.withColumnRenamed("gene", "_gene"), F.col(key).cast("string" if named else "long") == F.col("_gene"), "left")
+        out.append(replace(sc, var=joined.select(*var.columns, F.col(rank_column).isNotNull().alias(hvg_column), rank_column)))
     return out[0] if len(out) == 1 else tuple(out)
 
 
 def sum_by(sc: SingleCell, sample: str, cell_type: str, QC_column: str | None = "passed_QC", allow_float: bool = False) -> tuple[DataFrame, DataFrame]:
     """Summed counts (cell_type, sample, gene, value) and cells (cell_type, sample, num_cells, columns that are constant
     within each sample). Sums are combined before they are shuffled, so a sample with a third of all cells is no task
-    of its own."""
+    of its own. Genes are named from here on: names that are not unique raise ValueError."""
+    if sc.var.groupBy(sc.name_column("var")).count().where("count > 1").limit(1).count():
+        raise ValueError("gene names are not unique; make_var_names_unique() makes them so")
     cells = sc.passing(QC_column)
     obs = cells.obs.where(F.col(sample).isNotNull() & F.col(cell_type).isNotNull())
     key = obs.select("row_id", F.col(cell_type).alias("cell_type"), F.col(sample).alias("sample"))
@@ -167,14 +197,14 @@ def sum_by(sc: SingleCell, sample: str, cell_type: str, QC_column: str | None =
     skip = {"row_id", sc.name_column("obs"), sample, cell_type, QC_column}
     same = verbs.constant_columns(obs, [sample], [c for c in obs.columns if c not in skip])
     per = obs.groupBy(F.col(cell_type).alias("cell_type"), F.col(sample).alias("sample")).agg(F.count("*").alias("num_cells"), *(F.first(c).alias(c) for c in same))
-    return x, per
+    return x, verbs.levels_like(per, obs)
 
 
 def sample_covariates(sc: SingleCell, sample: str, QC_column: str | None = "passed_QC") -> DataFrame:
     """A row for each sample with the columns of obs that are constant within samples."""
     obs = sc.passing(QC_column).obs.where(F.col(sample).isNotNull())
     same = verbs.constant_columns(obs, [sample], [c for c in obs.columns if c not in ("row_id", sc.name_column("obs"), sample, QC_column)])
-    return obs.groupBy(sample).agg(*(F.first(c).alias(c) for c in same)) if same else obs.select(sample).distinct()
+    return verbs.levels_like(obs.groupBy(sample).agg(*(F.first(c).alias(c) for c in same)), obs) if same else obs.select(sample).distinct()
 
 
 def crosstab(sc: SingleCell, rows: str, columns: str, normalize_rows: bool = False) -> DataFrame:
@@ -229,38 +259,56 @@ def dot_plot(sc: SingleCell, genes: list[str], cell_type: str, QC_column: str |
 # -- doublets ---------------------------------------------------------------------------------------------------------
 
 
-def pairs_together(present: DataFrame) -> DataFrame:
-    """(a, b, n): pairs of genes that occur together, and in how many cells; counts are combined before they are shuffled."""
-    return present.alias("x").join(present.alias("y"), (F.col("x.row_id") == F.col("y.row_id")) & (F.col("x.col_id") < F.col("y.col_id"))).groupBy(F.col("x.col_id").alias("a"), F.col("y.col_id").alias("b")).agg(F.count("*").alias("n"))
-
-
-def _presence(t: pa.RecordBatch, genes: np.ndarray) -> np.ndarray:
-    """Cells by genes (sorted ids): 1 where the list of a cell's genes has it."""
-    lists = t.column(1)
-    size = np.diff(np.asarray(lists.offsets))
-    m = np.zeros((t.num_rows, len(genes)), np.float32)
-    m[np.repeat(np.arange(t.num_rows), size), np.searchsorted(genes, np.asarray(lists.flatten()))] = 1
+def presence(places: pa.Array, size: int) -> np.ndarray:
+    """Cells by genes: 1 where the list of a cell's genes has it."""
+    at, off = flat_lists(places)
+    m = np.zeros((len(places), size), np.float32)
+    m[np.repeat(np.arange(len(places)), np.diff(off)), at] = 1
     return m
 
 
-def cells_with_both(lists: DataFrame, genes: np.ndarray) -> np.ndarray:
-    """For each two of a bounded number of genes, in how many cells (row_id, c: their genes) they are together. Tasks sum
-    products of matrices, a row for each gene; rows of a gene meet in one task."""
+def cells_with_both(lists: DataFrame, size: int) -> DataFrame:
+    """(batch, k, s): for each two of at most `size` genes of a batch, in how many of its cells they are together, a row
+    for each gene k with the counts of all genes as 8-byte numbers. lists has (batch, places), a row a cell. Tasks see
+    one batch after another and hold the counts of one; rows of a gene are added up in one task."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(genes), len(genes)))
+        now, total = None, np.zeros((size, size))
+
+        def rows() -> pa.RecordBatch:
+            used = np.flatnonzero(np.diag(total))
+            return pa.RecordBatch.from_arrays([pa.array([now] * len(used), pa.string()), pa.array(used), pa.array([total[k].tobytes() for k in used], pa.binary())], names=["batch", "k", "s"])
+
         for t in batches:
-            m = _presence(t, genes)
-            total += m.T @ m
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(genes))), pa.array([r.tobytes() for r in total], pa.binary())], names=["k", "s"])
+            name = t.column(0).to_pylist()
+            cuts = [0, *(i for i in range(1, len(name)) if name[i] != name[i - 1]), len(name)] if name else []
+            for lo, hi in zip(cuts, cuts[1:]):
+                if name[lo] != now:
+                    if now is not None:
+                        yield rows()
+                    now, total = name[lo], np.zeros((size, size))
+                m = presence(t.column(1)[lo:hi], size)
+                total += m.T @ m
+        if now is not None:
+            yield rows()
 
     def add(table: pa.Table) -> pa.Table:
-        return pa.table({"k": [table.column("k")[0].as_py()], "s": pa.array([sum(np.frombuffer(x) for x in table.column("s").to_pylist()).tobytes()], pa.binary())})
+        return pa.table({"batch": [table.column("batch")[0].as_py()], "k": [table.column("k")[0].as_py()], "s": pa.array([sum(np.frombuffer(x) for x in table.column("s").to_pylist()).tobytes()], pa.binary())})
+
+    return lists.select("batch", "places").sortWithinPartitions("batch").mapInArrow(work, "batch string, k long, s binary").groupBy("batch", "k").applyInArrow(add, "batch string, k long, s binary")
 
-    out = np.zeros((len(genes), len(genes)))
-    for r in lists.mapInArrow(work, "k long, s binary").groupBy("k").applyInArrow(add, "k long, s binary").collect():
-        out[r["k"]] = np.frombuffer(r["s"])
-    return out
+
+def unpacked_counts(counts: DataFrame) -> DataFrame:
+    """(batch, k, l, n) of the rows of cells_with_both."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            rows = [np.frombuffer(x) for x in t.column(2).to_pylist()]
+            if rows:
+                at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+                yield pa.RecordBatch.from_arrays([t.column(0).take(pa.array(at)), t.column(1).take(pa.array(at)), pa.array(np.concatenate([np.arange(len(r)) for r in rows])), pa.array(np.concatenate(rows))], names=["batch", "k", "l", "n"])
+
+    return counts.select("batch", "k", "s").mapInArrow(work, "batch string, k long, l long, n double")
 
 
 def pair_scores(both: np.ndarray, n: int) -> np.ndarray:
@@ -274,50 +322,74 @@ def pair_scores(both: np.ndarray, n: int) -> np.ndarray:
     return out + out.T
 
 
+#: Cells of a batch that one task scores.
+SCORED = 50_000
+
+
+def _scores(lists: DataFrame, weights: DataFrame, parts: DataFrame, size: int) -> DataFrame:
+    """(row_id, score) of the cells of lists (batch, row_id, places); weights has a matrix a batch, parts the number of
+    tasks that a batch is dealt to. A matrix goes to each task of its batch, and to no other."""
+
+    def work(cells: pa.Table, matrix: pa.Table) -> pa.Table:
+        if not cells.num_rows or not matrix.num_rows:
+            return pa.table({"row_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        w = np.frombuffer(matrix.column("w")[0].as_py()).reshape(size, size)
+        out = []
+        for t in cells.select(["places"]).combine_chunks().to_batches(max_chunksize=10_000):
+            m = presence(t.column(0), size)
+            out.append(((m @ w) * m).sum(1) / 2)
+        return pa.table({"row_id": cells.column("row_id"), "score": np.concatenate(out)})
+
+    dealt = lists.join(parts, "batch").withColumn("part", F.pmod(F.xxhash64("row_id"), F.col("parts")).cast("int")).select("batch", "part", "row_id", "places")
+    copies = weights.join(parts, "batch").select("batch", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "w")
+    return dealt.groupBy("batch", "part").cogroup(copies.groupBy("batch", "part")).applyInArrow(work, "row_id long, score double")
+
+
 def find_doublets(sc: SingleCell, batch_column=None, num_genes: int = 500, doublet_fraction: float | None = None, QC_column: str | None = "passed_QC", doublet_column: str = "doublet", doublet_score_column: str = "doublet_score", seed: int = 0, allow_float: bool = False) -> SingleCell:
     """Co-expression score: a cell's sum, over the pairs of chosen genes that it has both of, of how unlikely it is that
     so many cells have just one of the two. Genes are those seen nearest to half of the cells. Doublets are the given
-    fraction of highest scores or, without one, cells at or over the median score of pairs of cells put together."""
-    if batch_column is not None:
-        parts = [find_doublets(s, None, num_genes, doublet_fraction, QC_column, doublet_column, doublet_score_column, seed, allow_float).obs.select("row_id", doublet_column, doublet_score_column) for s in sc.passing(QC_column).split_by_obs(batch_column).values()]
-        scored = verbs.stacked(parts, False, "batches")
-        return replace(sc, obs=sc.obs.join(scored, "row_id", "left"))
+    fraction of highest scores or, without one, cells at or over the median score of pairs of cells put together.
+
+    Batches have their own genes, pair counts and scores; all of them are found in one pass, keyed by batch. Cells that
+    did not pass or have no batch get nulls."""
+    x, sizes = batched(sc, batch_column, QC_column, allow_float)
+    x = x.where("value > 0")
+    sizes = staged(sizes.withColumn("parts", F.ceil(F.col("n") / SCORED).cast("int")), "batches")
+    parts = sizes.select("batch", "parts")
+    k = x.groupBy("batch", "col_id").agg(F.count("*").alias("k")).join(sizes, "batch")
+    near = Window.partitionBy("batch").orderBy(F.abs(F.col("k") / F.col("n") - 0.5), "col_id")
+    chosen = k.withColumn("place", F.row_number().over(near) - 1).where(F.col("place") < num_genes).select("batch", "col_id", "place")
+    present = staged(x.join(chosen, ["batch", "col_id"]).select("batch", "row_id", F.col("place").cast("long").alias("place"), "value"), "present")
+    by_cell = lambda t: t.groupBy("batch", "row_id").agg(F.collect_list("place").alias("places"))  # noqa: E731  at most num_genes each
+    lists = staged(by_cell(present), "lists")
+
+    def weigh(table: pa.Table) -> pa.Table:
+        both = np.zeros((num_genes, num_genes))
+        for g, s in zip(table.column("k").to_pylist(), table.column("s").to_pylist()):
+            both[g] = np.frombuffer(s)
+        return pa.table({"batch": [table.column("batch")[0].as_py()], "w": pa.array([pair_scores(both, table.column("n")[0].as_py()).tobytes()], pa.binary())})
+
+    counts = cells_with_both(lists, num_genes).join(sizes.select("batch", "n"), "batch")
+    weights = staged(counts.groupBy("batch").applyInArrow(weigh, "batch string, w binary"), "weights")
     cells = sc.passing(QC_column)
-    spark = sc.obs.sparkSession
-    n = cells.obs.count()
-    x = _counts(cells, allow_float).where("value > 0")
-    k = x.groupBy("col_id").agg(F.count("*").alias("k"))
-    genes = np.sort(np.array([r["col_id"] for r in k.orderBy(F.abs(F.col("k") / n - 0.5), "col_id").limit(num_genes).collect()], np.int64))
-    chosen = spark.createDataFrame([(int(c),) for c in genes], "col_id long")
-    present = x.join(F.broadcast(chosen), "col_id", "left_semi")  # at most num_genes numbers
-    by_cell = lambda t: t.groupBy("row_id").agg(F.collect_list("col_id").alias("c"))  # noqa: E731  at most num_genes each
-    weights = pair_scores(cells_with_both(by_cell(present), genes), n) if len(genes) else np.zeros((0, 0))
-
-    def scores(table: DataFrame) -> DataFrame:
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t in batches:
-                m = _presence(t, genes)
-                yield pa.RecordBatch.from_arrays([t.column(0), pa.array(((m @ weights) * m).sum(1) / 2)], names=["row_id", "score"])
-
-        return by_cell(table).mapInArrow(work, "row_id long, score double")
-
-    own = cells.obs.select("row_id").join(scores(present.select("row_id", "col_id")), "row_id", "left").fillna(0.0, "score")
+    batch = F.lit("") if batch_column is None else verbs.resolve(cells.obs, batch_column).cast("string")
+    every = cells.obs.select("row_id", batch.alias("batch")).where("batch is not null")
+    own = staged(every.join(_scores(lists, weights, parts, num_genes), "row_id", "left").fillna(0.0, "score"), "scores")
     if doublet_fraction is not None:
-        top = int(n * doublet_fraction)
-        called = own.orderBy(F.desc("score"), "row_id").limit(top).select("row_id").withColumn("_d", F.lit(True))
-        got = own.join(called, "row_id", "left").select("row_id", F.coalesce("_d", F.lit(False)).alias(doublet_column), F.col("score").alias(doublet_score_column))
+        ranked = verbs.numbered(own, [F.desc("score"), F.asc("row_id")], ["batch"], "_place").join(sizes.select("batch", "n"), "batch")
+        got = ranked.select("row_id", (F.col("_place") < F.floor(F.col("n") * doublet_fraction)).alias(doublet_column), F.col("score").alias(doublet_score_column))
     else:
         # pairs of cells: each with the one next to it in a seeded order; a gene of one of the two is kept for sure if
         # its count is over one, else by the toss of a seeded coin
-        rank = cells.obs.select("row_id").withColumn("_h", F.xxhash64("row_id", F.lit(seed)))
-        w = Window.partitionBy(F.pmod("_h", F.lit(max(1, n // 5000)))).orderBy("_h")
-        mates = rank.withColumn("_m", F.lead("row_id").over(w)).where("_m IS NOT NULL").select("row_id", "_m")
-        halves = mates.select("row_id", F.col("row_id").alias("_of")).union(mates.select("row_id", F.col("_m").alias("_of")))
-        merged = halves.join(present.withColumnRenamed("row_id", "_of"), "_of").groupBy("row_id", "col_id").agg(F.count("*").alias("c"), F.max("value").alias("v"))
-        coin = F.pmod(F.xxhash64("row_id", "col_id", F.lit(seed + 1)), F.lit(2)) == 0
-        simulated = mates.select("row_id").join(scores(merged.where((F.col("c") > 1) | (F.col("v") > 1) | coin).select("row_id", "col_id")), "row_id", "left").fillna(0.0, "score")
-        cut = simulated.agg(F.median("score")).first()[0]
-        got = own.select("row_id", (F.col("score") >= F.lit(float(cut) if cut is not None else float("inf"))).alias(doublet_column), F.col("score").alias(doublet_score_column))
+        rank = every.join(sizes, "batch").withColumn("_h", F.xxhash64("row_id", F.lit(seed)))
+        w = Window.partitionBy("batch", F.pmod("_h", F.greatest(F.lit(1), F.floor(F.col("n") / 5000)))).orderBy("_h")
+        mates = rank.withColumn("_m", F.lead("row_id").over(w)).where("_m IS NOT NULL").select("batch", "row_id", "_m")
+        halves = mates.select("batch", "row_id", F.col("row_id").alias("_of")).union(mates.select("batch", "row_id", F.col("_m").alias("_of")))
+        merged = halves.join(present.withColumnRenamed("row_id", "_of"), ["batch", "_of"]).groupBy("batch", "row_id", "place").agg(F.count("*").alias("c"), F.max("value").alias("v"))
+        coin = F.pmod(F.xxhash64("row_id", "place", F.lit(seed + 1)), F.lit(2)) == 0
+        simulated = mates.select("batch", "row_id").join(_scores(by_cell(merged.where((F.col("c") > 1) | (F.col("v") > 1) | coin)), weights, parts, num_genes), "row_id", "left").fillna(0.0, "score")
+        cut = simulated.groupBy("batch").agg(F.median("score").alias("_cut"))
+        got = own.join(cut, "batch", "left").select("row_id", F.coalesce(F.col("score") >= F.col("_cut"), F.lit(False)).alias(doublet_column), F.col("score").alias(doublet_score_column))
     return replace(sc, obs=sc.obs.drop(doublet_column, doublet_score_column).join(got, "row_id", "left"))
 
 

@@ -11,10 +11,11 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import verbs
+from .packed import Packed, indexed
 
 AXES = {"obs": ("row_id", "obsm", "obsp"), "var": ("col_id", "varm", "varp")}
 
@@ -115,6 +116,58 @@ class SingleCell:
         x = None if self.X is None else self.X.join(keys, key, "left_semi").select("row_id", "col_id", "value")
         return replace(self, **{"X": x, axis: table, m: {k: t.join(keys, key, "left_semi").select(*t.columns) for k, t in getattr(self, m).items()}, p: {k: ends(t) for k, t in getattr(self, p).items()}})
 
+    def __getitem__(self, item) -> SingleCell:
+        """sc[cells], sc[cells, genes]: places in the order of row_id and col_id (ints, negative ones from the end; slices;
+        lists of ints; lists of booleans of full length), names, lists of names, or conditions on obs and var. Ids stay,
+        and so does their order, so that a place that is named twice raises ValueError."""
+        parts = item if isinstance(item, tuple) else (item,)
+        if not 1 <= len(parts) <= 2:
+            raise IndexError("one or two indices")
+        out = self
+        for axis, part in zip(("obs", "var"), parts):
+            table, key, name = getattr(out, axis), AXES[axis][0], self.name_column(axis)
+            if isinstance(part, Column):
+                out = out._filter(axis, [part], {})
+            elif isinstance(part, str) or isinstance(part, (list, tuple)) and part and all(isinstance(x, str) for x in part):
+                wanted = [part] if isinstance(part, str) else list(part)
+                found = {r[0] for r in table.where(F.col(name).isin(wanted)).select(name).collect()}
+                if lacking := [x for x in wanted if x not in found]:
+                    raise KeyError(lacking[0])
+                out = out._filter(axis, [F.col(name).isin(wanted)], {})
+            elif (at := verbs.chosen(table, key, part)) is not None:
+                if not isinstance(part, slice) and len(set(got := verbs.places(part, table.count()))) != len(got):
+                    raise ValueError("a place is named twice")
+                out = out.restrict(axis, table.join(at.select(F.col("id").alias(key)), key, "left_semi").select(*table.columns))
+        return out
+
+    def X_at(self, item) -> DataFrame:
+        """X[rows, columns] as (row_id, col_id, value), numbered anew from 0 in the order asked for: ints, slices, lists of
+        ints with repeats, lists of booleans."""
+        return indexed(self.X, self.obs, self.var, item)
+
+    def packed(self, layout: str = "csr") -> Packed:
+        """X as packed rows of cells (csr) or of genes (csc)."""
+        return Packed.of(self.X, layout)
+
+    def with_packed(self, matrix: Packed) -> SingleCell:
+        return replace(self, X=matrix.to_long())
+
+    def eliminate_zeros(self) -> SingleCell:
+        """Without stored zeros; a filter does it, since X is long."""
+        return replace(self, X=self.X.where(F.col("value") != 0))
+
+    def sum_duplicates(self) -> SingleCell:
+        """Entries of one place are added up."""
+        kind = self.X.schema["value"].dataType
+        return replace(self, X=self.X.groupBy("row_id", "col_id").agg(F.sum("value").cast(kind).alias("value")))
+
+    def categorical_obs(self, column: str, levels: list | None = None) -> SingleCell:
+        """column with levels in order; the first is the reference of a design."""
+        return self._change("obs", lambda t: verbs.with_levels(t, column, levels))
+
+    def categorical_var(self, column: str, levels: list | None = None) -> SingleCell:
+        return self._change("var", lambda t: verbs.with_levels(t, column, levels))
+
     def passing(self, QC_column: str | None = "passed_QC") -> SingleCell:
         """Only cells that passed quality control, where that is flagged."""
         if QC_column and QC_column in self.obs.columns:

@@ -1,7 +1,7 @@
 """Principal components, batch integration, communities and two-dimensional maps.
 
-Components and integration are rounds of sums over tasks; what meets on the driver has the size of genes squared (a
-chosen few thousand) or of clusters times batches. Communities and maps are sequential by nature: they run on the
+Components and integration are rounds of sums over tasks; what meets on the driver has the size of genes times a few
+hundred vectors, or of clusters times batches. Communities and maps are sequential by nature: they run on the
 driver over the neighbour graph, and refuse more than MAX_CELLS cells."""
 
 from __future__ import annotations
@@ -16,10 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cells import SingleCell
-from .neighbors import kmeans, squared_distances
+from .lanczos import project, singular_vectors
+from .neighbors import kmeans, neighbor_pairs, squared_distances
+from .packed import flat_lists, lists
+from .staging import drop_staged, staged
 
 MAX_CELLS = 2_000_000
-MAX_GENES = 10_000
+#: Genes that vary less count as varying so much.
+MIN_SD = 1e-8
 #: Sums of a round of integration that go to the driver from each task; more are added up on the executors first.
 DIRECT_BYTES = 32 << 20
 
@@ -62,67 +66,47 @@ def _parted(sets: tuple[SingleCell, ...], joint: SingleCell, key: str, **more) -
     return tuple(replace(s, obsm=s.obsm | {key: own(k)}, uns=s.uns | more) for k, s in enumerate(sets))
 
 
-def pca(sc: SingleCell, *others: SingleCell, num_PCs: int = 50, hvg_column: str | None = "highly_variable", QC_column: str | None = "passed_QC", PC_key: str = "pca", overwrite: bool = False):
-    """Components of the genes scaled to unit variance and centred, from their Gram matrix: tasks sum it over their
-    cells (sparse), the driver takes its eigenvectors, and a pass projects. A component's largest loading is positive.
-    Several datasets get components of all their cells together, and are returned as a tuple."""
+def pca(sc: SingleCell, *others: SingleCell, num_PCs: int = 50, hvg_column: str | None = "highly_variable", QC_column: str | None = "passed_QC", PC_key: str = "pca", tolerance: float = 1e-6, max_passes: int = 500, seed: int = 0, overwrite: bool = False):
+    """Components of the genes scaled to unit variance and centred, by Lanczos bidiagonalisation over packed rows: each
+    pass multiplies by a block of vectors, and a last one projects. Standard deviations under MIN_SD count as that. A
+    component's largest loading is positive. Several datasets get components of all their cells together, and are
+    returned as a tuple."""
     if others:
         sets = (sc, *others)
         if any(PC_key in s.obsm for s in sets) and not overwrite:
             raise ValueError(f"{PC_key!r} is there already")
-        return _parted(sets, pca(_joint(sets, QC_column, hvg_column), num_PCs=num_PCs, hvg_column=None, QC_column=None, PC_key=PC_key), PC_key)
+        return _parted(sets, pca(_joint(sets, QC_column, hvg_column), num_PCs=num_PCs, hvg_column=None, QC_column=None, PC_key=PC_key, tolerance=tolerance, max_passes=max_passes, seed=seed), PC_key)
     if PC_key in sc.obsm and not overwrite:
         raise ValueError(f"{PC_key!r} is there already")
     cells = sc.passing(QC_column)
     genes = sc.var.where(F.col(hvg_column)) if hvg_column and hvg_column in sc.var.columns else sc.var
-    ids = [r[0] for r in genes.select("col_id").orderBy("col_id").limit(MAX_GENES + 1).collect()]
-    g = len(ids)
-    if g > MAX_GENES:
-        raise ValueError(f"at most {MAX_GENES} genes; choose variable ones first")
-    place = {c: k for k, c in enumerate(ids)}
     n = cells.obs.count()
-    rows = cells.X.join(genes.select("col_id"), "col_id", "left_semi").groupBy("row_id").agg(F.collect_list("col_id").alias("c"), F.collect_list(F.col("value").cast("double")).alias("v"))
+    rows, mean, sd = standardised(cells, genes, n)
+    scale = 1 / np.maximum(sd, MIN_SD)
+    v = singular_vectors(rows, mean, scale, n, min(num_PCs, len(mean)), tolerance=tolerance, max_passes=max_passes, seed=seed)[1]
+    v = v * np.sign(v[np.abs(v).argmax(0), np.arange(v.shape[1])]) if len(v) else v
+    known = project(rows, v, mean, scale)
+    empty = F.array(*(F.lit(float(-x)).cast("float") for x in (mean * scale) @ v)) if v.shape[1] else F.array().cast("array<float>")
+    return replace(sc, obsm=sc.obsm | {PC_key: cells.obs.select("row_id").join(known, "row_id", "left").withColumn("value", F.coalesce("value", empty))})
 
-    def dense(t: pa.RecordBatch) -> np.ndarray:
-        m = np.zeros((t.num_rows, g))
-        for k, (c, v) in enumerate(zip(t.column(1).to_pylist(), t.column(2).to_pylist())):
-            m[k, [place[x] for x in c]] = v
-        return m
 
-    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((g + 1, g))
-        for t in batches:
-            m = dense(t)
-            total[:g] += m.T @ m
-            total[g] += m.sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(g + 1)), pa.array([r.tobytes() for r in total], pa.binary())], names=["k", "s"])
-
-    def add(table: pa.Table) -> pa.Table:
-        s = np.sum([np.frombuffer(x) for x in table.column("s").to_pylist()], axis=0)
-        return pa.table({"k": [table.column("k")[0].as_py()], "s": pa.array([s.tobytes()], pa.binary())})
-
-    parts = rows.mapInArrow(gram, "k long, s binary").groupBy("k").applyInArrow(add, "k long, s binary").collect()
-    total = np.zeros((g + 1, g))
-    for r in parts:
-        total[r["k"]] = np.frombuffer(r["s"])
-    mean = total[g] / n
-    cov = (total[:g] - n * np.outer(mean, mean)) / max(n - 1, 1)
-    sd = np.sqrt(np.maximum(np.diag(cov), 0))
-    scale = np.where(sd > 1e-12, 1 / np.where(sd > 1e-12, sd, 1), 0)
-    values, vectors = np.linalg.eigh(cov * scale[:, None] * scale)
-    top = np.argsort(-values)[: min(num_PCs, g)]
-    v = vectors[:, top]
-    v = v * np.sign(v[np.abs(v).argmax(0), np.arange(v.shape[1])]) * scale[:, None]
-    shift = mean @ v
-
-    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def standardised(cells: SingleCell, genes: DataFrame, n: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Packed rows (major, indices, values) of the genes, written once, with genes as places in the order of col_id; and
+    the genes' means and standard deviations over n cells."""
+    x = cells.X.join(genes.select("col_id"), "col_id", "left_semi").select("row_id", "col_id", F.col("value").cast("double").alias("value"))
+    sums = x.groupBy("col_id").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
+    per = genes.select("col_id").join(sums, "col_id", "left").fillna(0.0, ["s", "q"]).orderBy("col_id").toPandas()
+    ids, mean = per.col_id.to_numpy(np.int64), per.s.to_numpy(float) / max(n, 1)
+    sd = np.sqrt(np.maximum(per.q.to_numpy(float) - n * mean**2, 0) / max(n - 1, 1))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            if t.num_rows:
-                yield pa.RecordBatch.from_arrays([t.column(0), pa.array(list((dense(t) @ v - shift).astype(np.float32)), pa.list_(pa.float32()))], names=["row_id", "value"])
+            at, off = flat_lists(t.column(1))
+            yield pa.RecordBatch.from_arrays([t.column(0), lists(np.searchsorted(ids, at), off), lists(flat_lists(t.column(2))[0], off)], names=["major", "indices", "values"])
 
-    known = rows.mapInArrow(project, "row_id long, value array<float>")
-    empty = F.array(*(F.lit(float(-x)).cast("float") for x in shift))
-    return replace(sc, obsm=sc.obsm | {PC_key: cells.obs.select("row_id").join(known, "row_id", "left").withColumn("value", F.coalesce("value", empty))})
+    packed = x.groupBy(F.col("row_id").alias("major")).agg(F.array_sort(F.collect_list(F.struct(F.col("col_id").alias("i"), F.col("value").alias("v")))).alias("e"))  # as many as there are genes at most
+    rows = packed.select("major", F.col("e.i").alias("indices"), F.col("e.v").alias("values")).mapInArrow(place, "major long, indices array<long>, values array<double>")
+    return staged(rows, "packed"), mean, sd
 
 
 def harmonize(sc: SingleCell, *others, batch_column: str | None = None, PC_key: str = "pca", Harmony_key: str = "harmony", num_clusters: int | None = None, theta: float = 2.0, tau: float = 0.0, sigma: float = 0.1, alpha: float = 0.2, max_iter: int = 10, max_cluster_iter: int = 20, tolerance: float = 1e-4, QC_column: str | None = "passed_QC", seed: int = 0, overwrite: bool = False):
@@ -151,7 +135,7 @@ def harmonize(sc: SingleCell, *others, batch_column: str | None = None, PC_key:
     names = [r[0] for r in cells.obs.select(batch_column).distinct().orderBy(batch_column).collect()]
     index = F.create_map(*(F.lit(x) for k, b in enumerate(names) for x in (b, k)))
     first = sc.obsm[PC_key].join(cells.obs.select("row_id", index[F.col(batch_column)].alias("b")), "row_id").select("row_id", "b", F.col("value").cast("array<double>").alias("value"))
-    cur = first.persist()
+    cur = staged(first, "components")
     n_b = np.zeros(len(names))
     for r in cur.groupBy("b").count().collect():
         n_b[r["b"]] = r["count"]
@@ -234,10 +218,8 @@ def harmonize(sc: SingleCell, *others, batch_column: str | None = None, PC_key:
                     z = z - np.einsum("nk,nkd->nd", soft(z, b, y, penalty), shifts[b])
                     yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(list(z), pa.list_(pa.float64()))], names=["row_id", "b", "value"])
 
-        nxt = cur.mapInArrow(correct, "row_id long, b int, value array<double>").persist()
-        nxt.count()
-        cur.unpersist()
-        cur = nxt
+        before, cur = cur, staged(cur.mapInArrow(correct, "row_id long, b int, value array<double>"), "corrected")
+        drop_staged(before)
         past.append(trail[-1])
         if len(past) > 1 and abs(past[-2] - past[-1]) < tolerance * abs(past[-2]):
             break
@@ -354,21 +336,26 @@ def cluster(sc: SingleCell, resolution: float | list[float] = 1.0, shared_neighb
     return replace(sc, obs=sc.obs.drop(*names).join(table, "row_id", "left"))
 
 
-def _graph(sc: SingleCell, PC_key: str, neighbors_key: str):
+def _graph(sc: SingleCell, PC_key: str, neighbors_key: str, distances_key: str | None = None, num_neighbors: int = 10):
+    """Ids, vectors and neighbours of the cells; with distances_key the num_neighbors by scaled distance."""
     ids, pcs = _vectors(sc.obsm[PC_key])
-    got = sc.obsm[neighbors_key].orderBy("row_id").toPandas()
+    lists = sc.obsm[neighbors_key]
+    if distances_key is not None:
+        pairs = neighbor_pairs(lists, sc.obsm[distances_key], num_neighbors)
+        lists = pairs.groupBy(F.col("i").alias("row_id")).agg(F.array_sort(F.collect_list(F.struct("rank", "j"))).alias("r")).select("row_id", F.col("r.j").alias("value"))
+    got = lists.orderBy("row_id").toPandas()
     keep = np.isin(ids, got.row_id)
     ids, pcs = ids[keep], pcs[keep]
     near = np.searchsorted(ids, np.stack(got.value.map(np.asarray)))
     return ids, pcs, near
 
 
-def pacmap(sc: SingleCell, PC_key: str = "pca", neighbors_key: str = "neighbors", embedding_key: str = "pacmap", num_mid_near: int = 5, num_further: int = 20, iterations: tuple[int, int, int] = (100, 100, 250), learning_rate: float = 1.0, local: bool = False, low_distance: float = 10.0, seed: int = 0, overwrite: bool = False) -> SingleCell:
+def pacmap(sc: SingleCell, PC_key: str = "pca", neighbors_key: str = "neighbors", distances_key: str = "distances", num_neighbors: int = 10, embedding_key: str = "pacmap", num_mid_near: int = 5, num_further: int = 20, iterations: tuple[int, int, int] = (100, 100, 250), learning_rate: float = 1.0, local: bool = False, low_distance: float = 10.0, seed: int = 0, overwrite: bool = False) -> SingleCell:
     """Pairs of near, middling and far cells pull and push two coordinates in three phases (Wang et al. 2021); local:
     near pairs count more the closer they are in the last phase, and far pairs are drawn anew among close ones."""
     if embedding_key in sc.obsm and not overwrite:
         raise ValueError(f"{embedding_key!r} is there already")
-    ids, pcs, near = _graph(sc, PC_key, neighbors_key)
+    ids, pcs, near = _graph(sc, PC_key, neighbors_key, distances_key, num_neighbors)
     n, rng = len(ids), np.random.default_rng(seed)
     six = rng.integers(0, n, (n, num_mid_near, 6))
     d = ((pcs[:, None, None, :] - pcs[six]) ** 2).sum(3) if n * num_mid_near * 6 * pcs.shape[1] < 5e7 else np.stack([((pcs[:, None, :] - pcs[six[:, m]]) ** 2).sum(2) for m in range(num_mid_near)], 1)

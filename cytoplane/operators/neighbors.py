@@ -19,9 +19,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cells import SingleCell
+from .staging import drop_staged, staged
 
 TILE = 20_000
 MAX_CENTROIDS = 65_536
+#: Rows and vectors that are compared at a time, terms of differences held at a time, least scale of a cell.
+ROWS, SIDE, DIFFERENCES, MIN_SCALE = 512, 4096, 4_000_000, 1e-10
 FOUND = "i long, j long, d double"
 
 
@@ -30,29 +33,54 @@ def _matrix(column) -> np.ndarray:
 
 
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differences first where they are few enough to hold, else the expanded square."""
-    if a.shape[0] * b.shape[0] * max(a.shape[1], 1) <= 20_000_000:
-        return ((a[:, None, :] - b[None, :, :]) ** 2).sum(2)
-    return np.maximum((a**2).sum(1)[:, None] - 2 * a @ b.T + (b**2).sum(1), 0)
+    """From differences, some rows of a at a time, so that no distance depends on how many are asked for at once."""
+    out = np.empty((len(a), len(b)))
+    step = max(1, DIFFERENCES // max(1, b.size))
+    for k in range(0, len(a), step):
+        out[k : k + step] = ((a[k : k + step, None, :] - b[None, :, :]) ** 2).sum(2)
+    return out
+
+
+def closest(a: np.ndarray, b: np.ndarray, n: int, ids: np.ndarray | None = None, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in b, squared distance) of the n nearest of b for each row of a, sorted by row, distance (to nine
+    places) and ids of b (by default places). Rows of a have the ids own, if given, and leave out b of the same id.
+
+    b is looked at SIDE rows at a time. Expanded squares tell which could be among the nearest, with room for all their
+    rounding; distances of these come from differences, so that near ties come out the same in any blocks."""
+    ids = np.arange(len(b)) if ids is None else ids
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    b2 = (b**2).sum(1)
+    for lo in range(0, len(a), ROWS):
+        part = a[lo : lo + ROWS]
+        a2 = (part**2).sum(1)
+        rows, places, far = [], [], []
+        for s in range(0, len(b), SIDE):
+            side = b[s : s + SIDE]
+            d = a2[:, None] - 2 * part @ side.T + b2[s : s + SIDE]
+            if own is not None:
+                d[own[lo : lo + ROWS, None] == ids[None, s : s + SIDE]] = np.inf
+            cut = np.partition(d, n - 1, axis=1)[:, n - 1] if n < d.shape[1] else np.full(len(part), np.inf)
+            slack = 4e-9 + 1e-12 * (a2 + b2[s : s + SIDE].max(initial=0.0))
+            i, j = np.nonzero((d <= (cut + slack)[:, None]) & np.isfinite(d))
+            rows.append(i)
+            places.append(j + s)
+            far.append(((part[i] - side[j]) ** 2).sum(1))
+        i, j, d = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, places, far))
+        d = np.round(d, 9)
+        order = np.lexsort((ids[j], d, i))
+        i, j, d = i[order], j[order], d[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        out.append((i[rank < n] + lo, j[rank < n], d[rank < n]))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
 def _nearest(k: int, same: bool):
     def work(queries: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(queries) and len(base):
-            ids, b = base["id"].to_numpy(), _matrix(base["v"])
-            for s in range(0, len(queries), 256):
-                part = queries.iloc[s : s + 256]
-                d = squared_distances(_matrix(part["v"]), b)
-                qid = part["id"].to_numpy()
-                if same:
-                    d[qid[:, None] == ids[None, :]] = np.inf
-                d = np.round(d, 9)
-                order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(part)), order.shape[1])
-                out.append(pd.DataFrame({"i": qid[rows], "j": ids[order.ravel()], "d": d[rows, order.ravel()]}))
-        got = pd.concat(out) if out else pd.DataFrame({"i": [], "j": [], "d": []})
-        return got[np.isfinite(got["d"].astype(float))]
+        if not len(queries) or not len(base):
+            return pd.DataFrame({"i": [], "j": [], "d": []})
+        ids, qid = base["id"].to_numpy(), queries["id"].to_numpy()
+        i, j, d = closest(_matrix(queries["v"]), _matrix(base["v"]), k, ids, qid if same else None)
+        return pd.DataFrame({"i": qid[i], "j": ids[j], "d": d})
 
     return work
 
@@ -75,9 +103,9 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, centroids: np.ndarray |
     ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     if centroids is None:
         return ranked
-    ranked = ranked.persist()
+    ranked = staged(ranked, "nearest")
     full = ranked.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("i").alias("row_id"))
-    short = queries.join(full, "row_id", "left_anti").persist()
+    short = staged(queries.join(full, "row_id", "left_anti"), "short")
     if short.isEmpty():
         return ranked
     again = nearest(short, base, k, same=same)
@@ -94,11 +122,8 @@ def assign(vectors: DataFrame, centroids: np.ndarray, n: int) -> DataFrame:
         for t in batches:
             if not t.num_rows:
                 continue
-            d = squared_distances(_matrix(t.column(1).to_pylist()), c)
-            m = min(n, len(c))
-            top = np.argsort(d, axis=1, kind="stable")[:, :m]
-            rows = np.repeat(np.arange(t.num_rows), m)
-            yield pa.RecordBatch.from_arrays([t.column(0).take(pa.array(rows)), t.column(1).take(pa.array(rows)), pa.array(top.ravel().astype(np.int32))], names=["id", "v", "cell"])
+            rows, cell, _ = closest(_matrix(t.column(1).to_pylist()), c, min(n, len(c)))
+            yield pa.RecordBatch.from_arrays([t.column(0).take(pa.array(rows)), t.column(1).take(pa.array(rows)), pa.array(cell.astype(np.int32))], names=["id", "v", "cell"])
 
     return vectors.select("id", "v").mapInArrow(work, "id long, v array<" + vectors.schema["v"].dataType.elementType.simpleString() + ">, cell int")
 
@@ -106,24 +131,10 @@ def assign(vectors: DataFrame, centroids: np.ndarray, n: int) -> DataFrame:
 def kmeans(vectors: DataFrame, num_clusters: int, max_iter: int = 20, tolerance: float = 1e-3, init: str = "random", seed: int = 0) -> tuple[np.ndarray, DataFrame]:
     """Centroids and (row_id, cell). Each round sums vectors by cell inside the tasks; only sums of cells meet on the
     driver. Stops when the total distance falls by less than tolerance, from the second round on. init: random distinct
-    rows by a seeded hash, or `k-means||` (rows drawn in proportion to their distance, then reduced)."""
+    rows by a seeded hash, or `k-means||`. Tasks compare a few thousand centroids at a time."""
     v = vectors.select(F.col("row_id").alias("id"), F.col("value").alias("v"))
     order = F.xxhash64("id", F.lit(seed))
-    start = _matrix([r["v"] for r in v.orderBy(order, "id").limit(num_clusters if init == "random" else 1).collect()])
-    if init != "random":
-        drawn = start
-        for step in range(5):
-            cost = _round(v, drawn)[2]
-            c = drawn
-            chance = F.pmod(F.xxhash64("id", F.lit(seed + 1 + step)), F.lit(1 << 30)) / float(1 << 30)
-            d = assign_distance(v, c)
-            more = d.where(chance < F.least(F.lit(1.0), F.col("d") * (2 * num_clusters / max(cost, 1e-300)))).select("v").collect()  # 2 * num_clusters are expected
-            drawn = np.vstack([drawn, _matrix([r["v"] for r in more])]) if more else drawn
-        rng = np.random.default_rng(seed)
-        start = drawn[:1]
-        while len(start) < min(num_clusters, len(drawn)):
-            d = squared_distances(drawn, start).min(1)
-            start = np.vstack([start, drawn[rng.choice(len(drawn), p=d / d.sum()) if d.sum() > 0 else len(start)]])
+    start = _matrix([r["v"] for r in v.orderBy(order, "id").limit(num_clusters).collect()]) if init == "random" else parallel_start(v, num_clusters, seed)
     c, last = start, None
     for k in range(max_iter):
         sums, sizes, cost = _round(v, c)
@@ -138,28 +149,80 @@ def kmeans(vectors: DataFrame, num_clusters: int, max_iter: int = 20, tolerance:
     return c, assign(v, c, 1).select(F.col("id").alias("row_id"), "cell")
 
 
-def assign_distance(v: DataFrame, c: np.ndarray) -> DataFrame:
+def parallel_start(v: DataFrame, num_clusters: int, seed: int = 0, rounds: int = 5) -> np.ndarray:
+    """`k-means||` (Bahmani et al. 2012): in each round rows are drawn with a chance in proportion to their distance from
+    those drawn so far, 2 num_clusters of them in the mean; each stands for the rows that it is nearest to, and these
+    weights steer the choice among the drawn ones. Each row's distance is kept in a table from round to round, so that
+    a round compares it with the newly drawn rows only."""
+    order = F.xxhash64("id", F.lit(seed))
+    new = _matrix([r["v"] for r in v.orderBy(order, "id").limit(1).collect()])
+    drawn, cur = new, v.withColumn("d", F.lit(float("inf")))
+    for step in range(rounds if len(new) else 0):
+        nearer = assign_distance(cur, new, least="d")
+        before, cur = cur, staged(nearer, "distances")
+        if step:
+            drop_staged(before)
+        cost = cur.agg(F.sum("d")).first()[0]
+        if not cost:
+            break
+        chance = F.pmod(F.xxhash64("id", F.lit(seed + 1 + step)), F.lit(1 << 30)) / float(1 << 30)
+        more = cur.where(chance < F.least(F.lit(1.0), F.col("d") * (2 * num_clusters / cost))).orderBy("id").select("v").collect()
+        new = _matrix([r["v"] for r in more])
+        if len(new):
+            drawn = np.vstack([drawn, new])
+        else:
+            new = drawn[-1:]
+    weight = _round(v, drawn)[1]
+    return weighted_centroids(drawn, weight, min(num_clusters, len(drawn)), seed)
+
+
+def weighted_centroids(points: np.ndarray, weight: np.ndarray, k: int, seed: int = 0, rounds: int = 30) -> np.ndarray:
+    """k centroids of weighted points: k-means++ and Lloyd's rounds, in numpy."""
+    rng = np.random.default_rng(seed)
+    points, weight = points[weight > 0], weight[weight > 0]
+    c = points[[rng.choice(len(points), p=weight / weight.sum())]] if len(points) else points
+    near = squared_distances(points, c).min(1) if len(points) else weight
+    while len(c) < min(k, len(points)):
+        chance = near * weight
+        pick = rng.choice(len(points), p=chance / chance.sum()) if chance.sum() > 0 else len(c)
+        c = np.vstack([c, points[pick]])
+        near = np.minimum(near, squared_distances(points, c[-1:])[:, 0])
+    for _ in range(rounds if len(points) else 0):
+        _, cell, _ = closest(points, c, 1)
+        sizes = np.bincount(cell, weight, len(c))
+        sums = np.stack([np.bincount(cell, weight * x, len(c)) for x in points.T], 1)
+        moved = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1e-300)[:, None], c)
+        if np.allclose(moved, c, rtol=1e-9, atol=0):
+            break
+        c = moved
+    return c
+
+
+def assign_distance(v: DataFrame, c: np.ndarray, least: str | None = None) -> DataFrame:
+    """(id, v, d): the squared distance to the nearest of c, or what the column `least` has if that is less."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             if t.num_rows:
-                yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(squared_distances(_matrix(t.column(1).to_pylist()), c).min(1))], names=["id", "v", "d"])
+                d = closest(_matrix(t.column(1).to_pylist()), c, 1)[2]
+                yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(np.minimum(d, np.asarray(t.column(2))) if least else d)], names=["id", "v", "d"])
 
-    return v.select("id", "v").mapInArrow(work, "id long, v array<" + v.schema["v"].dataType.elementType.simpleString() + ">, d double")
+    return v.select("id", "v", *([least] if least else [])).mapInArrow(work, "id long, v array<" + v.schema["v"].dataType.elementType.simpleString() + ">, d double")
 
 
 def _round(v: DataFrame, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Sums and numbers of vectors by nearest centroid, and the sum of distances. Tasks send a row for each batch and cell
+    that has vectors there; these are added up in the tasks before they are shuffled."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, sizes, cost = np.zeros(c.shape), np.zeros(len(c)), 0.0
         for t in batches:
             if t.num_rows:
                 m = _matrix(t.column(0).to_pylist())
-                d = squared_distances(m, c)
-                cell = d.argmin(1)
-                cost += float(d.min(1).sum())
-                np.add.at(sums, cell, m)
-                sizes += np.bincount(cell, minlength=len(c))
-        full = np.flatnonzero(sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(sizes[full]), pa.array(list(sums[full]), pa.list_(pa.float64())), pa.array(np.where(np.arange(len(full)) == 0, cost, 0.0))], names=["cell", "n", "s", "cost"])
+                _, cell, d = closest(m, c, 1)
+                order = np.argsort(cell, kind="stable")
+                first = np.flatnonzero(np.concatenate([[True], np.diff(cell[order]) > 0]))
+                n = np.diff(np.append(first, len(order)))
+                yield pa.RecordBatch.from_arrays([pa.array(cell[order[first]]), pa.array(n.astype(float)), pa.array(list(np.add.reduceat(m[order], first, axis=0)), pa.list_(pa.float64())), pa.array(np.add.reduceat(d[order], first))], names=["cell", "n", "s", "cost"])
 
     parts = v.select("v").mapInArrow(work, "cell long, n double, s array<double>, cost double").groupBy("cell").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.col("s")[i]) for i in range(c.shape[1]))).alias("s"), F.sum("cost").alias("cost")).collect()
     sums, sizes = np.zeros(c.shape), np.zeros(len(c))
@@ -185,15 +248,45 @@ def neighbors(sc: SingleCell, num_neighbors: int = 20, PC_key: str = "pca", num_
 
 def shared(lists: DataFrame, min_shared: int = 1) -> DataFrame:
     """(i, j, weight): Jaccard index of the neighbourhoods (each with its own cell) of cells that share min_shared
-    members. lists: (row_id, value). A cell in very many neighbourhoods pairs them all: its pairs are counted inside the
-    join's tasks and combined before they are shuffled."""
-    members = lists.select(F.col("row_id").alias("i"), F.size("value").alias("n"), F.explode(F.array_union(F.array("row_id"), "value")).alias("m"))
-    x, y = members.alias("x"), members.alias("y")
-    both = x.join(y, (F.col("x.m") == F.col("y.m")) & (F.col("x.i") < F.col("y.i"))).groupBy(F.col("x.i").alias("i"), F.col("y.i").alias("j")).agg(F.count("*").alias("s"), F.first("x.n").alias("a"), F.first("y.n").alias("b"))
-    one = both.where(F.col("s") >= min_shared).select("i", "j", (F.col("s") / (F.col("a") + F.col("b") + 2 - F.col("s"))).cast("float").alias("weight"))
+    members. lists: (row_id, value).
+
+    Members have one global order, by the number of neighbourhoods they are in. Two neighbourhoods with min_shared members
+    in common have one in common that is none of the min_shared - 1 most frequent of either, so that only the others are
+    joined: a hub that is in most neighbourhoods makes no pairs. Pairs that meet are decided by their whole lists."""
+    own = lists.select(F.col("row_id").alias("i"), F.array_union(F.array("row_id"), "value").alias("l"))
+    members = own.select("i", F.explode("l").alias("m"))
+    often = members.groupBy("m").agg(F.count("*").alias("often"))
+    w = Window.partitionBy("i").orderBy(F.desc("often"), F.desc("m"))
+    rare = members.join(often, "m").withColumn("_k", F.row_number().over(w)).where(F.col("_k") >= min_shared).select("i", "m")
+    x, y = rare.alias("x"), rare.alias("y")
+    met = x.join(y, (F.col("x.m") == F.col("y.m")) & (F.col("x.i") < F.col("y.i"))).select(F.col("x.i").alias("i"), F.col("y.i").alias("j")).distinct()
+    both = met.join(own.withColumnRenamed("l", "a"), "i").join(own.select(F.col("i").alias("j"), F.col("l").alias("b")), "j")
+    s = F.size(F.array_intersect("a", "b"))
+    one = both.select("i", "j", s.alias("s"), (F.size("a") + F.size("b")).alias("all")).where(F.col("s") >= min_shared).select("i", "j", (F.col("s") / (F.col("all") - F.col("s"))).cast("float").alias("weight"))
     return one.union(one.select("j", "i", "weight"))
 
 
+def neighbor_pairs(lists: DataFrame, distances: DataFrame, num_neighbors: int = 10) -> DataFrame:
+    """(i, j, rank, scaled): of each cell's neighbours the num_neighbors nearest by squared distance over the product of
+    both cells' scales. A cell's scale is the mean distance to its fourth to sixth neighbour, at least MIN_SCALE. Ties go
+    by j. lists and distances: (row_id, value), nearest first, distances squared.
+
+    Lists with fewer than six or num_neighbors entries, a cell among its own neighbours, and a neighbour that has no list
+    raise ValueError."""
+    both = lists.select(F.col("row_id").alias("i"), F.col("value").alias("l")).join(distances.select(F.col("row_id").alias("i"), F.col("value").cast("array<double>").alias("d")), "i")
+    if not both.where((F.size("l") < max(6, num_neighbors)) | (F.size("l") != F.size("d"))).limit(1).isEmpty():
+        raise ValueError(f"each cell needs {max(6, num_neighbors)} neighbours and their distances")
+    scale = F.greatest((F.sqrt(F.col("d")[3]) + F.sqrt(F.col("d")[4]) + F.sqrt(F.col("d")[5])) / 3, F.lit(MIN_SCALE))
+    own = both.select(F.col("i").alias("j"), scale.alias("sj"))
+    each = both.select("i", scale.alias("si"), F.explode(F.arrays_zip("l", "d")).alias("e")).select("i", "si", F.col("e.l").alias("j"), F.col("e.d").alias("d"))
+    each = each.join(own, "j", "left")
+    if not each.where("i = j or sj is null").limit(1).isEmpty():
+        raise ValueError("a cell is its own neighbour, or a neighbour has no list")
+    w = Window.partitionBy("i").orderBy(F.col("d") / F.col("sj"), "j")
+    ranked = each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= num_neighbors)
+    return ranked.select("i", "j", "rank", (F.col("d") / (F.col("si") * F.col("sj"))).alias("scaled"))
+
+
 def shared_neighbors(sc: SingleCell, neighbors_key: str = "neighbors", shared_neighbors_key: str = "shared_neighbors", min_shared_neighbors: int = 3) -> SingleCell:
     return replace(sc, obsp=sc.obsp | {shared_neighbors_key: shared(sc.obsm[neighbors_key], min_shared_neighbors)})
 

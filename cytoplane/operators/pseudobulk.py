@@ -95,26 +95,73 @@ class Pseudobulk:
         return "Pseudobulk with\n" + "\n".join(f"    {k}: {s:,} samples, {g:,} genes" for k, (s, g) in self.shape.items())
 
     def __getitem__(self, item) -> Pseudobulk:
-        """pb[types], pb[types, samples], pb[types, samples, genes]: names, lists of names, conditions on obs or var (for
-        samples and genes), or full slices."""
+        """pb[types], pb[types, samples], pb[types, samples, genes]. types: a name, a list of names, or the full slice.
+        samples and genes, for each type by itself: places in the order of the names (ints, negative ones from the end;
+        slices; lists of ints; lists of booleans as long as each type has rows), names, lists of names, slices of names
+        (the end is left out), or conditions on obs or var. A place that is named twice raises ValueError."""
         parts = item if isinstance(item, tuple) else (item,)
+        if not 1 <= len(parts) <= 3:
+            raise IndexError("from one to three indices")
         out = self
-        for part, col in zip(parts, ("cell_type", "sample", "gene")):
-            if isinstance(part, slice):
-                if part != slice(None):
-                    raise ValueError("only full slices: tables have no order")
-                continue
+        if isinstance(parts[0], slice):
+            if parts[0] != slice(None):
+                raise ValueError("cell types have no order: only the full slice")
+        elif isinstance(parts[0], Column):
+            out = out._types(parts[0])
+        else:
+            wanted = [parts[0]] if isinstance(parts[0], str) else list(parts[0])
+            if lacking := [t for t in wanted if t not in (have := out.keys())]:
+                raise KeyError(f"{lacking[0]!r} is none of {have}")
+            out = out._types(F.col("cell_type").isin(wanted))
+        for part, axis in zip(parts[1:], ("obs", "var")):
             if isinstance(part, Column):
-                out = out.filter_var(part) if col == "gene" else out.filter_obs(part)
-                continue
-            wanted = [part] if isinstance(part, str) else list(part)
-            table = out.var if col == "gene" else out.obs
-            found = {r[0] for r in table.where(F.col(col).isin(wanted)).select(col).distinct().collect()}
-            if lacking := [w for w in wanted if w not in found]:
-                raise KeyError(lacking)
-            out = replace(out, **{s: getattr(out, s).where(F.col(col).isin(wanted)) for s in ("X", "obs", "var") if col in getattr(out, s).columns})
+                out = out._filter(axis, [part], {}, None, None)
+            elif not isinstance(part, slice) or part != slice(None):
+                out = out._at(axis, part)
         return out
 
+    def _at(self, axis: str, part) -> Pseudobulk:
+        """The rows of one axis that part names in each type."""
+        table, (_, name) = getattr(self, axis), KEYS[axis]
+        labels = [part] if isinstance(part, str) else [x for x in (part.start, part.stop) if isinstance(x, str)] if isinstance(part, slice) else [x for x in part if isinstance(x, str)] if not isinstance(part, (int, np.integer)) else []
+        whole = isinstance(part, str) or not isinstance(part, (slice, int, np.integer)) and len(labels) == len(part) > 0
+        if whole:
+            kept = table.where(F.col(name).isin(labels))
+            found: dict[str, set] = {}
+            for r in kept.select("cell_type", name).collect():
+                found.setdefault(r[0], set()).add(r[1])
+            for t in self.keys():
+                if lacking := [x for x in labels if x not in found.get(t, ())]:
+                    raise KeyError(f"{t!r} has no {name} {lacking[0]!r}")
+        else:
+            sizes = {r[0]: r[1] for r in table.groupBy("cell_type").count().collect()}
+            at = verbs.numbered(table.select("cell_type", name), [F.asc(name)], ["cell_type"], "_at")
+            if isinstance(part, slice):
+                ends = {(r[0], r[1]): r[2] for r in at.where(F.col(name).isin(labels)).collect()} if labels else {}
+                rows = []
+                for t, n in sizes.items():
+                    if lacking := [x for x in labels if (t, x) not in ends]:
+                        raise KeyError(f"{t!r} has no {name} {lacking[0]!r}")
+                    asked = verbs.span(slice(*(ends[t, x] if isinstance(x, str) else x for x in (part.start, part.stop)), part.step), n)
+                    rows.append((t, min(asked, default=0), max(asked, default=-1), asked.start, abs(asked.step)))
+                spans = self.obs.sparkSession.createDataFrame(rows, "cell_type string, _lo long, _hi long, _from long, _step long")
+                inside = F.col("_at").between(F.col("_lo"), F.col("_hi")) & (F.pmod(F.col("_at") - F.col("_from"), F.col("_step")) == 0)
+                kept = at.join(spans, "cell_type").where(inside)
+            else:
+                asked = [(t, p) for t, n in sizes.items() for p in verbs.places(part, n)]
+                if len(set(asked)) != len(asked):
+                    raise ValueError("a place is named twice")
+                kept = at.join(self.obs.sparkSession.createDataFrame(asked, "cell_type string, _at long"), ["cell_type", "_at"])
+        kept = kept.select(*KEYS[axis])
+        return replace(self, **{axis: table.join(kept, KEYS[axis], "left_semi").select(*table.columns), "X": self.X.join(kept, KEYS[axis], "left_semi").select("cell_type", "sample", "gene", "value")})
+
+    def categorical_obs(self, column: str, levels: list | None = None) -> Pseudobulk:
+        """column of obs with levels in order; the first is the reference of a design."""
+        return replace(self, obs=verbs.with_levels(self.obs, column, levels))
+
+    def categorical_var(self, column: str, levels: list | None = None) -> Pseudobulk:
+        return replace(self, var=verbs.with_levels(self.var, column, levels))
+
     def sample(self, cell_type: str, sample: str) -> DataFrame:
         """(gene, value) of one sample, zeros filled in."""
         got = self.X.where((F.col("cell_type") == cell_type) & (F.col("sample") == sample)).select("gene", "value")
@@ -338,10 +385,14 @@ class Pseudobulk:
 
     def library_size(self, library_size_column: str = "library_size", logratio_trim: float = 0.3, sum_trim: float = 0.05, A_cutoff: float = -1e10, allow_float: bool = False, overwrite: bool = False) -> Pseudobulk:
         """Trimmed means of M values: sizes that a sample's genes would have without the few that differ most. Samples
-        without any count raise ValueError, since no size of theirs would mean anything."""
+        and genes without any count raise ValueError: sizes of such samples mean nothing, and such genes are left out
+        first, by qc()."""
         self._whole(allow_float)
         if library_size_column in self.obs.columns and not overwrite:
             raise ValueError(f"{library_size_column!r} is there already")
+        seen = self.X.where("value > 0").select("cell_type", "gene").distinct()
+        if bare := self.var.select("cell_type", "gene").join(seen, ["cell_type", "gene"], "left_anti").limit(3).collect():
+            raise ValueError(f"genes without counts, e.g. {[tuple(r) for r in bare]}; leave them out by qc()")
         counted = self.X.where("value > 0").select("cell_type", "sample").distinct()
         if bare := self.obs.select("cell_type", "sample").join(counted, ["cell_type", "sample"], "left_anti").limit(3).collect():
             raise ValueError(f"samples without counts, e.g. {[tuple(r) for r in bare]}; leave them out by qc()")
@@ -370,16 +421,20 @@ class Pseudobulk:
         flat = self.dense().join(self.obs.select("cell_type", "sample", *have), ["cell_type", "sample"])
         return flat.groupBy("cell_type").applyInPandas(work, schema)
 
+    def _levels(self, names: list[str]) -> dict[str, list]:
+        return {c: found for c in names if c in self.obs.columns and (found := verbs.levels(self.obs, c)) is not None}
+
     def regress_out(self, formula: str | dict[str, str], categorical_columns=(), ordinal_columns=(), error_if_int: bool = True) -> Pseudobulk:
         """What a linear model leaves of each gene; a dict has a formula for each type."""
         if error_if_int and self.X.schema["value"].dataType.typeName() not in ("float", "double"):
             raise TypeError("X has whole counts; error_if_int=False takes them")
         names = _all_variables(formula)
+        levels = self._levels(names)
 
         def work(table: pd.DataFrame) -> pd.DataFrame:
             mine = _of_type(formula, table.cell_type.iloc[0])
             y, obs = _matrix(table, variables(mine))
-            left = lm.residuals(y.to_numpy(float), design_matrix(mine, obs, tuple(categorical_columns), tuple(ordinal_columns)).to_numpy())
+            left = lm.residuals(y.to_numpy(float), design_matrix(mine, obs, tuple(categorical_columns), tuple(ordinal_columns), levels).to_numpy())
             out = pd.DataFrame(left, y.index, y.columns).stack().rename("value").reset_index()
             return out.assign(cell_type=table.cell_type.iloc[0])[["cell_type", "sample", "gene", "value"]]
 
@@ -391,13 +446,14 @@ class Pseudobulk:
         categorical columns; group=False for none) have a mean-variance trend each. Formula, coefficient, contrasts and
         group may be dicts by cell type. A type that can't be fitted, or has no entry, is left out, or raises with
         strict."""
-        cat, ordn = tuple(categorical_columns), tuple(ordinal_columns)
+        levels = self._levels(_all_variables(formula))
+        cat, ordn = (*categorical_columns, *(c for c in levels if c not in ordinal_columns and c not in categorical_columns)), tuple(ordinal_columns)
 
         def asked(table: pd.DataFrame) -> tuple:
             t = table.cell_type.iloc[0]
             mine = _of_type(formula, t)
             own = contrasts if contrasts is None or not any(isinstance(x, dict) for x in contrasts.values()) else contrasts.get(t)
-            return mine, variables(mine), _of_type(coefficient, t), own, _of_type(group, t), cat, ordn, library_size_column
+            return mine, variables(mine), _of_type(coefficient, t), own, _of_type(group, t), cat, ordn, library_size_column, levels
 
         def work(table: pd.DataFrame) -> pd.DataFrame:
             try:
@@ -412,7 +468,7 @@ class Pseudobulk:
             try:
                 return voom_points(table, *asked(table))
             except ValueError:
-                return voom_points(table.iloc[:0], "~ 1", [], None, None, None, cat, ordn, library_size_column)
+                return voom_points(table.iloc[:0], "~ 1", [], None, None, None, cat, ordn, library_size_column, levels)
 
         groups = group.values() if isinstance(group, dict) else [group]
         cols = [*_all_variables(formula), library_size_column, *(g for g in groups if isinstance(g, str))]
@@ -445,9 +501,9 @@ def _matrix(table: pd.DataFrame, names: list[str]) -> tuple[pd.DataFrame, pd.Dat
     return y, table.drop_duplicates("sample").set_index("sample").loc[y.index, [n for n in dict.fromkeys(names) if n in table.columns]]
 
 
-def _weighted(table, formula, names, coefficient, contrasts, group, cat, ordn, size_column):
+def _weighted(table, formula, names, coefficient, contrasts, group, cat, ordn, size_column, levels):
     y, obs = _matrix(table, [*names, size_column, *([group] if isinstance(group, str) else [])])
-    design = design_matrix(formula, obs, cat, ordn)
+    design = design_matrix(formula, obs, cat, ordn, levels)
     if np.linalg.matrix_rank(design.to_numpy()) < design.shape[1]:
         raise ValueError("the design is rank-deficient")
     tested = [coefficient] if isinstance(coefficient, str) else list(coefficient or [])
@@ -474,8 +530,8 @@ def _weighted(table, formula, names, coefficient, contrasts, group, cat, ordn, s
     return y, design, tested, e, w, points
 
 
-def test(table, formula, names, coefficient, contrasts, group, cat, ordn, size_column, robust) -> pd.DataFrame:
-    y, design, tested, e, w, _ = _weighted(table, formula, names, coefficient, contrasts, group, cat, ordn, size_column)
+def test(table, formula, names, coefficient, contrasts, group, cat, ordn, size_column, levels, robust) -> pd.DataFrame:
+    y, design, tested, e, w, _ = _weighted(table, formula, names, coefficient, contrasts, group, cat, ordn, size_column, levels)
     model = lm.fit(e, w, design.to_numpy())
     labels = list(design.columns)
     if contrasts:
@@ -489,10 +545,10 @@ def test(table, formula, names, coefficient, contrasts, group, cat, ordn, size_c
     return pd.concat(out)
 
 
-def voom_points(table, formula, names, coefficient, contrasts, group, cat, ordn, size_column) -> pd.DataFrame:
+def voom_points(table, formula, names, coefficient, contrasts, group, cat, ordn, size_column, levels) -> pd.DataFrame:
     cols = ["cell_type", "panel", "xy_x", "xy_y", "line_x", "line_y"]
     try:
-        points = _weighted(table, formula, names, coefficient, contrasts, group, cat, ordn, size_column)[-1]
+        points = _weighted(table, formula, names, coefficient, contrasts, group, cat, ordn, size_column, levels)[-1]
     except (ValueError, np.linalg.LinAlgError):
         return pd.DataFrame({c: pd.Series([], dtype=object if c in cols[:2] else float) for c in cols})
     return pd.concat([p.assign(panel=str(g)) for g, p in points.items()]).assign(cell_type=table.cell_type.iloc[0])[cols]
@@ -592,7 +648,9 @@ def pseudobulk(sc: SingleCell, sample: str, cell_type: str, QC_column: str | Non
     """Counts summed by sample and type; all genes stay for each type."""
     x, obs = sum_by(sc, sample, cell_type, QC_column, allow_float)
     name = sc.name_column("var")
-    var = obs.select("cell_type").distinct().join(sc.var.drop("col_id").withColumnRenamed(name, "gene"), how="cross")
+    kinds = [r[0] for r in obs.select("cell_type").distinct().collect()]  # types are few
+    var = sc.var.drop("col_id").withColumnRenamed(name, "gene")
+    var = var.select(F.explode(F.array(*map(F.lit, kinds)).cast("array<string>")).alias("cell_type"), *var.columns)
     return Pseudobulk(x, obs, var)
 
 

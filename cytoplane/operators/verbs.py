@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import staged
+
 Spec = "str | Column | Callable[[DataFrame], Column]"
 
 
@@ -85,6 +89,11 @@ def left_join(left: DataFrame, right: DataFrame, on=None, left_on=None, right_on
     return joined.select(*left.columns, *(F.col(f"_r_{c}").alias(c + suffix if c in left.columns else c) for c in kept))
 
 
+def ceiling(fraction: float, total: int) -> int:
+    """Rows whose rank, from 0, is below fraction * total."""
+    return math.ceil(fraction * total)
+
+
 def subsample(df: DataFrame, key: list[str], n: int | None, fraction: float | None, by, seed: int) -> DataFrame:
     """key columns of a sample: rows in order of a seeded hash. With `by`, each group gives its share, corrected by one
     from the smallest groups up (or the largest down) until the total is right; null groups give none."""
@@ -95,7 +104,7 @@ def subsample(df: DataFrame, key: list[str], n: int | None, fraction: float | No
     order = F.xxhash64(*key, F.lit(seed))
     if by is None:
         total = df.count()
-        want = n if n is not None else int(total * fraction + 0.5)
+        want = n if n is not None else ceiling(fraction, total)
         if want > total:
             raise ValueError(f"only {total} rows")
         return df.orderBy(order, *key).limit(want).select(*key)
@@ -104,7 +113,7 @@ def subsample(df: DataFrame, key: list[str], n: int | None, fraction: float | No
     total = sum(sizes.values())
     if n is not None and n > total:
         raise ValueError(f"only {total} rows")
-    share = {g: int((n / total if n is not None else fraction) * k + 0.5) for g, k in sizes.items()}
+    share = {g: int(n / total * k + 0.5) if n is not None else ceiling(fraction, k) for g, k in sizes.items()}
     short = (n - sum(share.values())) if n is not None else 0
     for g in sorted(sizes, key=lambda g: (sizes[g], str(g)), reverse=short < 0):
         if not short:
@@ -131,7 +140,7 @@ def stacked(tables: list[DataFrame], flexible: bool, what: str) -> DataFrame:
         tables = [t.select(*common) for t in tables]
     elif any([(f.name, f.dataType) for f in t.schema] != [(f.name, f.dataType) for f in tables[0].schema] for t in tables):
         raise ValueError(f"the {what} of the datasets differ; flexible=True keeps what they share")
-    return reduce(lambda a, b: a.unionByName(b), tables)
+    return reduce(lambda a, b: with_united_levels(a.unionByName(b), a, b), tables)
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
@@ -146,3 +155,112 @@ def constant_columns(df: DataFrame, group: list[str], columns: list[str]) -> lis
     per = df.groupBy(*group).agg(*(one(c).alias(c) for c in columns))
     every = per.agg(*(F.bool_and(c).alias(c) for c in columns)).first()
     return [c for c in columns if every[c] is None or every[c]]
+
+
+# -- positions --------------------------------------------------------------------------------------------------------
+
+
+def numbered(df: DataFrame, order: list, by: list[str] = (), name: str = "position") -> DataFrame:
+    """df with each row's place, from 0, in the order of the columns or expressions `order`, within the groups `by`. Order
+    and groups must tell all rows apart.
+
+    Rows are sorted in ranges; a row's place in its range and the number of rows before the range add up to its place, so
+    that no window has all rows in one partition. The sorted rows are written once, since ranges of another run of the
+    plan could have other bounds. The table of ranges is one row for each range (and group that begins there)."""
+    keys = [*(F.col(c).asc_nulls_first() for c in by), *order]
+    row = F.monotonically_increasing_id()
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ranged = staged(ranged.withColumns({"_part": F.shiftright(row, 33), "_row": row.bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
+    per = ranged.groupBy("_part", *by).agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = per.withColumn("_start", before - F.col("_first")).select(F.col("_part").alias("_p"), *(F.col(c).alias(f"_g{k}") for k, c in enumerate(by)), "_start")
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_g{k}")) for k, c in enumerate(by)), F.col("_part") == F.col("_p"))
+    return ranged.join(starts, same).select(*df.columns, (F.col("_row") + F.col("_start")).alias(name))
+
+
+def span(part: slice, total: int) -> range:
+    return range(*part.indices(total))
+
+
+def chosen(table: DataFrame, key: str, part) -> DataFrame | None:
+    """(id, position): the ids of table's column `key` at the places that part names, in id order, and where each goes.
+    None for the full slice."""
+    if isinstance(part, slice) and part == slice(None):
+        return None
+    spark, total = table.sparkSession, table.count()
+    at = numbered(table.select(F.col(key).alias("id")), ["id"], name="_at")
+    if isinstance(part, slice):
+        asked = span(part, total)
+        inside = F.pmod(F.col("_at") - asked.start, F.lit(abs(asked.step))) == 0
+        lo, hi = (min(asked), max(asked)) if len(asked) else (0, -1)
+        return at.where(F.col("_at").between(lo, hi) & inside).select("id", ((F.col("_at") - asked.start) / asked.step).cast("long").alias("position"))
+    asked = spark.createDataFrame([(x, k) for k, x in enumerate(places(part, total))], "_at long, position long")  # as long as the list given
+    return at.join(asked, "_at").select("id", "position")
+
+
+def _listed(part) -> list:
+    return [part] if isinstance(part, (int, np.integer)) and not isinstance(part, bool) else list(part)
+
+
+def places(part, total: int) -> list[int]:
+    """The places, from 0, that an int, a list of ints or a list of booleans names."""
+    asked = _listed(part)
+    if any(x is None for x in asked):
+        raise ValueError("the index has missing values")
+    if asked and all(isinstance(x, (bool, np.bool_)) for x in asked):
+        if len(asked) != total:
+            raise IndexError(f"a mask of {len(asked)} for {total}")
+        return [k for k, x in enumerate(asked) if x]
+    if not all(isinstance(x, (int, np.integer)) and not isinstance(x, (bool, np.bool_)) for x in asked):
+        raise TypeError("indices are whole numbers or booleans")
+    if wrong := [x for x in asked if not -total <= x < total]:
+        raise IndexError(f"{wrong[0]} is out of bounds for {total}")
+    return [int(x) % total for x in asked]
+
+
+# -- levels of categorical columns ------------------------------------------------------------------------------------
+#
+# A categorical column has its levels, in order, in its metadata. Selecting, renaming, filtering, joining and Parquet
+# keep metadata; aggregates and casts drop it, and unions keep that of the first table.
+
+
+def levels(df: DataFrame, column: str) -> list | None:
+    return df.schema[column].metadata.get("levels")
+
+
+def with_levels(df: DataFrame, column: str, given: list | None = None) -> DataFrame:
+    """column as categorical, with the given levels, or its values in sorted order. A value that is no level, a level that
+    is there twice, and null as a level raise ValueError."""
+    resolve(df, column)
+    if given is None:
+        given = sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())  # categories are few
+    given = list(given)
+    if len(set(given)) != len(given) or None in given:
+        raise ValueError("levels are distinct values")
+    if stray := df.where(F.col(column).isNotNull() & ~F.col(column).isin(given)).select(column).limit(1).collect():
+        raise ValueError(f"{stray[0][0]!r} is no level of {column!r}")
+    return df.withMetadata(column, df.schema[column].metadata | {"levels": given})
+
+
+def levels_like(df: DataFrame, other: DataFrame) -> DataFrame:
+    """df with the levels that columns of the same name have in the other table."""
+    for c in df.columns:
+        if c in other.columns and levels(other, c) is not None:
+            df = df.withMetadata(c, df.schema[c].metadata | {"levels": levels(other, c)})
+    return df
+
+
+def with_united_levels(df: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """df, the union of a and b, with the levels of a and then those that only b has; none where one of them has none."""
+    for c in df.columns:
+        x, y = (levels(t, c) if c in t.columns else None for t in (a, b))
+        if x is None and y is None:
+            continue
+        meta = {k: v for k, v in df.schema[c].metadata.items() if k != "levels"}
+        df = df.withMetadata(c, meta if x is None or y is None else meta | {"levels": [*x, *(v for v in y if v not in x)]})
+    return df
+
+
+def level_number(df: DataFrame, column: str) -> Column:
+    """The place of a row's level, from 0; null for null."""
+    return F.array_position(F.lit(levels(df, column)), F.col(column)) - 1

@@ -216,7 +216,7 @@ def q_pb_set_var_names(spark, d):
     return bulk(spark, d).with_columns_var(name=F.upper("gene")).set_var_names("name").X
 
 
-@query(w('SELECT cell_type, floor(0.5 * count(*) + 0.5)::BIGINT n, 0::BIGINT strays FROM PO GROUP BY 1 HAVING count(*) > 1', _C))
+@query(w('SELECT cell_type, ceil(0.5 * count(*))::BIGINT n, 0::BIGINT strays FROM PO GROUP BY 1 HAVING count(*) > 1', _C))
 def q_pb_subsample_obs(spark, d):
     """Half of each type's samples, and no value of another sample."""
     pb = bulk(spark, d)
@@ -327,7 +327,7 @@ def q_sc_split_by_var(spark, d):
     return verbs.stacked([p.X.groupBy("col_id").agg(F.lit(k).alias("brand"), F.count("*").alias("n")) for k, p in fine(spark, d).split_by_var("brand").items()], False, "X").select("col_id", "brand", "n")
 
 
-@query(w("SELECT cell_type, floor(0.25 * count(*) + 0.5)::BIGINT n, 0::BIGINT strays FROM obs GROUP BY 1"))
+@query(w("SELECT cell_type, ceil(0.25 * count(*))::BIGINT n, 0::BIGINT strays FROM obs GROUP BY 1"))
 def q_sc_subsample_obs(spark, d):
     """A quarter of each type's cells, each once, and no value of another cell."""
     sc = fine(spark, d)
@@ -336,9 +336,12 @@ def q_sc_subsample_obs(spark, d):
     return part.obs.groupBy("cell_type").agg(F.count_distinct("row_id").alias("n")).join(strays, "cell_type", "left").fillna(0, "strays")
 
 
-@query(w("SELECT floor(0.5 * count(*) + 0.5)::BIGINT n FROM var"))
+@query(w("SELECT ceil(0.5 * count(*))::BIGINT n, 0::BIGINT strays FROM var"))
 def q_sc_subsample_var(spark, d):
-    return fine(spark, d).subsample_var(fraction=0.5).var.agg(F.count_distinct("col_id").alias("n"))
+    """Half of the genes, each once, and no value of another gene."""
+    part = fine(spark, d).subsample_var(fraction=0.5)
+    strays = part.X.join(part.var.select("col_id"), "col_id", "left_anti").count()
+    return part.var.agg(F.count_distinct("col_id").alias("n"), F.lit(strays).alias("strays"))
 
 
 @query(w("SELECT row_id, donor FROM obs WHERE donor < 5"))
@@ -393,32 +396,30 @@ def q_sc_varp(spark, d):
     return _keyed(sc, "varp", edges, lambda t: t.withColumn("weight", F.col("weight") * 2)).varp["c"]
 
 
-@query(w("SELECT 'c' \"key\", 14::BIGINT \"value\"", "Z AS (SELECT 1)"))
+@query(w("SELECT 'c' \"key\", 2 * count(*) \"value\" FROM obs"))
 def q_sc_uns(spark, d):
-    done = _keyed(fine(spark, d), "uns", 7, lambda v: v * 2)
+    """A plain value of the table, doubled."""
+    sc = fine(spark, d)
+    done = _keyed(sc, "uns", len(sc), lambda v: v * 2)
     return spark.createDataFrame(list(done.uns.items()), "key string, value long")
 
 
 # -- several datasets at once -----------------------------------------------------------------------------------------
 
 
-def _two(spark, d):
+@query()
+def q_pca_joint(spark, d):
+    """A dataset for each treatment."""
     from .catalog import coarse
 
     parts = coarse(spark, d).split_by_obs("treatment")
-    return parts["F"].normalize(), parts["O"].normalize()
-
-
-@query()
-def q_pca_joint(spark, d):
-    first, second = _two(spark, d)
-    first, second = first.pca(second, num_PCs=5, hvg_column=None)
-    return first.obsm["pca"].withColumn("dataset", F.lit("F")).unionByName(second.obsm["pca"].withColumn("dataset", F.lit("O")))
+    first, *others = (p.normalize() for p in parts.values())
+    done = first.pca(*others, num_PCs=5, hvg_column=None)
+    return verbs.stacked([p.obsm["pca"].withColumn("dataset", F.lit(k)) for k, p in zip(parts, done)], False, "pca")
 
 
 @query()
 def q_harmony_joint(spark, d):
-    sc = components(spark, d)
-    parts = [sc.filter_obs(batch=b) for b in "01"]
-    first, second = parts[0].harmonize(parts[1], num_clusters=10)
-    return first.obsm["harmony"].unionByName(second.obsm["harmony"])
+    """A dataset for each batch."""
+    first, *others = components(spark, d).split_by_obs("batch").values()
+    return verbs.stacked([p.obsm["harmony"] for p in first.harmonize(*others, num_clusters=10)], False, "harmony")

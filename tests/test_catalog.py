@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from cytoplane.plans import catalog, verb_queries  # noqa: F401  the second adds its queries to the first
+from cytoplane.plans import catalog, matrix_queries, verb_queries  # noqa: F401  the others add their queries to the first
 
 D = "/root/testdata/sf0.001"
 TABLES = ["customer", "embeddings", "events", "lineitem", "nation", "orders", "part", "region", "supplier"]
