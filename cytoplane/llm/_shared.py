@@ -272,13 +272,14 @@ def bounded_sample(df: DataFrame, most: int, *by: str) -> DataFrame:
 
 def stratified_sample(df: DataFrame, most: int, stratum: str, *by: str) -> DataFrame:
     """About `most` rows at most, as many of each value of stratum where there are so many, picked by a hash of the columns
-    by, so that a rare value is there as well. Values must be few: a count of each comes to the driver."""
-    totals = {r[0]: r[1] for r in df.groupBy(stratum).count().collect()}
+    by, so that a rare value is there as well. Of more than `most` values the most frequent count; so many counts come to
+    the driver at most."""
+    totals = {r[0]: r[1] for r in df.groupBy(stratum).count().orderBy(F.desc("count"), stratum).limit(most).collect()}
     if not totals:
         return df
     each = max(1, most // len(totals))
     h = F.xxhash64(*by, F.lit(11))
     chance = F.create_map(*(F.lit(x) for k, n in totals.items() for x in (k, int((1 << 40) * min(1.0, (each + 5 * each**0.5 + 10) / n)))))
-    near = df.where(F.pmod(h, F.lit(1 << 40)) < chance[F.col(stratum)])
+    near = df.where(F.pmod(h, F.lit(1 << 40)) < chance[F.col(stratum)])  # null, and so false, for values that are left out
     rank = F.row_number().over(Window.partitionBy(stratum).orderBy(h, *by))
     return near.withColumn("_rank", rank).where(F.col("_rank") <= each).drop("_rank")

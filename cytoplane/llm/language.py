@@ -4,11 +4,11 @@ Two gated recurrent units read each window of bytes, one from either end; at eve
 probabilities of the languages. A document's probabilities are the means over all its positions. Whole texts are read,
 as windows of `WINDOW` bytes that each start from a zero state, thousands side by side.
 
-The network is trained here, in numpy, by backpropagation through time, on windows, spread evenly over the whole text, of
-at most `max_train` labelled rows, of each language alike. It is a few thousand numbers and rides to the executors in the task; a document needs no other, so prediction is
-one pass without a shuffle.
+The network is trained here, in numpy, by backpropagation through time, on windows that cover the whole texts of at most
+`max_train` labelled rows, of each language alike; these rows' windows come to the driver. It is a few thousand numbers and
+rides to the executors in the task; a document needs no other, so prediction is one pass without a shuffle.
 
-Null text and text without a letter give `und` with score 0; rows without a language are not learned; repeated rows
+Columns of the table other than the text, such as one named held_out, are never read. Null text and text without a letter give `und` with score 0; rows without a language are not learned; repeated rows
 and null doc_ids are predicted like others; an empty table gives no rows; without any labelled row all is `und`."""
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import released, small_batches, stratified_sample, texts_of
@@ -137,8 +137,8 @@ def probabilities(p: dict, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", max_train: int = 2500, windows_each: int = 16, length: int = 64) -> dict | None:
-    """A network and its languages from at most max_train labelled rows of docs, some windows of each."""
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", max_train: int = 2500, length: int = 64) -> dict | None:
+    """A network and its languages from at most max_train labelled rows of docs, all of their texts."""
     small_batches(docs.sparkSession)
     seen = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select("doc_id", text, lang)
 
@@ -149,8 +149,9 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", max_train: in
             for k, name in enumerate(b.column(1).to_pylist()):
                 n = int(off[k + 1] - off[k])
                 body = raw[off[k] : off[k + 1]].tobytes()
-                for w in range(windows_each if n > length else 1):
-                    at = (n - length) * w // max(windows_each - 1, 1) if n > length else 0
+                most = -(-n // length)
+                for w in range(most):
+                    at = (n - length) * w // (most - 1) if most > 1 else 0
                     out.append((name, body[at : at + length].ljust(length, b" ")))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.binary())], names=["lang", "window"])
 
@@ -163,10 +164,10 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", max_train: in
     return train(np.stack([np.frombuffer(r["window"], np.uint8) for r in got]), labels, len(names)) | {"names": names}
 
 
-def predict(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
-    """doc_id, held_out (false where docs has none), lang_pred and score."""
+def predict(docs: DataFrame, model: dict | None, text: str = "text", held: Column | None = None) -> DataFrame:
+    """doc_id, held_out (held, a flag of docs' columns; false by default), lang_pred and score."""
     small_batches(docs.sparkSession)
-    held = F.col("held_out") if "held_out" in docs.columns else F.lit(False)
+    held = F.lit(False) if held is None else F.coalesce(held, F.lit(False))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -201,5 +202,5 @@ def keep_known(docs: DataFrame, model: dict | None, text: str = "text", least: f
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("held_out", held)
-    return predict(docs, learn(docs.where(~F.col("held_out"))))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return predict(docs, learn(docs.where(~held)), held=held)

@@ -28,7 +28,7 @@ from ._shared import small_batches
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
 
-RESULT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+RESULT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
 WIDTH = 192
 
 
@@ -157,18 +157,26 @@ def with_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def describe_media(media: DataFrame) -> DataFrame:
-    """RESULT of (doc_id, n_bytes, media): each file decoded, its samples hashed and described."""
+    """RESULT of (doc_id, n_bytes, media): each file decoded, its samples hashed and described. A file that is null or
+    damaged has nulls for what can't be known of it, and says why in `error`, which is null for the others."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for doc_id, n, png in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                samples = decode(png)
+                stored = (None, None) if png is None else (len(png), hashlib.sha256(png).hexdigest())
+                try:
+                    if png is None:
+                        raise ValueError("no file")
+                    samples = decode(png)
+                except (ValueError, struct.error, zlib.error, IndexError) as e:
+                    rows.append((doc_id, n, None, None, None, *stored, None, str(e) or type(e).__name__))
+                    continue
                 back = samples.tobytes()
-                rows.append((doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(png), hashlib.sha256(png).hexdigest(), feature(samples)))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 8, kinds)], names=names)
+                rows.append((doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), *stored, feature(samples), None))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 9, kinds)], names=names)
 
     return media.mapInArrow(work, RESULT)
 

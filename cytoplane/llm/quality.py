@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import bounded_sample, small_batches
@@ -152,9 +152,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     return fit([(np.frombuffer(r["idx"], np.int32), np.frombuffer(r["val"], np.float32)) for r in got], np.array([r["label"] for r in got]))
 
 
-def score(docs: DataFrame, model: dict, text: str = "text", metadata: tuple[str, ...] = ("n_chars",)) -> DataFrame:
-    """docs' doc_id and held_out (if there) with score and predicted."""
+def score(docs: DataFrame, model: dict, text: str = "text", metadata: tuple[str, ...] = ("n_chars",), held: Column | None = None) -> DataFrame:
+    """doc_id, held_out (held, a flag of docs' columns; false by default), score and predicted."""
     small_batches(docs.sparkSession)
+    held = F.lit(False) if held is None else F.coalesce(held, F.lit(False))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -165,7 +166,6 @@ def score(docs: DataFrame, model: dict, text: str = "text", metadata: tuple[str,
             s = scores(model, rows)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    held = F.col("held_out") if "held_out" in docs.columns else F.lit(False)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), text, *(F.col(m).cast("double").alias(m) for m in metadata)).mapInArrow(work, RESULT)
 
 
@@ -173,4 +173,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held))
-    return score(docs.withColumn("held_out", held), model)
+    return score(docs, model, held=held)

@@ -234,7 +234,8 @@ def test_language(spark, odd, none):
 
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2)
     model = language.learn(docs.where("NOT held_out"), max_train=400)
-    got = language.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
+    got = language.predict(docs, model, held=F.col("held_out")).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
+    assert got.count() > 100
     assert got.where("lang = lang_pred").count() >= 0.97 * got.count()
     strange = {r["doc_id"]: r for r in language.predict(odd, model).collect()}
     assert all(strange[i]["lang_pred"] == "und" and strange[i]["score"] == 0 for i in (0, 1, 2, 15)) and strange[8]["lang_pred"] != "und"
