@@ -12,6 +12,12 @@ from .special import digamma, f_density, f_quantile, f_tail, inverse_trigamma, t
 
 def lowess(x: np.ndarray, y: np.ndarray, span: float = 0.5, rounds: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Robust local lines (Cleveland 1979): sorted x and the fit there."""
+    at, values = lowess_line(x, y, span, rounds)
+    return np.sort(x, kind="stable"), np.interp(np.sort(x, kind="stable"), at, values)
+
+
+def lowess_line(x: np.ndarray, y: np.ndarray, span: float = 0.5, rounds: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """The same as the points between which the fit is straight."""
     order = np.argsort(x, kind="stable")
     x, y = x[order], y[order]
     n = len(x)
@@ -50,25 +56,34 @@ def lowess(x: np.ndarray, y: np.ndarray, span: float = 0.5, rounds: int = 3) ->
                 break
             robust = np.clip(1 - (left / scale) ** 2, 0, None) ** 2
             robust[left <= 0.001 * scale] = 1.0
-    return x, fit
+    return x[anchors], np.array(values)
+
+
+def log_counts(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return np.log2((counts + 0.5) / (sizes + 1) * 1e6)
+
+
+def voom_scatter(counts: np.ndarray, design: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean log counts and roots of residual standard deviations of each gene, and whether it has counts."""
+    y = log_counts(counts, sizes)
+    left = y - (design @ np.linalg.lstsq(design, y.T, rcond=None)[0]).T
+    sd = np.sqrt((left**2).sum(1) / (counts.shape[1] - np.linalg.matrix_rank(design)))
+    return y.mean(1) + np.log2(sizes + 1).mean() - np.log2(1e6), np.sqrt(sd), counts.sum(1) > 0
+
+
+def voom_weights(counts: np.ndarray, design: np.ndarray, sizes: np.ndarray, line_x: np.ndarray, line_y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log2 counts per million and their precision weights, by the line of roots of standard deviations."""
+    y = log_counts(counts, sizes)
+    fitted = (design @ np.linalg.lstsq(design, y.T, rcond=None)[0]).T
+    return y, 1 / np.interp(np.log2(2**fitted * 1e-6 * (sizes + 1)), line_x, line_y) ** 4
 
 
 def voom(counts: np.ndarray, design: np.ndarray, sizes: np.ndarray, span: float = 0.5) -> tuple[np.ndarray, np.ndarray, pd.DataFrame]:
     """log2 counts per million, their precision weights, and the points and line of the mean-variance trend."""
-    y = np.log2((counts + 0.5) / (sizes + 1) * 1e6)
-    beta = np.linalg.lstsq(design, y.T, rcond=None)[0]
-    left = y - (design @ beta).T
-    df = counts.shape[1] - np.linalg.matrix_rank(design)
-    sd = np.sqrt((left**2).sum(1) / df)
-    sx = y.mean(1) + np.log2(sizes + 1).mean() - np.log2(1e6)
-    sy = np.sqrt(sd)
-    seen = counts.sum(1) > 0
-    lx, ly = lowess(sx[seen], sy[seen], span)
-    fitted = (design @ beta).T
-    level = np.log2(2**fitted * 1e-6 * (sizes + 1))
-    weights = 1 / np.interp(level, lx, ly) ** 4
-    points = pd.DataFrame({"xy_x": sx[seen], "xy_y": sy[seen]}).sort_values("xy_x", kind="stable").assign(line_x=lx, line_y=ly)
-    return y, weights, points.reset_index(drop=True)
+    sx, sy, seen = voom_scatter(counts, design, sizes)
+    line = lowess_line(sx[seen], sy[seen], span)
+    points = pd.DataFrame({"xy_x": sx[seen], "xy_y": sy[seen]}).sort_values("xy_x", kind="stable").reset_index(drop=True)
+    return *voom_weights(counts, design, sizes, *line), points.assign(line_x=points.xy_x, line_y=np.interp(points.xy_x, *line))
 
 
 def independent(design: np.ndarray) -> list[int]:

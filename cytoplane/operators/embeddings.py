@@ -109,10 +109,12 @@ def standardised(cells: SingleCell, genes: DataFrame, n: int) -> tuple[DataFrame
     return staged(rows, "packed"), mean, sd
 
 
-def harmonize(sc: SingleCell, *others, batch_column: str | None = None, PC_key: str = "pca", Harmony_key: str = "harmony", num_clusters: int | None = None, theta: float = 2.0, tau: float = 0.0, sigma: float = 0.1, alpha: float = 0.2, max_iter: int = 10, max_cluster_iter: int = 20, tolerance: float = 1e-4, QC_column: str | None = "passed_QC", seed: int = 0, overwrite: bool = False):
+def harmonize(sc: SingleCell, *others, batch_column: str | None = None, PC_key: str = "pca", Harmony_key: str = "harmony", num_clusters: int | None = None, theta: float = 2.0, tau: float = 0.0, sigma: float = 0.1, alpha: float = 0.2, max_iter: int = 10, max_cluster_iter: int = 20, tolerance: float = 1e-4, num_blocks: int = 1, QC_column: str | None = "passed_QC", seed: int = 0, overwrite: bool = False):
     """Soft clusters of normalised components that are penalised for uneven batches, and a linear correction of each
-    batch within each cluster (Korsunsky et al. 2019). All cells move at once in a round. What a round needs of the
-    cells are sums by cluster and batch; centroids and these sums ride to the tasks. With several datasets (whose
+    batch within each cluster (Korsunsky et al. 2019). All cells move at once in a round or, with num_blocks, one block
+    after another in a seeded order: a block's sums are taken out before its cells move, and put back after it, as in the
+    original algorithm (which has 20 blocks). What a round needs of the cells are sums by cluster and batch; centroids and
+    these sums ride to the tasks. Soft clusters are never stored: what a block last moved by tells them. With several datasets (whose
     components must come from one call of pca) each is a batch, or each of its batches is, and a tuple is returned."""
     if others and isinstance(others[0], str):
         batch_column, others = others[0], others[1:]
@@ -125,8 +127,8 @@ def harmonize(sc: SingleCell, *others, batch_column: str | None = None, PC_key:
         obs = reduce(DataFrame.unionByName, (ids(s.passing(QC_column).obs, k, batch(k).alias("batch")) for k, s in enumerate(sets)))
         vectors = reduce(DataFrame.unionByName, (ids(s.obsm[PC_key], k, "value") for k, s in enumerate(sets)))
         joint = SingleCell(None, obs, sc.var, obsm={PC_key: vectors})
-        done = harmonize(joint, batch_column="batch", PC_key=PC_key, Harmony_key=Harmony_key, num_clusters=num_clusters, theta=theta, tau=tau, sigma=sigma, alpha=alpha, max_iter=max_iter, max_cluster_iter=max_cluster_iter, tolerance=tolerance, QC_column=None, seed=seed)
-        return _parted(sets, done, Harmony_key, harmony_objective=done.uns["harmony_objective"])
+        done = harmonize(joint, batch_column="batch", PC_key=PC_key, Harmony_key=Harmony_key, num_clusters=num_clusters, theta=theta, tau=tau, sigma=sigma, alpha=alpha, max_iter=max_iter, max_cluster_iter=max_cluster_iter, tolerance=tolerance, num_blocks=num_blocks, QC_column=None, seed=seed)
+        return _parted(sets, done, Harmony_key, **{k: v for k, v in done.uns.items() if k.startswith("harmony_")})
     if batch_column is None:
         raise ValueError("one dataset needs a batch_column")
     if Harmony_key in sc.obsm and not overwrite:
@@ -134,7 +136,8 @@ def harmonize(sc: SingleCell, *others, batch_column: str | None = None, PC_key:
     cells = sc.passing(QC_column)
     names = [r[0] for r in cells.obs.select(batch_column).distinct().orderBy(batch_column).collect()]
     index = F.create_map(*(F.lit(x) for k, b in enumerate(names) for x in (b, k)))
-    first = sc.obsm[PC_key].join(cells.obs.select("row_id", index[F.col(batch_column)].alias("b")), "row_id").select("row_id", "b", F.col("value").cast("array<double>").alias("value"))
+    block = F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(num_blocks)).cast("int")
+    first = sc.obsm[PC_key].join(cells.obs.select("row_id", index[F.col(batch_column)].alias("b")), "row_id").select("row_id", "b", block.alias("block"), F.col("value").cast("array<double>").alias("value")).withColumn("prior", F.col("value"))
     cur = staged(first, "components")
     n_b = np.zeros(len(names))
     for r in cur.groupBy("b").count().collect():
@@ -146,21 +149,22 @@ def harmonize(sc: SingleCell, *others, batch_column: str | None = None, PC_key:
     y = unit(kmeans(normal, k, seed=seed)[0])
     th = theta * (1 - np.exp(-((n_b / (len(y) * tau)) ** 2))) if tau > 0 else np.full(len(names), theta)
 
-    def soft(z: np.ndarray, b: np.ndarray, y: np.ndarray, penalty: np.ndarray) -> np.ndarray:
-        r = 2 / sigma * (unit(z) @ y.T - 1) + np.log(penalty).T[b]
+    def soft(z: np.ndarray, b: np.ndarray, block: np.ndarray, y: np.ndarray, penalty: np.ndarray) -> np.ndarray:
+        """Of cells by clusters; penalty: blocks by clusters by batches."""
+        r = 2 / sigma * (unit(z) @ y.T - 1) + np.log(penalty)[block, :, b]
         r = np.exp(r - r.max(1, keepdims=True))
         return r / r.sum(1, keepdims=True)
 
-    def sums(table: DataFrame, y: np.ndarray, penalty: np.ndarray, raw: bool):
-        """By cluster and batch: sums of R, of R z (of all batches, or with raw of each, not normalised), and the fit."""
+    def sums(table: DataFrame, y: np.ndarray, penalty: np.ndarray, raw: bool, by: str = "value"):
+        """By cluster and batch: sums of R, of R z (with raw: z not normalised), and the fit. R is that of the column by."""
         d = y.shape[1]
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             o, w, fit = np.zeros((len(names), len(y))), np.zeros((len(names), len(y), d)), 0.0
             for t in batches:
                 if t.num_rows:
-                    z, b = np.stack(t.column(1).to_pylist()), np.asarray(t.column(0))
-                    r = soft(z, b, y, penalty)
+                    z, b = np.stack(t.column(2).to_pylist()), np.asarray(t.column(0))
+                    r = soft(z if by == "value" else np.stack(t.column(3).to_pylist()), b, np.asarray(t.column(1)), y, penalty)
                     fit += float((2 * r * (1 - unit(z) @ y.T)).sum() + sigma * (r * np.log(np.maximum(r, 1e-12))).sum())
                     for j in range(len(names)):
                         o[j] += r[b == j].sum(0)
@@ -177,7 +181,7 @@ def harmonize(sc: SingleCell, *others, batch_column: str | None = None, PC_key:
             yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([o.tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary()), pa.array([fit])], names=["j", "o", "w", "fit"])
 
         kinds = "j long, o binary, w binary, fit double"
-        parts = table.select("b", "value").mapInArrow(work, kinds)
+        parts = table.select("b", "block", "value", *([by] if by != "value" else [])).mapInArrow(work, kinds)
         if tasks * len(names) * len(y) * d * 8 > DIRECT_BYTES:  # then a row a batch, else a row a task and batch
             parts = parts.groupBy("j").applyInArrow(add, kinds)
         o, w, fit = np.zeros((len(y), len(names))), np.zeros((len(names), len(y), d)), 0.0
@@ -188,15 +192,38 @@ def harmonize(sc: SingleCell, *others, batch_column: str | None = None, PC_key:
         return o, w, fit
 
     tasks = cur.rdd.getNumPartitions()
-    penalty, past = np.ones((len(y), len(names))), []
+    def parts() -> list[DataFrame]:
+        return [cur] if num_blocks == 1 else [cur.where(F.col("block") == k) for k in range(num_blocks)]
+
+    def objective(o: np.ndarray, e: np.ndarray, fit: float) -> float:
+        return fit + sigma * float((th * o * np.log((o + e + 1) / (e + 1))).sum())
+
+    tasks = cur.rdd.getNumPartitions()
+    penalty, past, steps = np.ones((num_blocks, len(y), len(names))), [], []
     for _ in range(max_iter):
         trail = []
+        if num_blocks > 1:
+            # sums of each block, by the vectors, centroids and penalties that it last moved by
+            of = [sums(t, y, penalty, False, "prior") for t in parts()]
         for _ in range(max_cluster_iter):
-            o, w, fit = sums(cur, y, penalty, False)
-            e = np.outer(o.sum(1), share)
-            trail.append(fit + sigma * float((th * o * np.log((o + e + 1) / (e + 1))).sum()))
-            penalty = ((e + 1) / (o + e + 1)) ** th
-            y = unit(w.sum(0))
+            if num_blocks == 1:
+                o, w, fit = sums(cur, y, penalty, False)
+                e = np.outer(o.sum(1), share)
+                trail.append(objective(o, e, fit))
+                penalty = (((e + 1) / (o + e + 1)) ** th)[None]
+                y = unit(w.sum(0))
+            else:
+                y = unit(sum(w for _, w, _ in of).sum(0))
+                o = sum(x for x, _, _ in of)
+                for k, t in enumerate(parts()):
+                    rest = o - of[k][0]
+                    e = np.outer(rest.sum(1), share)
+                    penalty = penalty.copy()
+                    penalty[k] = ((e + 1) / (rest + e + 1)) ** th
+                    of[k] = sums(t, y, penalty, False)
+                    o = rest + of[k][0]
+                trail.append(objective(o, np.outer(o.sum(1), share), sum(f for _, _, f in of)))
+                steps.append(trail[-1])
             if len(trail) > 3 and abs(trail[-4] - trail[-1]) < 1e-5 * abs(trail[-4]):
                 break
         o, w, _ = sums(cur, y, penalty, True)
@@ -214,16 +241,16 @@ def harmonize(sc: SingleCell, *others, batch_column: str | None = None, PC_key:
         def correct(batches: Iterator[pa.RecordBatch], y=y, penalty=penalty, shifts=shifts) -> Iterator[pa.RecordBatch]:
             for t in batches:
                 if t.num_rows:
-                    z, b = np.stack(t.column(2).to_pylist()), np.asarray(t.column(1))
-                    z = z - np.einsum("nk,nkd->nd", soft(z, b, y, penalty), shifts[b])
-                    yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(list(z), pa.list_(pa.float64()))], names=["row_id", "b", "value"])
+                    z, b = np.stack(t.column(3).to_pylist()), np.asarray(t.column(1))
+                    z = z - np.einsum("nk,nkd->nd", soft(z, b, np.asarray(t.column(2)), y, penalty), shifts[b])
+                    yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), t.column(2), pa.array(list(z), pa.list_(pa.float64())), t.column(3)], names=["row_id", "b", "block", "value", "prior"])
 
-        before, cur = cur, staged(cur.mapInArrow(correct, "row_id long, b int, value array<double>"), "corrected")
+        before, cur = cur, staged(cur.select("row_id", "b", "block", "value").mapInArrow(correct, "row_id long, b int, block int, value array<double>, prior array<double>"), "corrected")
         drop_staged(before)
         past.append(trail[-1])
         if len(past) > 1 and abs(past[-2] - past[-1]) < tolerance * abs(past[-2]):
             break
-    return replace(sc, obsm=sc.obsm | {Harmony_key: cur.select("row_id", F.col("value").cast("array<float>").alias("value"))}, uns=sc.uns | {"harmony_objective": past})
+    return replace(sc, obsm=sc.obsm | {Harmony_key: cur.select("row_id", F.col("value").cast("array<float>").alias("value"))}, uns=sc.uns | {"harmony_objective": past} | ({"harmony_steps": steps} if num_blocks > 1 else {}))
 
 
 def leiden(edges: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, resolution: float = 1.0, min_cluster_size: int = 1, seed: int = 0) -> np.ndarray:

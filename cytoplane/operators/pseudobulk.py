@@ -13,12 +13,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import linear_models as lm
-from ..functions.formula import design_matrix, terms, variables
+from ..functions.formula import design_matrix, variables
 from ..functions.testing import bonferroni, with_fdr
-from . import verbs
+from . import differential, verbs
 from .cell_analysis import sum_by
 from .cells import SingleCell
+from .differential import Model
+from .staging import staged
 
 KEYS = {"obs": ["cell_type", "sample"], "var": ["cell_type", "gene"]}
 
@@ -251,10 +252,13 @@ class Pseudobulk:
         return self._filter("var", predicates, constraints, cell_types, excluded_cell_types)
 
     def cast_X(self, dtype: str, cell_types=None, excluded_cell_types=None) -> Pseudobulk:
+        """The values as another type. One table holds all types, so with cell_types only what the cast does to the values
+        of these is kept (whole numbers, the range of the type), in a type that holds the others' values as well."""
         chosen = self._chosen(cell_types, excluded_cell_types)
-        if chosen is not None:
-            raise ValueError("one table holds all types: its values have one type")
-        return replace(self, X=self.X.withColumn("value", F.col("value").cast(dtype)))
+        if chosen is None:
+            return replace(self, X=self.X.withColumn("value", F.col("value").cast(dtype)))
+        mine = F.col("cell_type").isin(chosen)
+        return replace(self, X=self.X.withColumn("value", F.when(mine, F.col("value").cast(dtype)).otherwise(F.col("value"))))
 
     def _subsample(self, axis: str, n, fraction, by_column, subsample_column, seed, overwrite, cell_types, excluded) -> Pseudobulk:
         keys = KEYS[axis]
@@ -415,12 +419,6 @@ class Pseudobulk:
         y = F.log2(F.col("value") + F.col("pc")) - F.log2(F.col("L") + 2 * F.col("pc")) + float(np.log2(1e6))
         return replace(self, X=x.select("cell_type", "sample", "gene", y.alias("value")))
 
-    def _per_type(self, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str, columns: list[str]) -> DataFrame:
-        """work on (sample, columns, gene, value) of each type: the table of one type is samples times genes."""
-        have = [c for c in dict.fromkeys(columns) if c in self.obs.columns and c not in KEYS["obs"]]
-        flat = self.dense().join(self.obs.select("cell_type", "sample", *have), ["cell_type", "sample"])
-        return flat.groupBy("cell_type").applyInPandas(work, schema)
-
     def _levels(self, names: list[str]) -> dict[str, list]:
         return {c: found for c in names if c in self.obs.columns and (found := verbs.levels(self.obs, c)) is not None}
 
@@ -428,54 +426,52 @@ class Pseudobulk:
         """What a linear model leaves of each gene; a dict has a formula for each type."""
         if error_if_int and self.X.schema["value"].dataType.typeName() not in ("float", "double"):
             raise TypeError("X has whole counts; error_if_int=False takes them")
-        names = _all_variables(formula)
-        levels = self._levels(names)
-
-        def work(table: pd.DataFrame) -> pd.DataFrame:
-            mine = _of_type(formula, table.cell_type.iloc[0])
-            y, obs = _matrix(table, variables(mine))
-            left = lm.residuals(y.to_numpy(float), design_matrix(mine, obs, tuple(categorical_columns), tuple(ordinal_columns), levels).to_numpy())
-            out = pd.DataFrame(left, y.index, y.columns).stack().rename("value").reset_index()
-            return out.assign(cell_type=table.cell_type.iloc[0])[["cell_type", "sample", "gene", "value"]]
-
-        return replace(self, X=self._per_type(work, "cell_type string, sample string, gene string, value double", names))
+        levels, cat, ordn = self._levels(_all_variables(formula)), tuple(categorical_columns), tuple(ordinal_columns)
+        models = {}
+        for t, obs in self._samples(_all_variables(formula)).items():
+            design = design_matrix(_of_type(formula, t), obs, cat, ordn, levels).to_numpy()
+            if np.linalg.matrix_rank(design) < design.shape[1]:
+                raise ValueError(f"the design of {t!r} is rank-deficient")
+            models[t] = Model(list(obs.index), design, [])
+        return replace(self, X=differential.residuals(differential.gene_rows(self.X, self.var), models))
+
+    def _samples(self, columns: list[str]) -> dict[str, pd.DataFrame]:
+        """The samples of each type by name, with columns: a row a sample, on the driver."""
+        have = [c for c in dict.fromkeys(columns) if c in self.obs.columns and c not in KEYS["obs"]]
+        table = self.obs.select("cell_type", "sample", *have).toPandas().sort_values(["cell_type", "sample"], kind="stable")
+        return {t: part.set_index("sample")[have] for t, part in table.groupby("cell_type", sort=True)}
 
     def de(self, formula: str | dict[str, str], coefficient=None, contrasts: dict | None = None, group=None, categorical_columns=(), ordinal_columns=(), library_size_column: str = "library_size", strict: bool = False, robust: bool = False, return_voom_info: bool = True) -> DE:
         """Linear models with precision weights for each type: logFC, SE, limits, mean, p, and p corrected within a type
         and coefficient. Samples of the groups behind the tested coefficients (by default the combinations of its
         categorical columns; group=False for none) have a mean-variance trend each. Formula, coefficient, contrasts and
-        group may be dicts by cell type. A type that can't be fitted, or has no entry, is left out, or raises with
+        group may be dicts by cell type. return_voom_info: with the trends' points and the weights. A type that can't be fitted, or has no entry, is left out, or raises with
         strict."""
         levels = self._levels(_all_variables(formula))
         cat, ordn = (*categorical_columns, *(c for c in levels if c not in ordinal_columns and c not in categorical_columns)), tuple(ordinal_columns)
-
-        def asked(table: pd.DataFrame) -> tuple:
-            t = table.cell_type.iloc[0]
-            mine = _of_type(formula, t)
+        groups = group.values() if isinstance(group, dict) else [group]
+        models = {}
+        for t, obs in self._samples([*_all_variables(formula), library_size_column, *(g for g in groups if isinstance(g, str))]).items():
             own = contrasts if contrasts is None or not any(isinstance(x, dict) for x in contrasts.values()) else contrasts.get(t)
-            return mine, variables(mine), _of_type(coefficient, t), own, _of_type(group, t), cat, ordn, library_size_column, levels
-
-        def work(table: pd.DataFrame) -> pd.DataFrame:
             try:
-                got = test(table, *asked(table), robust)
+                models[t] = differential.weighted_model(obs, _of_type(formula, t), _of_type(coefficient, t), own, _of_type(group, t), cat, ordn, library_size_column, levels, contrast_vector)
             except (ValueError, np.linalg.LinAlgError):
                 if strict:
                     raise
-                return pd.DataFrame({c: pd.Series([], dtype=object if c in _DE_COLUMNS[:3] else float) for c in _DE_COLUMNS})
-            return got.assign(cell_type=table.cell_type.iloc[0])[_DE_COLUMNS]
-
-        def points(table: pd.DataFrame) -> pd.DataFrame:
-            try:
-                return voom_points(table, *asked(table))
-            except ValueError:
-                return voom_points(table.iloc[:0], "~ 1", [], None, None, None, cat, ordn, library_size_column, levels)
-
-        groups = group.values() if isinstance(group, dict) else [group]
-        cols = [*_all_variables(formula), library_size_column, *(g for g in groups if isinstance(g, str))]
-        table = self._per_type(work, "cell_type string, coefficient string, gene string, logFC double, SE double, LCI double, UCI double, AveExpr double, p double", cols)
-        info = self._per_type(points, "cell_type string, panel string, xy_x double, xy_y double, line_x double, line_y double", cols) if return_voom_info else None
-        table = table.withColumn("Bonferroni", bonferroni(F.col("p"), "cell_type", "coefficient"))
-        return DE(with_fdr(table, "p", "FDR", "cell_type", "coefficient", tie="gene"), info)
+        rows = differential.gene_rows(self.X, self.var)
+        points = staged(differential.scatter(rows, models), "scatter")
+        lines = differential.trends(points)
+        for t in [t for t, m in models.items() if any((t, panel) not in lines for panel in m.panels)]:
+            if strict:
+                raise ValueError(f"{t!r} has too few genes with counts for a trend")
+            del models[t]
+        fitted = differential.fits(rows, models, lines)
+        table = differential.moderated(fitted, models, robust).withColumn("Bonferroni", bonferroni(F.col("p"), "cell_type", "coefficient"))
+        table = with_fdr(table, "p", "FDR", "cell_type", "coefficient", tie="gene")
+        if not return_voom_info:
+            return DE(table)
+        known = points.where(F.col("cell_type").isin(list(models)))
+        return DE(table, differential.plot_points(known, lines), differential.weight_table(fitted, models))
 
     DE = de
 
@@ -493,67 +489,6 @@ def _all_variables(formula: str | dict[str, str]) -> list[str]:
     return list(dict.fromkeys(v for f in (formula.values() if isinstance(formula, dict) else [formula]) for v in variables(f)))
 
 
-_DE_COLUMNS = ["cell_type", "coefficient", "gene", "logFC", "SE", "LCI", "UCI", "AveExpr", "p"]
-
-
-def _matrix(table: pd.DataFrame, names: list[str]) -> tuple[pd.DataFrame, pd.DataFrame]:
-    y = table.pivot(index="sample", columns="gene", values="value").sort_index()
-    return y, table.drop_duplicates("sample").set_index("sample").loc[y.index, [n for n in dict.fromkeys(names) if n in table.columns]]
-
-
-def _weighted(table, formula, names, coefficient, contrasts, group, cat, ordn, size_column, levels):
-    y, obs = _matrix(table, [*names, size_column, *([group] if isinstance(group, str) else [])])
-    design = design_matrix(formula, obs, cat, ordn, levels)
-    if np.linalg.matrix_rank(design.to_numpy()) < design.shape[1]:
-        raise ValueError("the design is rank-deficient")
-    tested = [coefficient] if isinstance(coefficient, str) else list(coefficient or [])
-    if not tested and not contrasts:
-        tested = [next(c for c in design.columns if c != "(Intercept)")]
-    if lacking := [c for c in tested if c not in design.columns]:
-        raise ValueError(f"no coefficients {lacking}")
-    groups = None
-    if isinstance(group, str):
-        groups = obs[group].astype(str).to_numpy()
-    elif group is not False:
-        asked = tested or list(contrasts.values())
-        behind = [v for _, t in [terms(formula)] for term in t for v in term if v in obs.columns and any(v in c for c in asked) and (v in cat or not pd.api.types.is_numeric_dtype(obs[v]))]
-        if behind:
-            groups = obs[list(dict.fromkeys(behind))].astype(str).agg("_".join, axis=1).to_numpy()
-    if groups is not None and (pd.Series(groups).value_counts() < 2).any():
-        raise ValueError("every group needs two samples")
-    counts, sizes = y.to_numpy(float).T, obs[size_column].to_numpy(float)
-    if groups is None or len(set(groups)) < 2:
-        e, w, points = lm.voom(counts, design.to_numpy(), sizes)
-        points = {"all": points}
-    else:
-        e, w, points = lm.voom_by_group(counts, groups, design.to_numpy(), sizes)
-    return y, design, tested, e, w, points
-
-
-def test(table, formula, names, coefficient, contrasts, group, cat, ordn, size_column, levels, robust) -> pd.DataFrame:
-    y, design, tested, e, w, _ = _weighted(table, formula, names, coefficient, contrasts, group, cat, ordn, size_column, levels)
-    model = lm.fit(e, w, design.to_numpy())
-    labels = list(design.columns)
-    if contrasts:
-        columns = np.stack([contrast_vector(c, labels) for c in contrasts.values()], 1)
-        model, labels, tested = lm.contrast(model, columns), list(contrasts), list(contrasts)
-    got = lm.moderate(model, robust)
-    out = []
-    for c in tested:
-        k = labels.index(c)
-        out.append(pd.DataFrame({"coefficient": c, "gene": list(y.columns), **{n: got[n][:, k] for n in ("logFC", "SE", "LCI", "UCI")}, "AveExpr": got["AveExpr"], "p": got["p"][:, k]}))
-    return pd.concat(out)
-
-
-def voom_points(table, formula, names, coefficient, contrasts, group, cat, ordn, size_column, levels) -> pd.DataFrame:
-    cols = ["cell_type", "panel", "xy_x", "xy_y", "line_x", "line_y"]
-    try:
-        points = _weighted(table, formula, names, coefficient, contrasts, group, cat, ordn, size_column, levels)[-1]
-    except (ValueError, np.linalg.LinAlgError):
-        return pd.DataFrame({c: pd.Series([], dtype=object if c in cols[:2] else float) for c in cols})
-    return pd.concat([p.assign(panel=str(g)) for g, p in points.items()]).assign(cell_type=table.cell_type.iloc[0])[cols]
-
-
 def contrast_vector(expression: str, labels: list[str]) -> np.ndarray:
     """A sum of coefficients with signs and factors, e.g. `a - b` or `0.5*a + 0.5*b`; the longest label is read first."""
     import re
@@ -601,9 +536,18 @@ class DE:
 
     table: DataFrame
     voom_plot_data: DataFrame | None = field(default=None)
+    #: cell_type, sample, gene, weight
+    voom_weights: DataFrame | None = field(default=None)
+
+    def __post_init__(self) -> None:
+        if (self.voom_weights is None) != (self.voom_plot_data is None):
+            raise ValueError("give voom_weights and voom_plot_data together")
 
     def __eq__(self, other: object) -> bool:
-        return isinstance(other, DE) and verbs.same_rows(self.table, other.table)
+        if not isinstance(other, DE) or (self.voom_weights is None) != (other.voom_weights is None):
+            return False
+        pairs = [(self.table, other.table), (self.voom_plot_data, other.voom_plot_data), (self.voom_weights, other.voom_weights)]
+        return all(verbs.same_rows(a, b) for a, b in pairs if a is not None)
 
     __hash__ = None
 

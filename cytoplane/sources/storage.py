@@ -170,13 +170,14 @@ def load_pseudobulk(spark: SparkSession, directory: str) -> Pseudobulk:
 def save_de(de: DE, directory: str, overwrite: bool = False) -> None:
     _fresh(de.table.sparkSession, directory, overwrite)
     de.table.write.parquet(f"{directory}/table")
-    if de.voom_plot_data is not None:
-        de.voom_plot_data.write.parquet(f"{directory}/voom_plot_data")
+    for name in ("voom_plot_data", "voom_weights"):
+        if getattr(de, name) is not None:
+            getattr(de, name).write.parquet(f"{directory}/{name}")
 
 
 def load_de(spark: SparkSession, directory: str) -> DE:
-    voom = f"{directory}/voom_plot_data"
-    return DE(spark.read.parquet(f"{directory}/table"), spark.read.parquet(voom) if exists(spark, voom) else None)
+    paths = [f"{directory}/{name}" for name in ("voom_plot_data", "voom_weights")]
+    return DE(spark.read.parquet(f"{directory}/table"), *(spark.read.parquet(p) if exists(spark, p) else None for p in paths))
 
 
 SingleCell.save = save

@@ -341,3 +341,60 @@ def test_fractions_take_the_ceiling(spark):
 def test_genes_without_counts_have_no_sizes(pb):
     with pytest.raises(ValueError):
         Pseudobulk(pb.X.where("not (cell_type = 'B' and gene = 'g1')"), pb.obs, pb.var).library_size()
+
+
+# -- integration block by block ---------------------------------------------------------------------------------------
+
+
+def slow_blocks(v, batch, block, y, sigma, theta, alpha, rounds, steps):
+    """The published block-wise order in numpy, with the soft clusters stored."""
+    unit = lambda m: m / np.linalg.norm(m, axis=-1, keepdims=True)
+    n, names = len(v), sorted(set(batch))
+    phi = np.stack([batch == b for b in names], 1).astype(float)
+    share = phi.mean(0)
+    z = v.copy()
+    r = np.exp(2 / sigma * (unit(z) @ y.T - 1))
+    r /= r.sum(1, keepdims=True)
+    trail = []
+    for _ in range(rounds):
+        for _ in range(steps):
+            y = unit(r.T @ unit(z))
+            for k in sorted(set(block)):
+                own = block == k
+                o = r[~own].T @ phi[~own]
+                e = np.outer(r[~own].sum(0), share)
+                ratio = ((e + 1) / (o + e + 1)) ** theta
+                new = np.exp(2 / sigma * (unit(z[own]) @ y.T - 1)) * (phi[own] @ ratio.T)
+                r[own] = new / new.sum(1, keepdims=True)
+            o, e = r.T @ phi, np.outer(r.sum(0), share)
+            trail.append((2 * r * (1 - unit(z) @ y.T)).sum() + sigma * (r * np.log(np.maximum(r, 1e-12))).sum() + sigma * (theta * o * np.log((o + e + 1) / (e + 1))).sum())
+        out = z.copy()
+        o, e = r.T @ phi, np.outer(r.sum(0), share)
+        design = np.hstack([np.ones((n, 1)), phi])
+        for c in range(len(y)):
+            ridge = np.diag([0.0, *(alpha * e[c])])
+            w = np.linalg.solve(design.T @ (r[:, c, None] * design) + ridge, design.T @ (r[:, c, None] * z))
+            out -= r[:, c, None] * (phi @ w[1:])
+        z = out
+    return z, trail
+
+
+def test_integration_block_by_block(spark):
+    rng = np.random.default_rng(12)
+    group = np.arange(160) % 3
+    batch = rng.choice(["p", "q"], 160)
+    v = np.array([[3.0, 0, 0, 1], [0, 3, 0, 1], [0, 0, 3, 1]])[group] + 0.3 * rng.normal(size=(160, 4)) + (batch == "q")[:, None] * np.array([0, 0, 0, 1.5])
+    v = v.astype(np.float32).astype(float)
+    obs = spark.createDataFrame([(i, f"c{i}", str(b)) for i, b in enumerate(batch)], "row_id long, cell string, batch string")
+    var = spark.createDataFrame([(0, "g")], "col_id long, gene string")
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "row_id long, value array<float>")
+    sc = SingleCell(None, obs, var, obsm={"pca": table})
+    done = sc.harmonize("batch", num_clusters=3, num_blocks=4, max_iter=2, max_cluster_iter=3, tolerance=0.0, seed=5)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    start = nn.kmeans(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(unit)], "row_id long, value array<double>"), 3, seed=5)[0]
+    block = np.array([r[0] for r in obs.orderBy("row_id").select(F.pmod(F.xxhash64("row_id", F.lit(5)), F.lit(4))).collect()])
+    want, trail = slow_blocks(v, batch, block, start / np.linalg.norm(start, axis=1, keepdims=True), 0.1, 2.0, 0.2, 2, 3)
+    got = np.stack(done.obsm["harmony"].orderBy("row_id").toPandas().value)
+    steps = done.uns["harmony_steps"]
+    assert np.allclose(steps, trail, rtol=1e-4) and np.allclose(got, want, atol=1e-3)
+    assert all(b <= a + 1e-9 * abs(a) for k in (0, 3) for a, b in zip(steps[k : k + 3], steps[k + 1 : k + 3]))
