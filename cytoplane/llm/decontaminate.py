@@ -8,9 +8,11 @@ The item-sized window that stands opposite an item is embedded stretch by stretc
 of `STEPS` steps (about `STEPS` / 2 bytes) begins at each content-defined start, a pair of neighbouring bytes whose hash
 falls into one of `DENSITY` classes. A start depends on two bytes only, so edits elsewhere do not move it, and wherever in
 the window they are, the stretches between them keep their keys. Each of `REPEATS` repeats has a walk and a sample of
-places of its own. A hit of one stretch of an item of m starts, e edits in a hundred bytes, has a chance of about
-(1 - e / 100) ** (STEPS / 2); the item is missed if all m times REPEATS fail. The measured recall at a rate of edits of 5,
-10 and 15 % of the characters is 1.00, 0.98 and 0.96 (tests/llm hold it at 0.9).
+places of its own. A stretch of an item with an edit rate of e is met with a chance of about (1 - e) ** (STEPS / 2); an item
+of m starts is missed if all m times REPEATS fail, and the number of repeats is the one that leaves 1 - `RECALL` of
+copies at the rate `RATE` with FEW starts. One walk over a whole window would have to begin at each place of a document, and
+its steps would not meet again after a tenth of the characters had changed. Measured recall (tests/llm hold it at 0.9):
+README.
 
 Items with few starts (short ones, and text of few different bytes) are looked for at every byte as well: by words of 8
 bytes, one each 8 bytes of the item (shorter items: of their size), so that edited copies are met as long as one such
@@ -28,6 +30,7 @@ rows; other columns are ignored."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,10 +42,13 @@ from pyspark.sql import functions as F
 from ._shared import mix64, small_batches, texts_of
 from .shingle_join import _LOWER, _SPACE, chunks
 
-STEPS, SAMPLED, REPEATS, DENSITY = 36, 22, 3, 4
+STEPS, SAMPLED, DENSITY = 30, 18, 4
 #: Items with fewer starts than this are looked for at every byte as well.
 FEW = 8
 LEAST = 40
+#: The share of edited copies that is to be found, at the edit bound and with no more starts than FEW.
+RECALL, RATE = 0.9, 0.2
+REPEATS = math.ceil(math.log(1 - RECALL) / math.log1p(-((1 - RATE) ** (STEPS / 2))) / FEW)
 #: Items and bytes of a block.
 BLOCK, BLOCK_BYTES = 50_000, 32 << 20
 RESULT = "doc_id long, item_id long, edits int, item_bytes int, at long"
@@ -260,7 +266,7 @@ def find(docs: DataFrame, items: list[tuple[int, bytes]], name: bytes, rate: flo
     return docs.mapInArrow(work, RESULT)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """A row for each document and item of benchmark (item_id, text) that it holds."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -271,7 +277,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2) -> DataFra
     return out
 
 
-def without_matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2) -> DataFrame:
+def without_matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The rows of docs, all columns, that hold no item of benchmark."""
     small_batches(docs.sparkSession)
     schema = docs.schema
