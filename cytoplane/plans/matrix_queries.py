@@ -3,12 +3,16 @@ they join those of catalog."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import cell_analysis as ca
 from ..operators import neighbors as nn
 from ..operators import verbs
 from ..operators.packed import Packed
+from ..operators.staging import shared_dir
+from ..sources.storage import read_mtx
 from .catalog import _C, _KNN, _V, _exact, bulk, coarse, components, fine, query, w
 
 # -- packed rows ------------------------------------------------------------------------------------------------------
@@ -184,3 +188,15 @@ def q_kmeans_barbar(spark, d):
 def q_pca_lanczos(spark, d):
     """Components of all parts as genes, without a table of genes by genes."""
     return fine(spark, d).normalize().pca(num_PCs=5, hvg_column=None).obsm["pca"]
+
+
+# -- Matrix Market ----------------------------------------------------------------------------------------------------
+
+
+@query(w('SELECT cell, gene, "value" FROM X JOIN obs USING (row_id) JOIN var USING (col_id)'))
+def q_mtx_round_trip(spark, d):
+    """Written as Matrix Market text and read again, by name."""
+    folder = f"{shared_dir(spark)}/mtx-{uuid.uuid4().hex[:12]}"
+    fine(spark, d).save_mtx(folder)
+    back = read_mtx(spark, f"{folder}/matrix.mtx")
+    return back.X.join(back.obs, "row_id").join(back.var, "col_id").select(F.col("barcode").alias("cell"), "gene", "value")

@@ -10,6 +10,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import verbs
 from ..operators.cells import SingleCell
 from ..operators.pseudobulk import DE, Pseudobulk
 
@@ -94,33 +95,120 @@ def ls(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "slot string, column string, type string")
 
 
+def _first_lines(spark: SparkSession, path: str, most: int = 1000) -> list[str]:
+    """Lines from the beginning of a text file, read from its first bytes; .gz files as well."""
+    fs, p = _fs(spark, path)
+    jvm = spark._jvm
+    stream = fs.open(p)
+    if path.endswith(".gz"):
+        stream = jvm.java.util.zip.GZIPInputStream(stream)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+    try:
+        out = []
+        while len(out) < most and (line := reader.readLine()) is not None:
+            out.append(line)
+            if not line.startswith("%"):
+                break
+        return out
+    finally:
+        reader.close()
+
+
 def read_mtx(spark: SparkSession, path: str, genes: str | None = None, barcodes: str | None = None) -> SingleCell:
-    """Matrix Market text (genes by cells, as 10x writes it) with its lists of genes and barcodes beside it. Lines are
-    read by all tasks at once; the size line is the first that is no comment."""
+    """Matrix Market text (genes by cells, as 10x writes it) with its lists of genes and barcodes beside it. The header is
+    read by itself; the lines after it are read by all tasks at once. Kinds `general`, `integer`, `real` and `pattern`."""
     folder = path.rpartition("/")[0]
     name = lambda given, options: given or next(f"{folder}/{f}" for f in options if exists(spark, f"{folder}/{f}"))
+    head = _first_lines(spark, path)
+    kind = head[0].lower().split() if head and head[0].startswith("%%") else ["", "matrix", "coordinate", "real", "general"]
+    if kind[1:3] != ["matrix", "coordinate"] or kind[3] not in ("integer", "real", "pattern") or kind[4] != "general":
+        raise ValueError(f"{path}: only coordinate matrices of kind general")
+    size = [int(x) for x in head[-1].split()]
     lines = spark.read.text(path).where(~F.col("value").startswith("%"))
     parts = F.split(F.trim("value"), r"\s+")
-    size = lines.limit(1).select(parts.alias("p")).first()["p"]
-    cols = lines.select(parts.alias("p")).where(F.size("p") == 3).select((F.col("p")[1].cast("long") - 1).alias("row_id"), (F.col("p")[0].cast("long") - 1).alias("col_id"), F.col("p")[2].cast("double").alias("value"))
-    # the size line looks like an entry; it is the one whose first number is the number of genes and second of cells,
-    # and a file may have an entry of the same three numbers only in the last cell and gene, so one such line goes
-    head = tuple(int(x) for x in size)
-    same = (F.col("row_id") == head[1] - 1) & (F.col("col_id") == head[0] - 1) & (F.col("value") == head[2])
-    x = cols.where(~same)
-    if cols.where(same).count() > 1:
-        x = x.unionByName(cols.where(same).limit(1))
-    x = x.where("value <> 0").withColumn("value", F.col("value").cast("long")) if lines.where(F.col("value").contains(".")).limit(1).isEmpty() else x.where("value <> 0")
+    whole = kind[3] != "real"
+    value = F.lit(1) if kind[3] == "pattern" else F.col("p")[2]
+    fields = 2 if kind[3] == "pattern" else 3
+    x = lines.select(parts.alias("p")).where(F.size("p") == fields).select((F.col("p")[1].cast("long") - 1).alias("row_id"), (F.col("p")[0].cast("long") - 1).alias("col_id"), value.cast("double").alias("value"))
+    if fields == 3:
+        # the size line looks like an entry; a file may have an entry of the same three numbers in the last cell and gene,
+        # so that one such line goes
+        same = (F.col("row_id") == size[1] - 1) & (F.col("col_id") == size[0] - 1) & (F.col("value") == size[2])
+        real = x.where(~same)
+        x = real.unionByName(x.where(same).limit(1)) if x.where(same).count() > 1 else real
+    x = x.where("value <> 0")
+    if whole or lines.where(F.col("value").rlike("[.eE]")).limit(1).isEmpty():
+        x = x.withColumn("value", F.col("value").cast("long"))
 
     def table(file: str, key: str, names: list[str]) -> DataFrame:
-        # short lists: their order in the file is their number
-        t = spark.read.text(file, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "(\\r?\\n)+$", ""), "\r?\n")).alias("k", "line"))
-        return t.select(F.col("k").cast("long").alias(key), *(F.split("line", "\t")[i].alias(n) for i, n in enumerate(names)))
+        # lines are numbered in the order of the file: splits by where they begin, lines within them as they come
+        at = F.col("_metadata.file_block_start") if not file.endswith(".gz") else F.lit(0)
+        t = spark.read.text(file).select("value", at.alias("_split"), F.monotonically_increasing_id().alias("_line"))
+        return verbs.numbered(t, [F.asc("_split"), F.asc("_line")], name=key).select(key, *(F.split("value", "\t")[i].alias(n) for i, n in enumerate(names)))
 
     var = table(name(genes, ["features.tsv.gz", "features.tsv", "genes.tsv.gz", "genes.tsv"]), "col_id", ["id", "gene"]).select("col_id", F.coalesce("gene", "id").alias("gene"), "id")
     return SingleCell(x, table(name(barcodes, ["barcodes.tsv.gz", "barcodes.tsv"]), "row_id", ["barcode"]), var)
 
 
+def _one_file(spark: SparkSession, lines: DataFrame, path: str, head: str = "") -> None:
+    """The lines (value), in the order of the table's partitions, as one text file after head. All tasks write parts; these
+    are joined by the file system itself where it can (concat), else copied one after another, a buffer at a time."""
+    jvm, parts = spark._jvm, f"{path}.parts"
+    lines.write.mode("overwrite").text(parts)
+    fs, target = _fs(spark, path)
+    names = [p for p in children(spark, parts) if p.startswith("part-")]
+    paths = [jvm.org.apache.hadoop.fs.Path(f"{parts}/{n}") for n in names]
+    out = fs.create(target, True)
+    try:
+        out.write(bytearray(head.encode()))
+    finally:
+        out.close()
+    try:
+        array = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Path, len(paths))
+        for k, p in enumerate(paths):
+            array[k] = p
+        if not head or not paths:
+            raise ValueError("nothing to join to")
+        fs.concat(target, array)
+    except Exception:  # most file systems cannot: then the parts are copied
+        out = fs.create(target, True)
+        try:
+            out.write(bytearray(head.encode()))
+            for p in paths:
+                part = fs.open(p)
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+                finally:
+                    part.close()
+        finally:
+            out.close()
+    fs.delete(jvm.org.apache.hadoop.fs.Path(parts), True)
+
+
+def save_mtx(sc: SingleCell, directory: str, overwrite: bool = False) -> None:
+    """matrix.mtx (genes by cells), features.tsv and barcodes.tsv, as 10x writes them: names and counts, and nothing else
+    of the dataset. Cells and genes are numbered in the order of their ids; entries stand in the order of cells, then
+    genes. The header's totals are counted first. Names with tabs or line ends, and null names, raise ValueError."""
+    spark = sc.obs.sparkSession
+    _fresh(spark, directory, overwrite)
+    numbers = {}
+    for axis, key, file in (("obs", "row_id", "barcodes.tsv"), ("var", "col_id", "features.tsv")):
+        name = sc.name_column(axis)
+        table = getattr(sc, axis).select(key, F.col(name).cast("string").alias("name"))
+        if bad := table.where(F.col("name").isNull() | F.col("name").rlike(r"[\t\r\n]")).limit(1).collect():
+            raise ValueError(f"{bad[0]['name']!r} can't be written as a name")
+        numbers[key] = verbs.numbered(table, [F.asc(key)], name="at")
+        line = F.col("name") if axis == "obs" else F.concat_ws("\t", "name", "name", F.lit("Gene Expression"))
+        _one_file(spark, numbers[key].repartitionByRange("at").sortWithinPartitions("at").select(line.alias("value")), f"{directory}/{file}")
+    places = {key: t.select(key, (F.col("at") + 1).alias(f"{key}_at")) for key, t in numbers.items()}
+    x = sc.X.join(places["row_id"], "row_id").join(places["col_id"], "col_id").select("row_id_at", "col_id_at", "value")
+    whole = x.schema["value"].dataType.typeName() not in ("float", "double")
+    cells, genes = sc.shape
+    entries = x.repartitionByRange("row_id_at", "col_id_at").sortWithinPartitions("row_id_at", "col_id_at")
+    head = f"%%MatrixMarket matrix coordinate {'integer' if whole else 'real'} general\n{genes} {cells} {x.count()}\n"
+    _one_file(spark, entries.select(F.concat_ws(" ", "col_id_at", "row_id_at", F.col("value").cast("string")).alias("value")), f"{directory}/matrix.mtx", head)
+
+
 def read_h5ad(spark: SparkSession, path: str) -> SingleCell:
     try:
         import h5py
@@ -181,6 +269,7 @@ def load_de(spark: SparkSession, directory: str) -> DE:
 
 
 SingleCell.save = save
+SingleCell.save_mtx = save_mtx
 for _slot in ("obs", "var"):
     setattr(SingleCell, f"read_{_slot}", staticmethod(globals()[f"read_{_slot}"]))
 Pseudobulk.save = save_pseudobulk

@@ -398,3 +398,45 @@ def test_integration_block_by_block(spark):
     steps = done.uns["harmony_steps"]
     assert np.allclose(steps, trail, rtol=1e-4) and np.allclose(got, want, atol=1e-3)
     assert all(b <= a + 1e-9 * abs(a) for k in (0, 3) for a, b in zip(steps[k : k + 3], steps[k + 1 : k + 3]))
+
+
+# -- Matrix Market ----------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("parts, whole", [(1, True), (9, True), (9, False)])
+def test_matrix_market_round_trip(spark, tmp_path, parts, whole):
+    rng = np.random.default_rng(13)
+    m = rng.integers(0, 3, (40, 30))
+    m[4], m[:, 7] = 0, 0  # an empty cell, a gene without counts
+    m = m if whole else m * 0.25
+    sc = dataset(spark, m)
+    far = lambda c: (F.col(c) * 7 + 3).alias(c)  # noqa: E731  ids need not be dense
+    sc = SingleCell(sc.X.select(far("row_id"), far("col_id"), "value").repartition(parts), sc.obs.withColumn("row_id", far("row_id")).repartition(parts), sc.var.withColumn("col_id", far("col_id")).repartition(parts))
+    path = f"file://{tmp_path}/m"
+    sc.save_mtx(path)
+    text = (tmp_path / "m/matrix.mtx").read_text().split("\n")
+    assert text[0] == f"%%MatrixMarket matrix coordinate {'integer' if whole else 'real'} general" and text[1] == f"30 40 {np.count_nonzero(m)}"
+    cells = [int(line.split()[1]) for line in text[2:] if line]
+    assert cells == sorted(cells) and len(cells) == np.count_nonzero(m)
+    assert (tmp_path / "m/barcodes.tsv").read_text().split() == [f"c{k}" for k in range(40)]
+    back = load(spark, f"{path}/matrix.mtx")
+    assert back.shape == (40, 30) and back.X.schema["value"].dataType.typeName() == ("long" if whole else "double")
+    assert entries(back.X) == sorted((int(i), int(j), m[i, j]) for i, j in zip(*np.nonzero(m)))
+    assert [r["gene"] for r in back.var.orderBy("col_id").collect()] == [f"g{k}" for k in range(30)]
+    with pytest.raises(FileExistsError):
+        sc.save_mtx(path)
+    sc.save_mtx(path, overwrite=True)
+    with pytest.raises(ValueError):
+        sc.with_columns_var(gene=F.lit("a\tb")).save_mtx(path, overwrite=True)
+
+
+def test_matrix_market_kinds(spark, tmp_path):
+    (tmp_path / "features.tsv").write_text("a\nb\n")
+    (tmp_path / "barcodes.tsv").write_text("x\ny\nz\n")
+    file = tmp_path / "m.mtx"
+    for head, lines, want in (("integer", "2 3 2\n2 3 2\n1 1 5\n", [(0, 0, 5), (2, 1, 2)]), ("pattern", "2 3 2\n2 3\n1 1\n", [(0, 0, 1), (2, 1, 1)]), ("real", "2 3 1\n1 2 0.5\n", [(1, 0, 0.5)]), ("integer", "2 3 0\n", [])):
+        file.write_text(f"%%MatrixMarket matrix coordinate {head} general\n% made by hand\n{lines}")
+        assert entries(load(spark, f"file://{file}").X) == want
+    file.write_text("%%MatrixMarket matrix array real general\n2 3\n")
+    with pytest.raises(ValueError):
+        load(spark, f"file://{file}")
