@@ -60,6 +60,13 @@ def bulk(spark: SparkSession, d: str) -> Pseudobulk:
     return coarse(spark, d).pseudobulk("sample", "cell_type")
 
 
+def counted(pb: Pseudobulk) -> Pseudobulk:
+    """Without samples and genes of a type that have no counts at all; such have no library sizes."""
+    seen = pb.X.where("value > 0")
+    keep = lambda t, keys: t.join(seen.select(*keys).distinct(), keys, "left_semi").select(*t.columns)
+    return replace(pb, obs=keep(pb.obs, ["cell_type", "sample"]), var=keep(pb.var, ["cell_type", "gene"]))
+
+
 def promo():
     return F.col("type") == "PROMO"
 
@@ -311,9 +318,21 @@ def q_log_cpm(spark, d):
     return _plain_sizes(bulk(spark, d)).log_cpm().X.select("cell_type", "sample", "gene", F.round("value", 7).alias("value"))
 
 
-@query()
+_TMM = _C + """,
+PE AS (SELECT * FROM PD WHERE (cell_type, "sample") IN (SELECT (cell_type, "sample") FROM PX) AND (cell_type, gene) IN (SELECT (cell_type, gene) FROM PX)),
+T0 AS (SELECT cell_type, "sample", sum("value")::DOUBLE l, quantile_cont("value"::DOUBLE, 0.75) q, sum(sqrt("value"::DOUBLE)) root FROM PE GROUP BY 1, 2),
+T1 AS (SELECT *, q / l f75, count(*) OVER (PARTITION BY cell_type) n, median(q / l) OVER (PARTITION BY cell_type) mid, avg(q / l) OVER (PARTITION BY cell_type) av FROM T0),
+T2 AS (SELECT cell_type, arg_min("sample", (round(CASE WHEN mid < 1e-20 THEN -root ELSE abs(f75 - av) END, 12), "sample")) ref FROM T1 GROUP BY 1),
+T3 AS (SELECT PE.cell_type, gene, "value"::DOUBLE xr, l lr FROM PE JOIN T2 ON T2.cell_type = PE.cell_type AND ref = PE."sample" JOIN T0 ON T0.cell_type = PE.cell_type AND T0."sample" = ref WHERE "value" > 0),
+T4 AS (SELECT PE.cell_type, PE."sample", log2((lr / l) * ("value"::DOUBLE / xr)) m, (log2("value"::DOUBLE / l) + log2(xr / lr)) / 2 a, 1 / (1 / "value"::DOUBLE + 1 / xr - 1 / l - 1 / lr) wt FROM PE JOIN T3 ON T3.cell_type = PE.cell_type AND T3.gene = PE.gene JOIN T0 ON T0.cell_type = PE.cell_type AND T0."sample" = PE."sample" WHERE "value" > 0),
+T5 AS (SELECT *, rank() OVER (PARTITION BY cell_type, "sample" ORDER BY m) + (count(*) OVER (PARTITION BY cell_type, "sample", m) - 1) / 2.0 rm, rank() OVER (PARTITION BY cell_type, "sample" ORDER BY a) + (count(*) OVER (PARTITION BY cell_type, "sample", a) - 1) / 2.0 ra, count(*) OVER (PARTITION BY cell_type, "sample") k, max(abs(m)) OVER (PARTITION BY cell_type, "sample") big FROM T4),
+T6 AS (SELECT cell_type, "sample", CASE WHEN max(big) < 1e-6 THEN 1.0 ELSE pow(2.0, sum(wt * m) / sum(wt)) END f FROM T5 WHERE big < 1e-6 OR (rm BETWEEN floor(k * 0.3) + 1 AND k - floor(k * 0.3) AND ra BETWEEN floor(k * 0.05) + 1 AND k - floor(k * 0.05)) GROUP BY 1, 2),
+T7 AS (SELECT cell_type, "sample", l, n, coalesce(f, 1.0) f FROM T1 LEFT JOIN T6 USING (cell_type, "sample"))"""
+
+
+@query(w('SELECT cell_type, "sample", round(l * CASE WHEN n = 1 THEN 1.0 ELSE f / exp(avg(ln(f)) OVER (PARTITION BY cell_type)) END, 4) library_size FROM T7', _TMM))
 def q_library_size_tmm(spark, d):
-    return bulk(spark, d).library_size().obs.select("cell_type", "sample", F.round("library_size", 4).alias("library_size"))
+    return counted(bulk(spark, d)).library_size().obs.select("cell_type", "sample", F.round("library_size", 4).alias("library_size"))
 
 
 def _tests(spark, d) -> DataFrame:
@@ -355,7 +374,7 @@ def q_num_hits(spark, d):
 
 @query()
 def q_voom_de(spark, d):
-    pb = bulk(spark, d).library_size()
+    pb = counted(bulk(spark, d)).library_size()
     return pb.DE("~ treatment", group="treatment", return_voom_info=False).table
 
 

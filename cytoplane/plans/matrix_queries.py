@@ -13,7 +13,7 @@ from ..operators import verbs
 from ..operators.packed import Packed
 from ..operators.staging import shared_dir
 from ..sources.storage import read_mtx
-from .catalog import _C, _KNN, _V, _exact, bulk, coarse, components, fine, query, w
+from .catalog import _C, _KNN, _V, _VOTE, _exact, bulk, coarse, components, counted, fine, query, w
 
 # -- packed rows ------------------------------------------------------------------------------------------------------
 
@@ -132,7 +132,7 @@ def q_levels_united(spark, d):
 @query(w('SELECT DISTINCT cell_type, coefficient FROM PO, (VALUES (\'treatmentF\'), (\'treatmentO\')) t(coefficient)', _C))
 def q_levels_of_design(spark, d):
     """The first level, here the one that sorts last, is what the others are compared with."""
-    pb = bulk(spark, d).categorical_obs("treatment", ["P", "F", "O"]).library_size()
+    pb = counted(bulk(spark, d)).categorical_obs("treatment", ["P", "F", "O"]).library_size()
     return pb.de("~ treatment", coefficient=["treatmentF", "treatmentO"], group=False, strict=True, return_voom_info=False).table.select("cell_type", "coefficient").distinct()
 
 
@@ -179,6 +179,14 @@ def q_neighbor_pairs(spark, d):
     return pairs.withColumn("scaled", F.round("scaled", 6))
 
 
+@query(w("SELECT i row_id, 'l' || label kind, round(c, 6) confidence FROM RK WHERE k = 1", _VOTE))
+def q_label_transfer_from(spark, d):
+    """The whole method, with exact neighbours: every fifth cell takes the label of the others."""
+    sc = components(spark, d)
+    done = sc.filter_obs(F.col("row_id") % 5 == 0).drop_obs("label").label_transfer_from(sc.filter_obs(F.col("row_id") % 5 != 0), "label", "kind", num_neighbors=10, Harmony_key="pca", num_clusters=0)
+    return done.obs.select("row_id", "kind", F.round("kind_confidence", 6).alias("confidence"))
+
+
 @query()
 def q_kmeans_barbar(spark, d):
     return nn.kmeans(components(spark, d).obsm["pca"], 10, init="k-means||")[1]

@@ -440,3 +440,45 @@ def test_matrix_market_kinds(spark, tmp_path):
     file.write_text("%%MatrixMarket matrix array real general\n2 3\n")
     with pytest.raises(ValueError):
         load(spark, f"file://{file}")
+
+
+# -- sizes and labels -------------------------------------------------------------------------------------------------
+
+
+def slow_sizes(m, trim=0.3, sum_trim=0.05):
+    """Trimmed means of M values, sample by sample, of samples x genes."""
+    total = m.sum(1)
+    upper = np.quantile(m, 0.75, axis=1) / total
+    ref = np.argmax(np.sqrt(m).sum(1)) if np.median(upper) < 1e-20 else np.argmin(np.round(np.abs(upper - upper.mean()), 12))
+    f = []
+    for x, n in zip(m, total):
+        both = (x > 0) & (m[ref] > 0)
+        a, b = x[both] / n, m[ref][both] / total[ref]
+        ratio, level = np.log2(a / b), (np.log2(a) + np.log2(b)) / 2
+        if np.abs(ratio).max() < 1e-6:
+            f.append(1.0)
+            continue
+        var = (n - x[both]) / n / x[both] + (total[ref] - m[ref][both]) / total[ref] / m[ref][both]
+        k = both.sum()
+        rank = lambda v: pd.Series(v).rank().to_numpy()
+        keep = (rank(ratio) >= int(k * trim) + 1) & (rank(ratio) <= k - int(k * trim)) & (rank(level) >= int(k * sum_trim) + 1) & (rank(level) <= k - int(k * sum_trim))
+        f.append(2 ** ((ratio[keep] / var[keep]).sum() / (1 / var[keep]).sum()))
+    f = np.array(f)
+    return total * f / np.exp(np.log(f).mean())
+
+
+def test_library_sizes_against_a_slow_version(spark):
+    rng = np.random.default_rng(14)
+    types, x, obs, var = {}, [], [], []
+    for t, samples, genes, low in (("A", 7, 120, 30), ("B", 5, 60, 1), ("one", 1, 9, 20)):
+        level = rng.gamma(0.5, low * 4, genes) + 0.3
+        m = rng.poisson(level * rng.uniform(0.4, 2.5, (samples, 1)) * np.where(rng.random((samples, genes)) < 0.1, 8, 1)).astype(float)
+        m = m[:, m.sum(0) > 0]
+        types[t] = m
+        obs += [(t, f"s{i}") for i in range(samples)]
+        var += [(t, f"g{j:03}") for j in range(m.shape[1])]
+        x += [(t, f"s{i}", f"g{j:03}", int(m[i, j])) for i, j in zip(*np.nonzero(m))]
+    pb = Pseudobulk(spark.createDataFrame(x, "cell_type string, sample string, gene string, value long"), spark.createDataFrame(obs, "cell_type string, sample string"), spark.createDataFrame(var, "cell_type string, gene string"))
+    got = pb.library_size().obs.orderBy("cell_type", "sample").toPandas()
+    for t, m in types.items():
+        assert np.allclose(got[got.cell_type == t].library_size, slow_sizes(m) if len(m) > 1 else m.sum(1), rtol=1e-9)
