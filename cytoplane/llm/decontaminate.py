@@ -115,6 +115,61 @@ def edit_distance(item: bytes, text: bytes) -> tuple[int, int]:
     return best, end
 
 
+#: Pairs of an item and a stretch of text that are compared side by side.
+SIDE = 2048
+_ONE = np.uint64(1)
+
+
+def _bits(item: bytes) -> np.ndarray:
+    """[byte, word]: at which places of the item, 64 to a word, the byte stands."""
+    out = np.zeros((256, -(-len(item) // 64)), np.uint64)
+    at = np.arange(len(item), dtype=np.uint64)
+    np.bitwise_or.at(out, (np.frombuffer(item, np.uint8), (at // np.uint64(64)).astype(np.int64)), _ONE << (at % np.uint64(64)))
+    return out
+
+
+def edit_distances(items: list[bytes], which: np.ndarray, text: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """edit_distance of items[which] and text[lo:hi], pair by pair, for many pairs side by side: the same bits in words of 64,
+    with what a step carries from word to word (Hyyro 2003)."""
+    best, end = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
+    size = np.array([len(t) for t in items], np.int64)
+    words = -(-size // 64)
+    order = np.lexsort((hi - lo, words[which]))
+    cuts = np.flatnonzero(np.diff(words[which][order])) + 1
+    for group in np.split(order, cuts):
+        for at in np.split(group, np.arange(SIDE, len(group), SIDE)):
+            if not len(at):
+                continue
+            used, item = np.unique(which[at], return_inverse=True)
+            tables = np.stack([_bits(items[k]) for k in used.tolist()])
+            w, n, length = tables.shape[2], size[which[at]], (hi - lo)[at]
+            top = ((n - 1) % 64).astype(np.uint64)
+            plus, minus = np.full((w, len(at)), ~np.uint64(0)), np.zeros((w, len(at)), np.uint64)
+            now, low, where = n.copy(), n.copy(), np.zeros(len(at), np.int64)
+            for k in range(int(length.max())):
+                first = int(np.searchsorted(length, k, side="right"))  # shorter ones are through
+                c = text[lo[at[first:]] + k]
+                up = down = np.zeros(len(at) - first, np.uint64)  # what the word before hands on
+                for j in range(w):
+                    p, m = plus[j, first:], minus[j, first:]
+                    eq = tables[item[first:], c, j]
+                    x = eq | m
+                    eq = eq | down
+                    d = (((eq & p) + p) ^ p) | eq
+                    above, below = m | ~(d | p), p & d
+                    last = top[first:] if j == w - 1 else np.uint64(63)
+                    out_up, out_down = (above >> last) & _ONE, (below >> last) & _ONE
+                    above, below = (above << _ONE) | up, (below << _ONE) | down
+                    plus[j, first:], minus[j, first:] = below | ~(x | above), above & x
+                    up, down = out_up, out_down
+                now[first:] += up.astype(np.int64) - down.astype(np.int64)
+                less = now[first:] < low[first:]
+                low[first:][less] = now[first:][less]
+                where[first:][less] = k + 1
+            best[at], end[at] = low, where
+    return best, end
+
+
 def triples(raw: np.ndarray) -> np.ndarray:
     """The three-byte strings of raw, hashed to 16 bits."""
     x = raw.astype(np.uint16)
@@ -203,30 +258,34 @@ class Index:
 def hits(index: Index, b: pa.RecordBatch, rate: float) -> list[tuple[int, int, int, int]]:
     """(row, number of the item, edits, begin) of the items in the texts of a batch."""
     raw, off = texts_of(b)
-    raw, rows = fold(raw), []
+    raw, size = fold(raw), index.size
+    slack = (size * rate).astype(np.int64) + 8
+    bound = np.where(size >= LEAST, (rate * size).astype(np.int64), 0)
+    tried: list[np.ndarray] = []
     for lo, hi in chunks(off):
         part, at = raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
-        found = index.candidates(part, at)
+        d, n, begin = index.candidates(part, at)
+        if not len(d):
+            continue
         # places of one item in one document that lie close together are tried as one stretch of text
-        d, n, begin = found
-        size, seen = index.size, triples(part)
-        slack = (size * rate).astype(np.int64) + 8
-        near = (d[1:] == d[:-1]) & (n[1:] == n[:-1]) & (np.diff(begin) <= slack[n[1:]]) if len(d) else np.zeros(0, bool)
-        first = np.flatnonzero(np.concatenate([[True], ~near])) if len(d) else np.zeros(0, np.int64)
+        near = (d[1:] == d[:-1]) & (n[1:] == n[:-1]) & (np.diff(begin) <= slack[n[1:]])
+        first = np.flatnonzero(np.concatenate([[True], ~near]))
         last = np.append(first[1:], len(d)) - 1
-        best: dict[tuple[int, int], tuple[int, int]] = {}
-        for i, j in zip(first.tolist(), last.tolist()):
-            doc, item = int(d[i]), int(n[i])
-            text, have = index.items[item][1], best.get((doc, item))
-            a, z = max(int(begin[i] - slack[item]), int(at[doc])), min(int(begin[j] + size[item] + slack[item]), int(at[doc + 1]))
-            most = int(rate * len(text)) if len(text) >= LEAST else 0
-            if have and have[0] == 0 or z - a < len(text) - most or not index.alike(item, seen[a : max(z - 2, a)], most):
-                continue
-            edits, end = edit_distance(text, part[a:z].tobytes())
-            if edits <= most and (have is None or edits < have[0]):
-                best[doc, item] = edits, max(a + end - len(text) - int(at[doc]), 0)
-        rows += [(lo + doc, item, *x) for (doc, item), x in sorted(best.items())]
-    return rows
+        doc, item, seen = d[first], n[first], triples(part)
+        a, z = np.maximum(begin[first] - slack[item], at[doc]), np.minimum(begin[last] + size[item] + slack[item], at[doc + 1])
+        may = np.flatnonzero(z - a >= size[item] - bound[item])
+        may = may[np.array([index.alike(int(item[k]), seen[a[k] : max(int(z[k]) - 2, int(a[k]))], int(bound[item[k]])) for k in may.tolist()], bool)]
+        tried.append(np.stack([doc[may] + lo, item[may], a[may] + off[lo], z[may] + off[lo]]))
+    if not tried:
+        return []
+    doc, item, a, z = np.concatenate(tried, 1)
+    edits, end = edit_distances([t for _, t in index.items], item, raw, a, z)
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+    for k in np.flatnonzero(edits <= bound[item]).tolist():
+        key = int(doc[k]), int(item[k])
+        if key not in best or edits[k] < best[key][0]:
+            best[key] = int(edits[k]), max(int(a[k] + end[k] - size[item[k]] - off[doc[k]]), 0)
+    return [(*key, *x) for key, x in sorted(best.items())]
 
 
 _built: dict[bytes, Index] = {}

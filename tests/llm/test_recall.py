@@ -59,3 +59,17 @@ def test_repeats_follow_from_the_target():
     chance = (1 - decontaminate.RATE) ** (decontaminate.STEPS / 2)
     tries = decontaminate.REPEATS * decontaminate.FEW
     assert 1 - (1 - chance) ** tries >= decontaminate.RECALL > 1 - (1 - chance) ** (tries - decontaminate.FEW)
+
+
+def test_distances_side_by_side(monkeypatch):
+    """Of items of one word and of several, against one pair at a time."""
+    monkeypatch.setattr(decontaminate, "SIDE", 7)
+    rnd = random.Random(9)
+    items = [bytes(rnd.choice(b"abc ") for _ in range(n)) for n in (1, 2, 40, 63, 64, 65, 127, 128, 129, 300)]
+    text = bytes(rnd.choice(b"abc ") for _ in range(3000)) + b"".join(items)
+    which, lo, hi = [], [], []
+    for _ in range(120):
+        k, a = rnd.randrange(len(items)), rnd.randrange(len(text))
+        which.append(k), lo.append(a), hi.append(min(len(text), a + rnd.randrange(500)))
+    best, end = decontaminate.edit_distances(items, np.array(which), np.frombuffer(text, np.uint8), np.array(lo), np.array(hi))
+    assert [tuple(map(int, x)) for x in zip(best, end)] == [decontaminate.edit_distance(items[k], text[a:z]) for k, a, z in zip(which, lo, hi)]
