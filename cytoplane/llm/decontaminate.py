@@ -44,7 +44,7 @@ from .shingle_join import _LOWER, _SPACE, chunks
 
 STEPS, SAMPLED, DENSITY = 30, 18, 4
 #: Items with fewer starts than this are looked for at every byte as well.
-FEW = 8
+FEW = 10
 LEAST = 40
 #: The share of edited copies that is to be found, at the edit bound and with no more starts than FEW.
 RECALL, RATE = 0.9, 0.2
@@ -77,19 +77,24 @@ def starts(raw: np.ndarray) -> np.ndarray:
 
 
 def keys(padded: np.ndarray, begin: np.ndarray, repeat: int) -> tuple[np.ndarray, np.ndarray]:
-    """The LSH key of the walk from each start, and the last byte that it saw. padded: folded text and STEPS zeros."""
+    """The LSH key of the walk from each start, and the last byte that it saw. padded: see padded_text."""
     at, key = begin.copy(), np.full(len(begin), repeat + 1, np.uint64)
     sampled = set(_PLACES[repeat].tolist())
     for j in range(STEPS):
         c = padded[at]
         if j in sampled:
             key *= np.uint64(0x9E3779B97F4A7C15)
-            key += c
+            key += c.view(np.uint64)
         if j < STEPS - 1:
             at += _MOVES[repeat, j][c]
     return mix64(key), at
 
 
+def padded_text(raw: np.ndarray) -> np.ndarray:
+    """Folded text and STEPS zeros, as the numbers that walks take places with."""
+    return np.concatenate([raw, np.zeros(STEPS, np.uint8)]).astype(np.int64)
+
+
 def edit_distance(item: bytes, text: bytes) -> tuple[int, int]:
     """The least number of edits that turn item into a part of text, and where that part ends."""
     where: dict[int, int] = {}
@@ -184,7 +189,7 @@ class Index:
         self.size = np.array([len(t) for _, t in items], np.int64)
         raw = np.frombuffer(b"".join(t for _, t in items), np.uint8)
         off = np.concatenate([[0], np.cumsum(self.size)])
-        padded, begin = np.concatenate([raw, np.zeros(STEPS, np.uint8)]), starts(raw)
+        padded, begin = padded_text(raw), starts(raw)
         of = np.searchsorted(off, begin, side="right") - 1
         self.table, most = [], np.zeros(len(items), np.int64)
         for r in range(REPEATS):
@@ -226,7 +231,7 @@ class Index:
             out.append(np.stack([d[ok], who[j][ok], (at - where[j])[ok]]))
 
         if len(raw) > 1:
-            begin, padded = starts(raw), np.concatenate([raw, np.zeros(STEPS, np.uint8)])
+            begin, padded = starts(raw), padded_text(raw)
             for r in range(REPEATS):
                 table, who, where, sieve = self.table[r]
                 key, last = keys(padded, begin, r)
