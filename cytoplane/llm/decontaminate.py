@@ -49,6 +49,8 @@ LEAST = 40
 #: The share of edited copies that is to be found, at the edit bound and with no more starts than FEW.
 RECALL, RATE = 0.9, 0.2
 REPEATS = math.ceil(math.log(1 - RECALL) / math.log1p(-((1 - RATE) ** (STEPS / 2))) / FEW)
+#: Walks that are taken side by side.
+WALKS = 8192
 #: Items and bytes of a block.
 BLOCK, BLOCK_BYTES = 50_000, 32 << 20
 RESULT = "doc_id long, item_id long, edits int, item_bytes int, at long"
@@ -77,22 +79,19 @@ def starts(raw: np.ndarray) -> np.ndarray:
 
 
 def keys(padded: np.ndarray, begin: np.ndarray, repeat: int) -> tuple[np.ndarray, np.ndarray]:
-    """The LSH key of the walk from each start, and the last byte that it saw. padded: see padded_text."""
-    at, key = begin.copy(), np.full(len(begin), repeat + 1, np.uint64)
+    """The LSH key of the walk from each start, and the last byte that it saw. padded: folded text and STEPS zeros."""
+    key, last = np.full(len(begin), repeat + 1, np.uint64), begin.copy()
     sampled = set(_PLACES[repeat].tolist())
-    for j in range(STEPS):
-        c = padded[at]
-        if j in sampled:
-            key *= np.uint64(0x9E3779B97F4A7C15)
-            key += c.view(np.uint64)
-        if j < STEPS - 1:
-            at += _MOVES[repeat, j][c]
-    return mix64(key), at
-
-
-def padded_text(raw: np.ndarray) -> np.ndarray:
-    """Folded text and STEPS zeros, as the numbers that walks take places with."""
-    return np.concatenate([raw, np.zeros(STEPS, np.uint8)]).astype(np.int64)
+    for lo in range(0, len(begin), WALKS):  # so many at a time stay in a core's own cache
+        k, at = key[lo : lo + WALKS], last[lo : lo + WALKS]
+        for j in range(STEPS):
+            c = padded[at]
+            if j in sampled:
+                k *= np.uint64(0x9E3779B97F4A7C15)
+                k += c
+            if j < STEPS - 1:
+                at += _MOVES[repeat, j][c]
+    return mix64(key), last
 
 
 def edit_distance(item: bytes, text: bytes) -> tuple[int, int]:
@@ -148,16 +147,17 @@ def edit_distances(items: list[bytes], which: np.ndarray, text: np.ndarray, lo:
             used, item = np.unique(which[at], return_inverse=True)
             tables = np.stack([_bits(items[k]) for k in used.tolist()])
             w, n, length = tables.shape[2], size[which[at]], (hi - lo)[at]
+            tables, row = np.ascontiguousarray(tables.reshape(-1, w).T), item * 256
             top = ((n - 1) % 64).astype(np.uint64)
             plus, minus = np.full((w, len(at)), ~np.uint64(0)), np.zeros((w, len(at)), np.uint64)
             now, low, where = n.copy(), n.copy(), np.zeros(len(at), np.int64)
             for k in range(int(length.max())):
                 first = int(np.searchsorted(length, k, side="right"))  # shorter ones are through
-                c = text[lo[at[first:]] + k]
+                place = row[first:] + text[lo[at[first:]] + k]
                 up = down = np.zeros(len(at) - first, np.uint64)  # what the word before hands on
                 for j in range(w):
                     p, m = plus[j, first:], minus[j, first:]
-                    eq = tables[item[first:], c, j]
+                    eq = tables[j].take(place)
                     x = eq | m
                     eq = eq | down
                     d = (((eq & p) + p) ^ p) | eq
@@ -189,7 +189,7 @@ class Index:
         self.size = np.array([len(t) for _, t in items], np.int64)
         raw = np.frombuffer(b"".join(t for _, t in items), np.uint8)
         off = np.concatenate([[0], np.cumsum(self.size)])
-        padded, begin = padded_text(raw), starts(raw)
+        padded, begin = np.concatenate([raw, np.zeros(STEPS, np.uint8)]), starts(raw)
         of = np.searchsorted(off, begin, side="right") - 1
         self.table, most = [], np.zeros(len(items), np.int64)
         for r in range(REPEATS):
@@ -231,7 +231,7 @@ class Index:
             out.append(np.stack([d[ok], who[j][ok], (at - where[j])[ok]]))
 
         if len(raw) > 1:
-            begin, padded = starts(raw), padded_text(raw)
+            begin, padded = starts(raw), np.concatenate([raw, np.zeros(STEPS, np.uint8)])
             for r in range(REPEATS):
                 table, who, where, sieve = self.table[r]
                 key, last = keys(padded, begin, r)
