@@ -36,3 +36,9 @@ def test_no_sample_left_is_an_empty_table(spark, full):
 
 def test_no_sample_left_is_an_empty_table_of_genes(spark, full):
     same_as_sql(spark, full, "pb_qc_genes")
+
+
+def test_sums_of_samples_are_computed_once(spark, full):
+    pb = catalog.bulk(spark, full[0])
+    for t in (pb.X, pb.obs):
+        assert t.inputFiles() and all("/pseudobulk-" in f for f in t.inputFiles())
