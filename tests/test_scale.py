@@ -1,8 +1,11 @@
 """Faults that showed on larger tables, on small ones made to have them."""
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from cytoplane.operators import neighbors as nn
 from cytoplane.plans import catalog, matrix_queries, verb_queries  # noqa: F401  the others add their queries to the first
 
 
@@ -42,3 +45,17 @@ def test_sums_of_samples_are_computed_once(spark, full):
     pb = catalog.bulk(spark, full[0])
     for t in (pb.X, pb.obs):
         assert t.inputFiles() and all("/pseudobulk-" in f for f in t.inputFiles())
+
+
+def test_exact_neighbours_are_found_in_many_tasks_and_once(spark):
+    n = 4_500
+    v = spark.range(n).select(F.col("id").alias("row_id"), F.array(*(F.rand(k).cast("float") for k in range(3))).alias("value"))
+    v = spark.createDataFrame(v.toPandas(), "row_id long, value array<float>")
+    found = nn.nearest(v, v, 3, same=True)
+    assert all("/nearest-" in f for f in found.inputFiles())
+    got = found.orderBy("i", "rank").toPandas()
+    m = np.stack(v.orderBy("row_id").toPandas().value.map(np.asarray)).astype(float)
+    d = ((m[::100, None] - m[None]) ** 2).sum(2)
+    d[np.arange(len(d)), np.arange(0, n, 100)] = np.inf
+    assert (got[got.i % 100 == 0].j.to_numpy().reshape(-1, 3) == np.argsort(d, 1, kind="stable")[:, :3]).all()
+    assert [nn.blocks(k) for k in (0, 1, 2_000, 4_500, 24_000, 240_000, 1_200_000)] == [1, 1, 1, 3, 12, 12, 60]
