@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cytoplane.operators import embeddings, lanczos
 from cytoplane.operators import neighbors as nn
 from cytoplane.plans import catalog, matrix_queries, verb_queries  # noqa: F401  the others add their queries to the first
 
@@ -59,3 +60,17 @@ def test_exact_neighbours_are_found_in_many_tasks_and_once(spark):
     d[np.arange(len(d)), np.arange(0, n, 100)] = np.inf
     assert (got[got.i % 100 == 0].j.to_numpy().reshape(-1, 3) == np.argsort(d, 1, kind="stable")[:, :3]).all()
     assert [nn.blocks(k) for k in (0, 1, 2_000, 4_500, 24_000, 240_000, 1_200_000)] == [1, 1, 1, 3, 12, 12, 60]
+
+
+def test_close_singular_values_part(monkeypatch):
+    """A matrix of noise: its largest values lie close together, so that a small subspace never parts them."""
+    a = np.random.default_rng(5).normal(size=(2_500, 2_000))
+    monkeypatch.setattr(lanczos, "normal_product", lambda rows, y, mean, scale, cells: a.T @ (a @ y))
+    value, _ = lanczos.singular_vectors(None, np.zeros(2_000), np.ones(2_000), 2_500, 5, tolerance=1e-6, max_passes=60)
+    assert np.allclose(value, np.linalg.svd(a, compute_uv=False)[:5], rtol=1e-9)
+
+
+def test_components_read_the_counts_once(spark, full):
+    _, mean, dev = embeddings.standardised(catalog.coarse(spark, full[0]), catalog.coarse(spark, full[0]).var, 640)
+    want = full[1].execute("SELECT avg(v), stddev_samp(v) FROM (SELECT sum(l_quantity) v, p_brand b FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey, 2) GROUP BY b ORDER BY b").fetchall()
+    assert np.allclose(np.stack([mean, dev], 1), want)
