@@ -134,9 +134,6 @@ def plan(hist: dict[int, int], capacity: int = 2048) -> tuple[list[tuple[dict[in
     full = left.pop(capacity, 0)
     out: list[tuple[dict[int, int], int]] = [({capacity: 1}, full)] if full else []
     least = size_bound(left, capacity)
-    for way in (best_fit, fill):
-        if number(done := way(left, capacity)) <= least * (1 + NEAR):
-            return out + done, full + least  # proven; nothing is left to solve
     bound, small, rounds = 0.0, min(left, default=0), ROUNDS[0]
     price = {n: float(n) for n in left}
     while left:

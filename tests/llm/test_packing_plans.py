@@ -70,3 +70,13 @@ def test_bounds_and_plans_of_few_pieces():
             check({n: k for n, k in hist.items() if n < 20}, f({n: k for n, k in hist.items() if n < 20}, 20), 20)
         over += packing.number(configs) > want
     assert over <= 2 and packing.plan({}) == ([], 0.0)
+
+
+def test_the_program_is_solved_where_best_fit_would_do(monkeypatch):
+    """Pieces over half a sequence leave nothing to choose; the plan comes from the program all the same."""
+    from cytoplane.llm import packing
+
+    solved, fractional = [], packing.fractional
+    monkeypatch.setattr(packing, "fractional", lambda *a, **k: solved.append(1) or fractional(*a, **k))
+    configs, bound = packing.plan({1200: 30, 1500: 20, 2048: 3}, 2048)
+    assert solved and packing.number(configs) == 53 >= bound
