@@ -207,4 +207,4 @@ def q_mtx_round_trip(spark, d):
     folder = f"{shared_dir(spark)}/mtx-{uuid.uuid4().hex[:12]}"
     fine(spark, d).save_mtx(folder)
     back = read_mtx(spark, f"{folder}/matrix.mtx")
-    return back.X.join(back.obs, "row_id").join(back.var, "col_id").select(F.col("barcode").alias("cell"), "gene", "value")
+    return back.X.join(back.obs.hint("merge"), "row_id").join(back.var.hint("merge"), "col_id").select(F.col("barcode").alias("cell"), "gene", "value")

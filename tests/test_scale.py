@@ -74,3 +74,8 @@ def test_components_read_the_counts_once(spark, full):
     _, mean, dev = embeddings.standardised(catalog.coarse(spark, full[0]), catalog.coarse(spark, full[0]).var, 640)
     want = full[1].execute("SELECT avg(v), stddev_samp(v) FROM (SELECT sum(l_quantity) v, p_brand b FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey, 2) GROUP BY b ORDER BY b").fetchall()
     assert np.allclose(np.stack([mean, dev], 1), want)
+
+
+def test_names_read_back_stay_off_the_driver(spark, full):
+    got = catalog.QUERIES["mtx_round_trip"](spark, full[0])
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("strategy=merge") == 2
