@@ -18,8 +18,8 @@ Items with few starts (short ones, and text of few different bytes) are looked f
 bytes, one each 8 bytes of the item (shorter items: of their size), so that edited copies are met as long as one such
 word is whole; items under `LEAST` bytes are found by their first word and as exact copies.
 
-A candidate is first tested by counts: text within the edit bound must have enough of the item's three-byte strings (each
-edit spoils three at most). A hit is then decided by the edit distance of the whole item to the text around
+A candidate is first tested by the item's first words of 64 bytes, whose own least edits add up to no more than those of the
+whole (see least_edits). A hit is then decided by the edit distance of the whole item to the text around
 (bit-parallel, free ends): a document has an item when at most `rate` of the item's bytes are edited, case and kind of
 white space aside. What is found in a document depends on that document alone, not on its neighbours in a batch.
 
@@ -56,7 +56,6 @@ BLOCK, BLOCK_BYTES = 50_000, 32 << 20
 RESULT = "doc_id long, item_id long, edits int, item_bytes int, at long"
 
 _FOLD = np.where(_SPACE, 32, _LOWER).astype(np.uint8)
-_SIEVE = np.uint64((1 << 22) - 1)
 
 
 def fold(raw: np.ndarray) -> np.ndarray:
@@ -78,20 +77,56 @@ def starts(raw: np.ndarray) -> np.ndarray:
     return np.flatnonzero(_BEGINS[raw[:-1].astype(np.uint16) * np.uint16(256) + raw[1:]])
 
 
-def keys(padded: np.ndarray, begin: np.ndarray, repeat: int) -> tuple[np.ndarray, np.ndarray]:
-    """The LSH key of the walk from each start, and the last byte that it saw. padded: folded text and STEPS zeros."""
-    key, last = np.full(len(begin), repeat + 1, np.uint64), begin.copy()
+#: Bit j of a byte's word is whether step j moves on; the words of a repeat tell bytes apart.
+_WORDS = (_MOVES << np.arange(STEPS)[:, None]).sum(1)
+_FACTOR = np.uint64(0x9E3779B97F4A7C15).astype(np.int64)
+#: After so many steps a walk goes on only if some item's walk has come the same way.
+EARLY = (12, 18)
+
+
+def keys(padded: np.ndarray, begin: np.ndarray, repeat: int, early: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The LSH key of the walk from each start, the last byte that it saw, the start, and the keys at the steps EARLY.
+    padded: folded text and STEPS zeros. With early, the sieves of the items' keys at these steps, walks that none of
+    them lets through are left out: their whole keys are none of the items' either."""
+    out = []
     sampled = set(_PLACES[repeat].tolist())
+    words = _WORDS[repeat].take(padded)
     for lo in range(0, len(begin), WALKS):  # so many at a time stay in a core's own cache
-        k, at = key[lo : lo + WALKS], last[lo : lo + WALKS]
+        first = begin[lo : lo + WALKS]
+        k, at, passed = np.full(len(first), repeat + 1, np.int64), first.copy(), []
         for j in range(STEPS):
-            c = padded[at]
+            if j in EARLY:
+                now = (k * _FACTOR).view(np.uint64) >> np.uint64(40)
+                if early is None:
+                    passed.append(now)
+                else:
+                    go = in_sieve(early[EARLY.index(j)], now)
+                    k, at, first = k[go], at[go], first[go]
+            word = words.take(at, mode="wrap")  # no place is outside; this way take need not look
             if j in sampled:
-                k *= np.uint64(0x9E3779B97F4A7C15)
-                k += c
+                k *= _FACTOR
+                k += word
             if j < STEPS - 1:
-                at += _MOVES[repeat, j][c]
-    return mix64(key), last
+                word >>= j
+                word &= 1
+                at += word
+        out.append((mix64(k.view(np.uint64)), at, first, *passed))
+    if not out:
+        return np.zeros(0, np.uint64), begin, begin, [np.zeros(0, np.uint64)] * len(EARLY)
+    key, last, first, *passed = (np.concatenate(x) for x in zip(*out))
+    return key, last, first, passed
+
+
+def sieve_of(hashes: np.ndarray) -> np.ndarray:
+    """A table of flags, at least 32 times as many as there are hashes (up to 4 million)."""
+    sieve = np.zeros(1 << min(22, max(10, int(32 * len(hashes)).bit_length())), bool)
+    sieve[(hashes & np.uint64(len(sieve) - 1)).astype(np.int64)] = True
+    return sieve
+
+
+def in_sieve(sieve: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places of the hashes that may be among those of the sieve."""
+    return np.flatnonzero(sieve.take((hashes & np.uint64(len(sieve) - 1)).view(np.int64)))
 
 
 def edit_distance(item: bytes, text: bytes) -> tuple[int, int]:
@@ -121,6 +156,8 @@ def edit_distance(item: bytes, text: bytes) -> tuple[int, int]:
 
 #: Pairs of an item and a stretch of text that are compared side by side.
 SIDE = 2048
+#: Fewer are compared one after another.
+FEW_PAIRS = 24
 _ONE = np.uint64(1)
 
 
@@ -144,6 +181,10 @@ def edit_distances(items: list[bytes], which: np.ndarray, text: np.ndarray, lo:
         for at in np.split(group, np.arange(SIDE, len(group), SIDE)):
             if not len(at):
                 continue
+            if len(at) < FEW_PAIRS:
+                for k in at.tolist():
+                    best[k], end[k] = edit_distance(items[which[k]], text[lo[k] : hi[k]].tobytes())
+                continue
             used, item = np.unique(which[at], return_inverse=True)
             tables = np.stack([_bits(items[k]) for k in used.tolist()])
             w, n, length = tables.shape[2], size[which[at]], (hi - lo)[at]
@@ -175,10 +216,65 @@ def edit_distances(items: list[bytes], which: np.ndarray, text: np.ndarray, lo:
     return best, end
 
 
-def triples(raw: np.ndarray) -> np.ndarray:
-    """The three-byte strings of raw, hashed to 16 bits."""
-    x = raw.astype(np.uint16)
-    return x[:-2] * np.uint16(961) + x[1:-1] * np.uint16(31) + x[2:]
+#: Least edits that a word of 64 bytes may be taken to cost in text that has nothing to do with it.
+STRANGE = 28
+
+
+def least_edits(items: list[bytes], which: np.ndarray, text: np.ndarray, lo: np.ndarray, hi: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """A number that is at most the edit distance of items[which] and text[lo:hi] where that is within the bound: the sum,
+    over the item's first words of 64 bytes, of the least edits that turn a word into a part of the text where it may
+    stand. Each word is aligned by itself, so that no alignment of the whole costs less. There are as many words as
+    usually go over the bound in text that has nothing to do with the item."""
+    size = np.array([len(t) for t in items], np.int64)
+    n = np.minimum(-(-size[which] // 64), bound // STRANGE + 1)
+    pair = np.repeat(np.arange(len(which)), n)
+    at = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+    # within the bound an item begins after lo and ends before hi, and no place is off by more edits than the bound
+    low = np.maximum(lo[pair], lo[pair] + 64 * at - bound[pair])
+    high = np.maximum(low, np.minimum(hi[pair], (hi - size[which] + 2 * bound)[pair] + 64 * (at + 1)))
+    sum_of = np.zeros(len(which), np.int64)
+    order = np.lexsort((which[pair], high - low))
+    for part in np.split(order, np.arange(SIDE, len(order), SIDE)):
+        if len(part):
+            np.add.at(sum_of, pair[part], _word_edits(items, which[pair[part]], at[part], text, low[part], high[part]))
+    return sum_of
+
+
+def _word_edits(items: list[bytes], which: np.ndarray, at: np.ndarray, text: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The least edits of the at-th words of items[which], in the order of hi - lo. A word ends at the highest bit; a
+    shorter one has rows before it that cost nothing."""
+    name, row = np.unique(which * 65536 + at, return_inverse=True)
+    words = [items[k][64 * s : 64 * s + 64] for k, s in zip((name // 65536).tolist(), (name % 65536).tolist())]
+    gap = np.array([64 - len(t) for t in words], np.uint64)
+    free = np.where(gap > 0, (_ONE << np.minimum(gap, np.uint64(63))) - _ONE, np.uint64(0))
+    table = np.concatenate([(_bits(t)[:, 0] << g) | f for t, g, f in zip(words, gap, free)])
+    row, length = row * 256, hi - lo
+    plus, minus = ~free[row // 256], np.zeros(len(which), np.uint64)
+    now = (64 - gap.astype(np.int64))[row // 256]
+    least, top = now.copy(), np.uint64(63)
+    cuts, begin = np.searchsorted(length, np.arange(int(length.max())), side="right"), lo.copy()
+    for k, first in enumerate(cuts.tolist()):  # those before are through
+        p, m, score = plus[first:], minus[first:], now[first:]
+        eq = table.take(text.take(begin[first:] + k, mode="wrap") + row[first:], mode="wrap")
+        x = eq | m
+        d = eq & p
+        d += p
+        d ^= p
+        d |= eq
+        above = d | p
+        np.invert(above, out=above)
+        above |= m
+        d &= p  # below
+        score += (above >> top).view(np.int64)
+        score -= (d >> top).view(np.int64)
+        np.minimum(least[first:], score, out=least[first:])
+        above <<= _ONE
+        d <<= _ONE
+        np.bitwise_and(above, x, out=m)
+        x |= above
+        np.invert(x, out=x)
+        np.bitwise_or(d, x, out=p)
+    return least
 
 
 class Index:
@@ -193,12 +289,12 @@ class Index:
         of = np.searchsorted(off, begin, side="right") - 1
         self.table, most = [], np.zeros(len(items), np.int64)
         for r in range(REPEATS):
-            key, last = keys(padded, begin, r)
+            key, last, _, passed = keys(padded, begin, r)
             ok = last < off[of + 1]
             most = np.maximum(most, np.bincount(of[ok], minlength=len(items)))
             order = np.argsort(key[ok], kind="stable")
             key = key[ok][order]
-            self.table.append((key, of[ok][order], (begin[ok] - off[of[ok]])[order], self._sieve(key)))
+            self.table.append((key, of[ok][order], (begin[ok] - off[of[ok]])[order], sieve_of(key), [sieve_of(p[ok]) for p in passed]))
         words: dict[int, list[tuple[int, int, int]]] = {}
         for n in np.flatnonzero((most < FEW) | (self.size < LEAST)).tolist():
             text = items[n][1]
@@ -209,14 +305,7 @@ class Index:
         self.words = {}
         for size, rows in words.items():
             w, who, where = (np.array(c, np.uint64) for c in zip(*sorted(rows)))
-            self.words[size] = w, who.astype(np.int64), where.astype(np.int64), self._sieve(mix64(w))
-        self.trigrams: dict[int, np.ndarray] = {}
-
-    @staticmethod
-    def _sieve(hashes: np.ndarray) -> np.ndarray:
-        sieve = np.zeros(int(_SIEVE) + 1, bool)
-        sieve[(hashes & _SIEVE).astype(np.int64)] = True
-        return sieve
+            self.words[size] = w, who.astype(np.int64), where.astype(np.int64), sieve_of(mix64(w))
 
     def candidates(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Distinct rows (document, item, where the item would begin) of folded texts."""
@@ -233,32 +322,19 @@ class Index:
         if len(raw) > 1:
             begin, padded = starts(raw), np.concatenate([raw, np.zeros(STEPS, np.uint8)])
             for r in range(REPEATS):
-                table, who, where, sieve = self.table[r]
-                key, last = keys(padded, begin, r)
-                maybe = np.flatnonzero(sieve[(key & _SIEVE).astype(np.int64)])
-                meet(begin[maybe], last[maybe] + 1, np.searchsorted(table, key[maybe]), np.searchsorted(table, key[maybe], side="right"), who, where)
+                table, who, where, sieve, early = self.table[r]
+                key, last, first, _ = keys(padded, begin, r, early)
+                maybe = in_sieve(sieve, key)
+                meet(first[maybe], last[maybe] + 1, np.searchsorted(table, key[maybe]), np.searchsorted(table, key[maybe], side="right"), who, where)
         if self.words and len(raw):
             padded = np.concatenate([raw, np.zeros(8, np.uint8)])
             every = np.ndarray((len(raw),), "<u8", padded.data, strides=(1,)).astype(np.uint64)
             for size, (w, who, where, sieve) in self.words.items():
                 here = every & np.uint64((1 << 8 * size) - 1)
-                maybe = np.flatnonzero(sieve[(mix64(here) & _SIEVE).astype(np.int64)])
+                maybe = in_sieve(sieve, mix64(here))
                 meet(maybe, maybe + size, np.searchsorted(w, here[maybe]), np.searchsorted(w, here[maybe], side="right"), who, where)
         return np.unique(np.concatenate(out, 1), axis=1) if out else np.zeros((3, 0), np.int64)
 
-    def alike(self, n: int, seen: np.ndarray, edits: int) -> bool:
-        """Whether text with these triples has as many of item n's as text within so many edits must have."""
-        text = self.items[n][1]
-        need = len(text) - 2 - 3 * edits
-        if need <= 0:
-            return True
-        mine = self.trigrams.get(n)
-        if mine is None:
-            mine = self.trigrams[n] = triples(np.frombuffer(text, np.uint8))
-        there = np.zeros(1 << 16, bool)
-        there[seen] = True
-        return int(np.count_nonzero(there[mine])) >= need
-
 
 def hits(index: Index, b: pa.RecordBatch, rate: float) -> list[tuple[int, int, int, int]]:
     """(row, number of the item, edits, begin) of the items in the texts of a batch."""
@@ -276,15 +352,17 @@ def hits(index: Index, b: pa.RecordBatch, rate: float) -> list[tuple[int, int, i
         near = (d[1:] == d[:-1]) & (n[1:] == n[:-1]) & (np.diff(begin) <= slack[n[1:]])
         first = np.flatnonzero(np.concatenate([[True], ~near]))
         last = np.append(first[1:], len(d)) - 1
-        doc, item, seen = d[first], n[first], triples(part)
+        doc, item = d[first], n[first]
         a, z = np.maximum(begin[first] - slack[item], at[doc]), np.minimum(begin[last] + size[item] + slack[item], at[doc + 1])
         may = np.flatnonzero(z - a >= size[item] - bound[item])
-        may = may[np.array([index.alike(int(item[k]), seen[a[k] : max(int(z[k]) - 2, int(a[k]))], int(bound[item[k]])) for k in may.tolist()], bool)]
         tried.append(np.stack([doc[may] + lo, item[may], a[may] + off[lo], z[may] + off[lo]]))
     if not tried:
         return []
     doc, item, a, z = np.concatenate(tried, 1)
-    edits, end = edit_distances([t for _, t in index.items], item, raw, a, z)
+    texts = [t for _, t in index.items]
+    may = np.flatnonzero(least_edits(texts, item, raw, a, z, bound[item]) <= bound[item])
+    doc, item, a, z = doc[may], item[may], a[may], z[may]
+    edits, end = edit_distances(texts, item, raw, a, z)
     best: dict[tuple[int, int], tuple[int, int]] = {}
     for k in np.flatnonzero(edits <= bound[item]).tolist():
         key = int(doc[k]), int(item[k])

@@ -73,3 +73,35 @@ def test_distances_side_by_side(monkeypatch):
         which.append(k), lo.append(a), hi.append(min(len(text), a + rnd.randrange(500)))
     best, end = decontaminate.edit_distances(items, np.array(which), np.frombuffer(text, np.uint8), np.array(lo), np.array(hi))
     assert [tuple(map(int, x)) for x in zip(best, end)] == [decontaminate.edit_distance(items[k], text[a:z]) for k, a, z in zip(which, lo, hi)]
+
+
+def test_bound_by_words_is_none_over_the_distance():
+    """Where the item is there within the bound; elsewhere it leaves hardly any pair."""
+    rnd = random.Random(11)
+    items = [bytes(rnd.choice(b"abcdefgh ") for _ in range(n)) for n in (1, 2, 40, 63, 64, 65, 127, 128, 129, 300, 390)]
+    text, which, lo, hi, there = b"", [], [], [], []
+    for k in range(220):
+        n = k % len(items)
+        copy = edited(rnd, items[n].decode(), rnd.choice([0, 0.05, 0.1, 0.2])).encode() if k % 3 else bytes(rnd.choice(b"klmnop") for _ in items[n])
+        which.append(n), lo.append(len(text)), there.append(k % 3 > 0)
+        text += bytes(rnd.choice(b"ab ") for _ in range(rnd.randrange(90))) + copy + bytes(rnd.choice(b"ab ") for _ in range(rnd.randrange(90)))
+        hi.append(len(text))
+    which, lo, hi, raw = np.array(which), np.array(lo), np.array(hi), np.frombuffer(text, np.uint8)
+    bound = np.array([len(t) // 5 for t in items])[which]
+    edits = np.array([decontaminate.edit_distance(items[k], text[a:z])[0] for k, a, z in zip(which, lo, hi)])
+    least = decontaminate.least_edits(items, which, raw, lo, hi, bound)
+    assert (least <= edits)[edits <= bound].all() and (edits <= bound).sum() > 80
+    assert (least > bound)[~np.array(there) & (np.array([len(t) for t in items])[which] > 2)].all()
+
+
+def test_walks_that_are_left_out_meet_no_item(texts):
+    """With sieves of some walks' early keys, those whose whole keys are among theirs stay."""
+    raw = np.frombuffer(fold(" ".join(texts[:40])), np.uint8)
+    padded, begin = np.concatenate([raw, np.zeros(decontaminate.STEPS, np.uint8)]), decontaminate.starts(raw)
+    for r in range(decontaminate.REPEATS):
+        key, last, first, passed = decontaminate.keys(padded, begin, r)
+        assert (first == begin).all()
+        some = np.arange(0, len(begin), 50)
+        k, z, f, _ = decontaminate.keys(padded, begin, r, [decontaminate.sieve_of(p[some]) for p in passed])
+        want, got = np.isin(key, key[some]), np.isin(k, key[some])
+        assert (f[got] == begin[want]).all() and (z[got] == last[want]).all() and len(k) < len(key) / 2
