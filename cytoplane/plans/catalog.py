@@ -187,9 +187,8 @@ def q_gene_mean_var(spark, d):
 
 @query(w('SELECT a.col_id a, b.col_id b, count(*) n FROM X a JOIN X b ON a.row_id = b.row_id AND a.col_id < b.col_id GROUP BY 1, 2'))
 def q_doublet_pair_counts(spark, d):
-    """Over all genes, as a join; cells_with_both counts the same for a bounded number of genes."""
-    x, y = (fine(spark, d).X.select("row_id", F.col("col_id").alias(c)) for c in "ab")
-    return x.join(y, "row_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    """Over all genes; cells_with_both counts the same for a bounded number of genes."""
+    return ca.pair_counts(fine(spark, d).X)
 
 
 @query()

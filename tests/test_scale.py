@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cytoplane.operators import embeddings, lanczos
+from cytoplane.operators import cell_analysis, embeddings, lanczos
 from cytoplane.operators import neighbors as nn
 from cytoplane.plans import catalog, matrix_queries, verb_queries  # noqa: F401  the others add their queries to the first
 
@@ -79,3 +79,20 @@ def test_components_read_the_counts_once(spark, full):
 def test_names_read_back_stay_off_the_driver(spark, full):
     got = catalog.QUERIES["mtx_round_trip"](spark, full[0])
     assert got._jdf.queryExecution().optimizedPlan().toString().count("strategy=merge") == 2
+
+
+def test_pairs_of_genes_are_dealt_to_as_many_tasks_as_they_need(spark, full, monkeypatch):
+    """No task counts more than a fixed number of pairs, whatever their number."""
+    monkeypatch.setattr(cell_analysis, "COUNTED", 500)
+    got = catalog.QUERIES["doublet_pair_counts"](spark, full[0])
+    assert "RepartitionByExpression [a" in got._jdf.queryExecution().optimizedPlan().toString() and got._jdf.queryExecution().optimizedPlan().toString().count(", 20") >= 1
+    same_as_sql(spark, full, "doublet_pair_counts")
+
+
+def test_doublets_compute_the_counts_once(spark, full, monkeypatch):
+    """The counts are read from tables that are written once, by cell."""
+    written = []
+    keep = cell_analysis.staged
+    monkeypatch.setattr(cell_analysis, "staged", lambda t, label: written.append((label, t.inputFiles())) or keep(t, label))
+    catalog.QUERIES["cxds_doublets"](spark, full[0]).collect()
+    assert [label for label, files in written if any("lineitem" in f for f in files)] == ["counts"]
