@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +97,11 @@ def test_doublets_compute_the_counts_once(spark, full, monkeypatch):
     monkeypatch.setattr(cell_analysis, "staged", lambda t, label: written.append((label, t.inputFiles())) or keep(t, label))
     catalog.QUERIES["cxds_doublets"](spark, full[0]).collect()
     assert [label for label, files in written if any("lineitem" in f for f in files)] == ["counts"]
+
+
+def test_vectors_are_read_without_python_lists():
+    """Also of a part of a column."""
+    rows = np.random.default_rng(3).normal(size=(9, 4)).astype(np.float32)
+    column = pa.array(list(rows), pa.list_(pa.float32()))
+    assert (nn.vectors_of(column) == rows).all() and (nn.vectors_of(column[2:7]) == rows[2:7]).all()
+    assert nn.vectors_of(column[:0]).shape == (0, 0)
