@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from cytoplane.api import SingleCell
 from cytoplane.operators import cell_analysis, embeddings, lanczos
 from cytoplane.operators import neighbors as nn
 from cytoplane.plans import catalog, matrix_queries, verb_queries  # noqa: F401  the others add their queries to the first
@@ -105,3 +106,48 @@ def test_vectors_are_read_without_python_lists():
     column = pa.array(list(rows), pa.list_(pa.float32()))
     assert (nn.vectors_of(column) == rows).all() and (nn.vectors_of(column[2:7]) == rows[2:7]).all()
     assert nn.vectors_of(column[:0]).shape == (0, 0)
+
+
+def counted_rows(spark, table):
+    """table, and an accumulator of the rows of it that are computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def work(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return table.mapInArrow(work, table.schema), seen
+
+
+def test_vectors_are_read_once_for_neighbours(spark):
+    rng = np.random.default_rng(7)
+    rows, seen = counted_rows(spark, spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(400, 4)))], "row_id long, value array<float>"))
+    obs = spark.range(400).select(F.col("id").alias("row_id"), F.lit("a").alias("arm"))
+    sc = SingleCell(None, obs, spark.range(1).select(F.col("id").alias("col_id"), F.lit("none").alias("gene")), obsm={"pca": rows, "harmony": rows})
+    assert sc.neighbors(num_neighbors=5).obsm["neighbors"].count() == 400 and seen.value == 400
+    assert sc.label_transfer_from(sc, "arm", "to").obs.where("to = 'a'").count() == 400
+    assert seen.value <= 400 * 5  # once as the base; as queries for the lists, the count of them and the short ones
+
+
+def test_graph_is_made_once_for_communities(spark):
+    both = [(12 * b + i, 12 * b + j, 1.0) for b in range(3) for i in range(12) for j in range(12) if i != j] + [(0, 12, 0.1), (12, 0, 0.1), (12, 24, 0.1), (24, 12, 0.1)]
+    graph, seen = counted_rows(spark, spark.createDataFrame(both, "i long, j long, weight float"))
+    obs = spark.range(36).select(F.col("id").alias("row_id"))
+    got = SingleCell(None, obs, spark.range(1).select(F.col("id").alias("col_id")), obsp={"shared_neighbors": graph}).cluster().obs.collect()
+    assert len({r["cluster"] for r in got}) == 3 == len({(r["row_id"] // 12, r["cluster"]) for r in got})
+    assert seen.value == len(both)
+
+
+def test_shared_neighbours_with_hubs_are_dealt_once(spark):
+    """Lists of all sizes with a few hubs: the pairs of brute force, each way once, by a single join of lists."""
+    rng = np.random.default_rng(8)
+    near = {i: [int(x) for x in dict.fromkeys([*rng.choice(5, rng.integers(0, 4), replace=False), *rng.choice(150, rng.integers(0, 9), replace=False)]) if x != i] for i in range(150)}
+    lists = spark.createDataFrame([(i, x) for i, x in near.items()], "row_id long, value array<long>")
+    whole = {i: {i, *x} for i, x in near.items()}
+    for least in (1, 2, 3, 5):
+        want = sorted((i, j, np.float32(n / (len(a) + len(b) - n))) for i, a in whole.items() for j, b in whole.items() if i != j and (n := len(a & b)) >= least)
+        got = nn.shared(lists, least)
+        assert want and sorted((r["i"], r["j"], np.float32(r["weight"])) for r in got.collect()) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 3 and "Union" not in plan  # members and their numbers on both sides, and the pairs
