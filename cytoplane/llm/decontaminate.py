@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -77,11 +78,27 @@ def starts(raw: np.ndarray) -> np.ndarray:
     return np.flatnonzero(_BEGINS[raw[:-1].astype(np.uint16) * np.uint16(256) + raw[1:]])
 
 
-#: Bit j of a byte's word is whether step j moves on; the words of a repeat tell bytes apart.
-_WORDS = (_MOVES << np.arange(STEPS)[:, None]).sum(1)
-_FACTOR = np.uint64(0x9E3779B97F4A7C15).astype(np.int64)
-#: After so many steps a walk goes on only if some item's walk has come the same way.
-EARLY = (12, 18)
+#: After so many steps, a multiple of WITHIN, a walk goes on only if some item's walk has come the same way.
+EARLY = (16, 24)
+#: Steps are taken two at once, by the two bytes from the pointer on; so many of them stay within eight bytes.
+WITHIN = 8
+_TWO, _LOW, _TO_BYTES = np.uint64(0xFFFF), np.uint64(0xFF), np.uint64(3)
+
+
+@cache
+def _two_steps(repeat: int) -> list[np.ndarray]:
+    """For steps 0 and 1, 2 and 3 and so on: what the two steps add to the key, by the two bytes from the pointer on: a hash
+    of what is sampled of them and of the step, and in the lowest eight bits by how many bits they move on. None follows
+    the last step."""
+    here, there = np.meshgrid(np.arange(256), np.arange(256))  # the byte at the pointer, which is the lower one, and the next
+    sampled, out = set(_PLACES[repeat].tolist()), []
+    for j in range(0, STEPS, 2):
+        go = _MOVES[repeat, j][here]
+        second = np.where(go == 1, there, here)
+        seen = sum((x + 1) << 10 * n for n, x in enumerate((here, second)) if j + n in sampled) + np.full(here.shape, (repeat * STEPS + j) << 20)
+        move = go + (_MOVES[repeat, j + 1][second] if j + 2 < STEPS else 0)
+        out.append(((mix64(seen.astype(np.uint64)) & ~_LOW) | (8 * move).astype(np.uint64)).ravel())
+    return out
 
 
 def keys(padded: np.ndarray, begin: np.ndarray, repeat: int, early: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -89,28 +106,26 @@ def keys(padded: np.ndarray, begin: np.ndarray, repeat: int, early: list[np.ndar
     padded: folded text and STEPS zeros. With early, the sieves of the items' keys at these steps, walks that none of
     them lets through are left out: their whole keys are none of the items' either."""
     out = []
-    sampled = set(_PLACES[repeat].tolist())
-    words = _WORDS[repeat].take(padded)
+    tables = _two_steps(repeat)
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded.data, strides=(1,))
     for lo in range(0, len(begin), WALKS):  # so many at a time stay in a core's own cache
         first = begin[lo : lo + WALKS]
-        k, at, passed = np.full(len(first), repeat + 1, np.int64), first.copy(), []
-        for j in range(STEPS):
+        k, passed = np.zeros(len(first), np.uint64), []
+        for j in range(0, STEPS, 2):
             if j in EARLY:
-                now = (k * _FACTOR).view(np.uint64) >> np.uint64(40)
+                now = k >> np.uint64(40)
                 if early is None:
                     passed.append(now)
                 else:
                     go = in_sieve(early[EARLY.index(j)], now)
-                    k, at, first = k[go], at[go], first[go]
-            word = words.take(at, mode="wrap")  # no place is outside; this way take need not look
-            if j in sampled:
-                k *= _FACTOR
-                k += word
-            if j < STEPS - 1:
-                word >>= j
-                word &= 1
-                at += word
-        out.append((mix64(k.view(np.uint64)), at, first, *passed))
+                    k, first = k[go], first[go]
+            if j % WITHIN == 0:
+                text = eight[first + ((k & _LOW) >> _TO_BYTES).view(np.int64)]
+            step = tables[j // 2].take((text & _TWO).view(np.int64), mode="wrap")  # no place is outside; this way take need not look
+            k += step
+            step &= _LOW
+            text >>= step
+        out.append((mix64(k & ~_LOW), first + ((k & _LOW) >> _TO_BYTES).view(np.int64), first, *passed))
     if not out:
         return np.zeros(0, np.uint64), begin, begin, [np.zeros(0, np.uint64)] * len(EARLY)
     key, last, first, *passed = (np.concatenate(x) for x in zip(*out))
@@ -240,6 +255,15 @@ def least_edits(items: list[bytes], which: np.ndarray, text: np.ndarray, lo: np.
     return sum_of
 
 
+@lru_cache(maxsize=4096)
+def _word_bits(word: bytes) -> np.ndarray:
+    """[byte]: at which places of a word of up to 64 bytes the byte stands, the last at the highest bit; a shorter one has
+    rows before it that cost nothing. Words of the same items come batch after batch."""
+    gap = np.uint64(64 - len(word))
+    free = (_ONE << np.minimum(gap, np.uint64(63))) - _ONE if gap else np.uint64(0)
+    return (_bits(word)[:, 0] << gap) | free
+
+
 def _word_edits(items: list[bytes], which: np.ndarray, at: np.ndarray, text: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """The least edits of the at-th words of items[which], in the order of hi - lo. A word ends at the highest bit; a
     shorter one has rows before it that cost nothing."""
@@ -247,7 +271,7 @@ def _word_edits(items: list[bytes], which: np.ndarray, at: np.ndarray, text: np.
     words = [items[k][64 * s : 64 * s + 64] for k, s in zip((name // 65536).tolist(), (name % 65536).tolist())]
     gap = np.array([64 - len(t) for t in words], np.uint64)
     free = np.where(gap > 0, (_ONE << np.minimum(gap, np.uint64(63))) - _ONE, np.uint64(0))
-    table = np.concatenate([(_bits(t)[:, 0] << g) | f for t, g, f in zip(words, gap, free)])
+    table = np.concatenate([_word_bits(t) for t in words])
     row, length = row * 256, hi - lo
     plus, minus = ~free[row // 256], np.zeros(len(which), np.uint64)
     now = (64 - gap.astype(np.int64))[row // 256]

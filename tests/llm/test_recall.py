@@ -105,3 +105,30 @@ def test_walks_that_are_left_out_meet_no_item(texts):
         k, z, f, _ = decontaminate.keys(padded, begin, r, [decontaminate.sieve_of(p[some]) for p in passed])
         want, got = np.isin(key, key[some]), np.isin(k, key[some])
         assert (f[got] == begin[want]).all() and (z[got] == last[want]).all() and len(k) < len(key) / 2
+
+
+def test_two_steps_at_once_are_the_walk_step_by_step():
+    """Keys are equal where a walk taken byte by byte samples the same bytes, and they end where it ends; sieves leave out
+    none of the items' walks."""
+    rng = np.random.default_rng(12)
+    text = np.concatenate([rng.integers(0, 256, 300), np.tile(rng.choice(list(b"ab \xc3"), 40), 20), rng.integers(97, 100, 600)]).astype(np.uint8)
+    padded, begin = np.concatenate([text, np.zeros(decontaminate.STEPS, np.uint8)]), np.arange(len(text) - 1)
+    for r in range(decontaminate.REPEATS):
+        assert len(decontaminate._two_steps(r)) == decontaminate.STEPS // 2
+        seen, end = [], []
+        for at in begin.tolist():
+            row = []
+            for j in range(decontaminate.STEPS):
+                if j in decontaminate._PLACES[r]:
+                    row.append(int(padded[at]))
+                if j < decontaminate.STEPS - 1:
+                    at += int(decontaminate._MOVES[r, j, padded[at]])
+            seen.append(tuple(row))
+            end.append(at)
+        key, last, first, passed = decontaminate.keys(padded, begin, r)
+        assert last.tolist() == end and (first == begin).all()
+        assert len(set(seen)) == len(set(key.tolist())) == len(set(zip(seen, key.tolist()))) < len(seen)
+        some = begin[::3]
+        few, _, _, ways = decontaminate.keys(padded, some, r)
+        left = decontaminate.keys(padded, begin, r, [decontaminate.sieve_of(w) for w in ways])
+        assert set(few.tolist()) == set(left[0].tolist()) & set(few.tolist()) and set(some.tolist()) <= set(left[2].tolist())
