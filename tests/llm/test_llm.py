@@ -333,6 +333,31 @@ def test_licences_of_real_texts(spark):
     assert got["m/sub/y.c"] == ("MIT", "inherited") and got["GPL-3.0/src/y.c"] == ("GPL-3.0", "inherited")
 
 
+def test_licences_inherited_in_a_tree(spark):
+    """A random tree with odd directory names against a slow version, which walks up from each file by itself. Under
+    other names the licence files answer for themselves only: what is inherited comes from that step and no other."""
+    rnd = random.Random(5)
+    state = {None: "plain words", "MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "GPL-3.0": "This work is licensed under the GNU General Public License, version 3."}
+    rows = []
+    for k in range(400):
+        name = rnd.choice(["LICENSE", "COPYING", "Licence.md", "x.py", "y.c", "z.txt", "license-mit", "notice.txt", "mylicense", "unlicense"])
+        path = "/".join([rnd.choice(["a", "b", "ab", "..", ".", "", "a b"]) for _ in range(rnd.randrange(5))] + [name])
+        rows.append((k, None if k % 40 == 0 else path, rnd.choice([None, None, None, "MIT", "Apache-2.0", "GPL-3.0"])))
+    run = lambda rename: {r["id"]: tuple(r)[2:] for r in licences.licences(spark.createDataFrame([(k, p and rename(p), state[own]) for k, p, own in rows], "id int, path string, text string"), carry=("id",)).collect()}
+    got, alone = run(str), run(lambda p: p + ".d/x")
+    held = defaultdict(list)
+    for k, p, own in rows:
+        assert alone[k] == (own, alone[k][1], "own" if own else None, None)
+        if p and own and re.search(licences.LICENCE_FILE, p):
+            held[p.rpartition("/")[0]].append((-alone[k][1], own))
+    for k, p, own in rows:
+        parts = p.rpartition("/")[0].split("/") if p else []
+        near = next((a for n in range(len(parts), -1, -1) if (a := "/".join(parts[:n])) in held), None) if p else None
+        want = alone[k] if own or near is None else (min(held[near])[1], -min(held[near])[0], "inherited", near)
+        assert got[k] == want, (p, got[k], want)
+    assert sum(g[2] == "inherited" for g in got.values()) > 100
+
+
 def test_licence_bound_of_texts():
     """With one term fewer than needed, whichever they are, a text stays under the threshold with a template."""
     for _, w in licences.template_weights(licences.full_texts())[2]:
