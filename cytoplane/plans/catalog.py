@@ -35,7 +35,8 @@ def fine(spark: SparkSession, d: str) -> SingleCell:
     """Orders by parts."""
     t = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
     x = t("lineitem").groupBy(F.col("l_orderkey").alias("row_id"), F.col("l_partkey").alias("col_id")).agg(F.sum("l_quantity").cast("long").alias("value"))
-    obs = t("orders").join(t("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey").select(
+    # customers and parts grow with the tables: a broadcast would bring them whole to the driver
+    obs = t("orders").join(t("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey").hint("merge"), "o_custkey").select(
         F.col("o_orderkey").alias("row_id"), F.concat(F.lit("cell"), F.col("o_orderkey").cast("string")).alias("cell"), F.col("o_orderpriority").alias("cell_type"), F.col("c_nationkey").alias("donor"), F.col("o_orderstatus").alias("treatment"), F.concat_ws("_", F.col("c_nationkey").cast("string"), "o_orderstatus").alias("sample"))
     var = t("part").select(F.col("p_partkey").alias("col_id"), F.concat(F.lit("gene"), F.col("p_partkey").cast("string")).alias("gene"), F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.col("p_size").alias("size"))
     return SingleCell(x, obs, var)
@@ -45,7 +46,7 @@ def coarse(spark: SparkSession, d: str) -> SingleCell:
     """Orders by brands."""
     sc = fine(spark, d)
     brands = sc.var.select("brand").distinct().select(F.regexp_extract("brand", r"(\d+)", 1).cast("long").alias("col_id"), F.col("brand").alias("gene"))
-    x = sc.X.join(sc.var.select("col_id", F.regexp_extract("brand", r"(\d+)", 1).cast("long").alias("b")), "col_id").groupBy("row_id", F.col("b").alias("col_id")).agg(F.sum("value").alias("value"))
+    x = sc.X.join(sc.var.select("col_id", F.regexp_extract("brand", r"(\d+)", 1).cast("long").alias("b")).hint("merge"), "col_id").groupBy("row_id", F.col("b").alias("col_id")).agg(F.sum("value").alias("value"))
     return SingleCell(x, sc.obs, brands)
 
 

@@ -100,6 +100,14 @@ def test_doublets_compute_the_counts_once(spark, full, monkeypatch):
     assert [label for label, files in written if any("lineitem" in f for f in files)] == ["counts"]
 
 
+def test_customers_and_parts_stay_off_the_driver(spark, full):
+    """They grow with the tables, so that their joins are no broadcasts, however small they are."""
+    sc = catalog.coarse(spark, full[0])
+    for t in (sc.obs, sc.X):
+        plan = t._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_vectors_are_read_without_python_lists():
     """Also of a part of a column."""
     rows = np.random.default_rng(3).normal(size=(9, 4)).astype(np.float32)
