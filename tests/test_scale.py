@@ -1,5 +1,7 @@
 """Faults that showed on larger tables, on small ones made to have them."""
 
+import tracemalloc
+
 import duckdb
 import numpy as np
 import pyarrow as pa
@@ -72,6 +74,22 @@ def test_close_singular_values_part(monkeypatch):
     assert np.allclose(value, np.linalg.svd(a, compute_uv=False)[:5], rtol=1e-9)
 
 
+def test_vectors_stay_in_files(monkeypatch):
+    """The driver holds some blocks of vectors, not a subspace of them, and finds the same values."""
+    g, block = 100_000, 2 * 8 * 100_000
+    size = np.concatenate([[1.0, 0.97], np.linspace(0.93, 0.1, g - 2)])
+    monkeypatch.setattr(lanczos, "normal_product", lambda rows, y, mean, scale, cells: size[:, None] ** 2 * y)
+    monkeypatch.setattr(lanczos, "KEPT_BYTES", 0, raising=False)
+    monkeypatch.setattr(lanczos, "READ_BYTES", 1 << 18, raising=False)
+    mean, scale = np.zeros(g), np.ones(g)
+    tracemalloc.start()
+    value, vectors = lanczos.singular_vectors(None, mean, scale, g, 2, subspace=40, tolerance=1e-6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(value, size[:2]) and np.allclose(np.abs(np.diag(vectors[:2])), 1)
+    assert peak < 8 * block
+
+
 def test_components_read_the_counts_once(spark, full):
     _, mean, dev = embeddings.standardised(catalog.coarse(spark, full[0]), catalog.coarse(spark, full[0]).var, 640)
     want = full[1].execute("SELECT avg(v), stddev_samp(v) FROM (SELECT sum(l_quantity) v, p_brand b FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey, 2) GROUP BY b ORDER BY b").fetchall()
