@@ -333,6 +333,16 @@ def test_licences_of_real_texts(spark):
     assert got["m/sub/y.c"] == ("MIT", "inherited") and got["GPL-3.0/src/y.c"] == ("GPL-3.0", "inherited")
 
 
+def test_licence_notices_on_one_line(spark):
+    """A notice that stands on one line, alone or under a line of copyright, is a block as it is when it wraps."""
+    notices = [(name, x) for name, xs in sorted(licences.NOTICES.items()) for x in xs]
+    rows = [(k, f"{way}{k}.c", shape(x)) for k, (_, x) in enumerate(notices) for way, shape in (("alone", lambda x: x), ("comment", lambda x: f"/* {x} */\nint f;\n"), ("held", lambda x: f"# Copyright (c) 2020 A. Writer\n# {x}\n\ng = 1\n"), ("later", lambda x: f"words of a text\n\n{x}\n\nmore of it"))]
+    rows += [(-1, "other", "words of a text\n\nPermission to speak was granted, free of charge, to any person.\n"), (-1, "own", "Licensed under CC BY 4.0.")]
+    got = {r["path"]: (r["licence"], r["score"]) for r in licences.licences(spark.createDataFrame(rows, "id int, path string, text string")).collect()}
+    assert {p: got[p][0] for _, p, _ in rows} == {p: notices[k][0] if k >= 0 else {"own": "CC-BY-4.0", "other": None}[p] for k, p, _ in rows}
+    assert all(got[p][1] > 0.999 for _, p, _ in rows if p != "other")
+
+
 def test_licences_inherited_in_a_tree(spark):
     """A random tree with odd directory names against a slow version, which walks up from each file by itself. Under
     other names the licence files answer for themselves only: what is inherited comes from that step and no other."""
